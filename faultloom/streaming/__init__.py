@@ -1 +1 @@
-
+"""Structured Streaming variants of ingest, episodes, trend and state."""
