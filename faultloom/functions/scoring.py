@@ -124,3 +124,19 @@ def mean_positive(total, count) -> Column:
 
 def count_where(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
+
+
+def is_open() -> Column:
+    return F.col("is_resolved") == 0
+
+
+def is_severe() -> Column:
+    return F.col("severity_level") >= 3
+
+
+def has_lasted() -> Column:
+    return F.col("resolution_time_sec") > 0
+
+
+def by_driver() -> Column:
+    return F.col("driver_related") == 1

@@ -10,10 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultloom.functions.scoring import count_where
+from faultloom.functions.scoring import count_where, is_open, is_severe
 
-OPEN = F.col("is_resolved") == 0
-SEVERE = F.col("severity_level") >= 3
 DEFAULT_ACTION = "Schedule preventive maintenance."  # fixed value
 
 
@@ -72,9 +70,9 @@ def fleet_kpis(w, days: int = 30, customer: str | None = None) -> DataFrame:
     # per vehicle first, so that the distinct count needs no second copy of the rows
     per_vehicle = of_customer(w.vfm, customer).groupBy("uniqueid").agg(
         F.sum(F.when(lasted, F.col("resolution_time_sec") / 86400.0)).alias("days"), count_where(lasted).alias("lasted"),
-        F.max(F.when(OPEN & SEVERE, 1)).alias("due"),
+        F.max(F.when(is_open() & is_severe(), 1)).alias("due"),
         F.sum(F.when(is_recent, F.col("occurrence_count"))).alias("alerts"),
-        count_where(SEVERE & is_recent).alias("critical_alerts"))
+        count_where(is_severe() & is_recent).alias("critical_alerts"))
     faults = per_vehicle.agg(
         F.round(F.coalesce(F.try_divide(F.sum("days"), F.sum("lasted")), F.lit(0.0)), 1).alias("avg_resolution_days"),
         F.count("due").alias("maintenance_due"), _zero(F.sum("alerts")).alias("total_dtc_alerts"),
@@ -94,8 +92,8 @@ def fleet_overview(w, customer: str | None = None) -> DataFrame:
 
 
 def fleet_trend(w, days: int = 30, customer: str | None = None) -> DataFrame:
-    per_vehicle = of_customer(recent(w, days), customer).filter(OPEN).groupBy("event_date", "uniqueid").agg(
-        F.max(F.when(SEVERE, 1)).alias("severe"), F.sum("vehicle_health_score").alias("s"), F.count("*").alias("n"))
+    per_vehicle = of_customer(recent(w, days), customer).filter(is_open()).groupBy("event_date", "uniqueid").agg(
+        F.max(F.when(is_severe(), 1)).alias("severe"), F.sum("vehicle_health_score").alias("s"), F.count("*").alias("n"))
     return per_vehicle.groupBy("event_date").agg(
         F.count("*").alias("active_fault_vehicles"), F.count("severe").alias("critical_fault_vehicles"),
         (F.sum("s") / F.sum("n")).alias("fleet_health_score")).orderBy("event_date")
@@ -107,7 +105,7 @@ def top_risk_vehicles(w, limit: int = 20, customer: str | None = None) -> DataFr
     ranked = of_customer(w.vhs, customer).filter("active_fault_count > 0").orderBy(
         F.desc("critical_fault_count"), "vehicle_health_score", F.desc("active_fault_count"), "uniqueid").limit(int(limit))
     ages = (
-        w.vfm.filter(OPEN).join(ranked.select("uniqueid"), "uniqueid", "left_semi")
+        w.vfm.filter(is_open()).join(ranked.select("uniqueid"), "uniqueid", "left_semi")
         .groupBy("uniqueid").agg(F.max(_age_days(w)).alias("age"))
     )
     models = w.vm.select("uniqueid", "model")
@@ -140,7 +138,7 @@ def top_dtc_codes(w, days: int = 30, limit: int = 10, customer: str | None = Non
 
 
 def severity_breakdown(w, days: int = 30, customer: str | None = None) -> DataFrame:
-    level = F.when(SEVERE, "Critical").when(F.col("severity_level") == 2, "Moderate").otherwise("Minor")
+    level = F.when(is_severe(), "Critical").when(F.col("severity_level") == 2, "Moderate").otherwise("Minor")
     counts = of_customer(recent(w, days), customer).groupBy(level.alias("level")).agg(F.count("*").alias("count"))
     total = counts.select(F.sum("count")).scalar()
     return counts.withColumn("percentage", F.round(F.col("count") / total * 100, 1)).orderBy(F.desc("count"), "level")
@@ -153,7 +151,7 @@ def dtc_trend(w, dtc_code: str, days: int = 30, customer: str | None = None) ->
 
 def dtc_alerts_trend(w, days: int = 30, customer: str | None = None) -> DataFrame:
     return of_customer(recent(w, days), customer).groupBy("event_date").agg(
-        F.sum("occurrence_count").alias("total_alerts"), count_where(SEVERE).alias("critical_alerts"),
+        F.sum("occurrence_count").alias("total_alerts"), count_where(is_severe()).alias("critical_alerts"),
     ).orderBy("event_date")
 
 
@@ -163,15 +161,15 @@ def _worst_first(*key: str) -> list:
 
 def dtc_affected_vehicles(w, dtc_code: str, limit: int = 100, customer: str | None = None) -> DataFrame:
     return of_customer(w.vfm, customer).filter(F.col("dtc_code") == dtc_code).groupBy("uniqueid").agg(
-        F.count("*").alias("episode_count"), count_where(OPEN).alias("active_episodes"),
+        F.count("*").alias("episode_count"), count_where(is_open()).alias("active_episodes"),
         F.max("severity_level").alias("max_severity")).orderBy(*_worst_first("uniqueid")).limit(int(limit))
 
 
 def selected_dtc_kpis(w, dtc_code: str, days: int = 30, customer: str | None = None) -> DataFrame:
     lasted = (F.col("is_resolved") == 1) & (F.col("resolution_time_sec") > 0)
     per_vehicle = of_customer(recent(w, days), customer).filter(F.col("dtc_code") == dtc_code).groupBy("uniqueid").agg(
-        F.min("system").alias("system"), F.min("subsystem").alias("subsystem"), count_where(OPEN).alias("open"),
-        count_where(OPEN & SEVERE).alias("critical"), F.count("*").alias("n"),
+        F.min("system").alias("system"), F.min("subsystem").alias("subsystem"), count_where(is_open()).alias("open"),
+        count_where(is_open() & is_severe()).alias("critical"), F.count("*").alias("n"),
         F.sum(F.when(lasted, F.col("resolution_time_sec") / 86400.0)).alias("days"), count_where(lasted).alias("lasted"),
         count_where(F.col("driver_related") == 1).alias("driver"), F.max("event_date").alias("seen"))
     return per_vehicle.agg(
@@ -187,8 +185,8 @@ def selected_dtc_weekly_trend(w, dtc_code: str, days: int = 56, customer: str |
     week = F.to_date(F.date_trunc("week", "event_date"))
     per_vehicle = of_customer(recent(w, days), customer).filter(F.col("dtc_code") == dtc_code).groupBy(
         week.alias("week_start"), "uniqueid").agg(
-        F.sum("occurrence_count").alias("occ"), count_where(OPEN).alias("open"),
-        count_where(OPEN & SEVERE).alias("critical"))
+        F.sum("occurrence_count").alias("occ"), count_where(is_open()).alias("open"),
+        count_where(is_open() & is_severe()).alias("critical"))
     return per_vehicle.groupBy("week_start").agg(
         F.sum("occ").alias("occurrences"), F.count("*").alias("affected_vehicles"),
         F.sum("open").alias("active_episodes"), F.sum("critical").alias("critical_episodes")).orderBy("week_start")
@@ -215,7 +213,7 @@ def selected_dtc_vehicles(
 ) -> DataFrame:
     per_vehicle = of_customer(recent(w, days), customer).filter(F.col("dtc_code") == dtc_code).groupBy("uniqueid").agg(
         F.min("vehicle_number").alias("vehicle_number"), F.count("*").alias("episode_count"),
-        count_where(OPEN).alias("active_episodes"), F.max("severity_level").alias("max_severity"),
+        count_where(is_open()).alias("active_episodes"), F.max("severity_level").alias("max_severity"),
         F.max("event_date").alias("last_reported_date")).orderBy(*_worst_first("uniqueid")).limit(int(limit))
     scores = w.vhs.select("uniqueid", "vehicle_health_score")
     return per_vehicle.join(scores, "uniqueid", "left").select(
@@ -231,7 +229,7 @@ def vehicles_with_dtcs(w, limit: int = 50, customer: str | None = None) -> DataF
     ranked = of_customer(w.vhs, customer).filter("active_fault_count > 0").orderBy(
         F.desc("critical_fault_count"), F.desc("active_fault_count"), "uniqueid").limit(int(limit))
     codes = (
-        w.vfm.filter(OPEN).join(ranked.select("uniqueid"), "uniqueid", "left_semi")
+        w.vfm.filter(is_open()).join(ranked.select("uniqueid"), "uniqueid", "left_semi")
         .groupBy("uniqueid", "dtc_code").agg(F.max("event_date").alias("d"))
         .groupBy("uniqueid").agg(F.sort_array(F.collect_list("dtc_code")).alias("dtc_codes"),
                                  F.max("d").alias("last_reported"))
@@ -254,14 +252,14 @@ def vehicle_overview(w, uniqueid: str) -> DataFrame:
 
 def vehicle_faults(w, uniqueid: str, days: int = 90, limit: int = 200, customer: str | None = None) -> DataFrame:
     return of_customer(recent(w, days), customer).filter(F.col("uniqueid") == uniqueid).groupBy("dtc_code").agg(
-        F.count("*").alias("episode_count"), count_where(OPEN).alias("active_episodes"),
+        F.count("*").alias("episode_count"), count_where(is_open()).alias("active_episodes"),
         F.max("severity_level").alias("max_severity"), F.max(_age_days(w)).alias("days_persistence"),
     ).orderBy(*_worst_first("dtc_code")).limit(int(limit))
 
 
 def vehicle_timeline(w, uniqueid: str, days: int = 90, customer: str | None = None) -> DataFrame:
     return of_customer(recent(w, days), customer).filter(F.col("uniqueid") == uniqueid).groupBy("event_date").agg(
-        count_where(OPEN).alias("active_episodes"), count_where(OPEN & SEVERE).alias("critical_episodes"),
+        count_where(is_open()).alias("active_episodes"), count_where(is_open() & is_severe()).alias("critical_episodes"),
     ).orderBy("event_date")
 
 

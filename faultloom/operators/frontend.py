@@ -90,11 +90,13 @@ def _found_by_join(texts: DataFrame, names: DataFrame, lengths: list[int]) -> Da
     starts = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)), F.lit(WINDOW))
     windows = low.select("text", F.explode(F.transform(
         starts, lambda i: F.substring("low", i, F.lit(WINDOW + longest - 1)))).alias("part"))
-    pieces = F.flatten(F.array(*[
-        F.when(F.length("part") >= n, F.transform(
-            F.sequence(F.lit(1), F.least(F.length("part") - (n - 1), F.lit(WINDOW))),
-            lambda i, n=n: F.substring("part", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in lengths]))
+
+    def pieces_of(n: int):
+        places = F.sequence(F.lit(1), F.least(F.length("part") - (n - 1), F.lit(WINDOW)))
+        cut = F.transform(places, lambda i: F.substring("part", i, F.lit(n)))
+        return F.when(F.length("part") >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    pieces = F.flatten(F.array(*[pieces_of(n) for n in lengths]))
     keyed = windows.select("text", F.explode(F.array_distinct(pieces)).alias("identity"))
     hits = keyed.join(names, "identity").select("text", F.struct(*names.columns).alias("n")).distinct()
     found = hits.groupBy("text").agg(F.collect_list("n").alias("found"))

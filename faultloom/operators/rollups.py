@@ -12,16 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultloom.functions.scoring import (
-    count_where, duration_factor, fault_trend, health_score, heaviest, mean_positive, recurrence_factor,
-    severity_multiplier,
+    count_where, duration_factor, fault_trend, has_lasted, health_score, heaviest, is_open, is_severe,
+    mean_positive, recurrence_factor, severity_multiplier,
 )
 from faultloom.params import Params
 from faultloom.sources.readers import latest_by_key
 
-OPEN = F.col("is_resolved") == 0
-SEVERE = F.col("severity_level") >= 3
-LASTED = F.col("resolution_time_sec") > 0
-
 
 def vehicle_code_stats(vfm: DataFrame, params: Params) -> DataFrame:
     week, fortnight = F.lit(params.days_ago(7)), F.lit(params.days_ago(14))
@@ -29,17 +25,17 @@ def vehicle_code_stats(vfm: DataFrame, params: Params) -> DataFrame:
     base = vfm.groupBy("clientLoginId", "uniqueid", "dtc_code").agg(
         F.min("description").alias("description"), F.min("system").alias("system"),
         F.min("subsystem").alias("subsystem"), F.min("severity_level").alias("severity_level"),
-        F.count("*").alias("episodes"), count_where(OPEN).alias("active"),
-        count_where(OPEN & SEVERE).alias("critical"), F.sum("occurrence_count").alias("occurrences"),
-        F.sum(F.when(LASTED, F.col("resolution_time_sec"))).alias("lasted_sec"), count_where(LASTED).alias("lasted"),
+        F.count("*").alias("episodes"), count_where(is_open()).alias("active"),
+        count_where(is_open() & is_severe()).alias("critical"), F.sum("occurrence_count").alias("occurrences"),
+        F.sum(F.when(has_lasted(), F.col("resolution_time_sec"))).alias("lasted_sec"), count_where(has_lasted()).alias("lasted"),
         count_where(F.col("driver_related") == 1).alias("driver_faults"),
-        F.sum(F.when(OPEN, severity_multiplier("severity_level")).otherwise(0.0)).alias("severity_sum"),
-        F.sum(F.when(OPEN, severity_multiplier("severity_level") * duration_factor("resolution_time_sec"))
+        F.sum(F.when(is_open(), severity_multiplier("severity_level")).otherwise(0.0)).alias("severity_sum"),
+        F.sum(F.when(is_open(), severity_multiplier("severity_level") * duration_factor("resolution_time_sec"))
               .otherwise(0.0)).alias("weighted_sum"),
         count_where(F.col("first_ts") >= params.thirty_days_ago_ts).alias("last_30"),
         F.max("last_ts").alias("last_ts"),
-        count_where(OPEN & (F.col("event_date") >= week)).alias("recent_active"),
-        count_where(OPEN & (F.col("event_date") >= fortnight) & (F.col("event_date") < week)).alias("prior_active"),
+        count_where(is_open() & (F.col("event_date") >= week)).alias("recent_active"),
+        count_where(is_open() & (F.col("event_date") >= fortnight) & (F.col("event_date") < week)).alias("prior_active"),
         *[F.max(f).alias(f) for f in flags],
     )
     return base.withColumn("risk", F.col("weighted_sum") * recurrence_factor("episodes")).drop("weighted_sum")
@@ -105,10 +101,10 @@ def fleet_system_health(stats: DataFrame) -> DataFrame:
 
 def fleet_fault_trends(vfm: DataFrame, params: Params) -> DataFrame:
     per_vehicle = vfm.groupBy("clientLoginId", "event_date", "uniqueid").agg(
-        count_where(OPEN).alias("active"), count_where(OPEN & SEVERE).alias("critical"), F.count("*").alias("n"),
+        count_where(is_open()).alias("active"), count_where(is_open() & is_severe()).alias("critical"), F.count("*").alias("n"),
         count_where(F.col("is_resolved") == 1).alias("resolved"),
         count_where(F.col("driver_related") == 1).alias("driver"),
-        F.sum(F.when(OPEN, severity_multiplier("severity_level")).otherwise(0.0)).alias("sev"))
+        F.sum(F.when(is_open(), severity_multiplier("severity_level")).otherwise(0.0)).alias("sev"))
     mean_severity = F.sum("sev") / F.greatest(count_where(F.col("active") > 0), F.lit(1))
     return per_vehicle.groupBy("clientLoginId", F.col("event_date").alias("date")).agg(
         F.sum("active").alias("active_faults"), F.sum("critical").alias("critical_faults"),
@@ -159,7 +155,7 @@ def maintenance_candidates(vfm: DataFrame, stats: DataFrame, codes: DataFrame) -
     actions = codes.select("dtc_code", F.col("action_required").alias("recommended_action"))
     eps = F.coalesce("eps_30", F.lit(0))
     score = severity_multiplier("severity_level") * duration_factor("resolution_time_sec") * (1.0 + eps)
-    return vfm.filter(OPEN).join(recent, ["uniqueid", "dtc_code"], "left").join(actions, "dtc_code", "left").select(
+    return vfm.filter(is_open()).join(recent, ["uniqueid", "dtc_code"], "left").join(actions, "dtc_code", "left").select(
         "clientLoginId", "uniqueid", "vehicle_number", "dtc_code", "description", "severity_level",
         F.col("resolution_time_sec").alias("fault_duration_sec"), eps.alias("episodes_last_30_days"),
         score.alias("maintenance_priority_score"),

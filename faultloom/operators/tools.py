@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultloom.functions.scoring import count_where, mean_positive, severity_multiplier
-from faultloom.operators.dashboard import OPEN, SEVERE, _other_codes, of_customer, recent
+from faultloom.functions.scoring import (
+    by_driver, count_where, has_lasted, is_open, is_severe, mean_positive, severity_multiplier,
+)
+from faultloom.operators.dashboard import _other_codes, of_customer, recent
 from faultloom.operators.rollups import weighted_mode
 from faultloom.params import clamp_limit
 
-LASTED = F.col("resolution_time_sec") > 0
-DRIVER = F.col("driver_related") == 1
 
 
 def fleet_health_totals(w, customer: str | None = None) -> DataFrame:
@@ -33,8 +33,8 @@ def fleet_health_snapshot(w, customer: str | None = None) -> DataFrame:
             "fleet_health_score", "most_common_dtc", "most_common_system", "active_fault_trend")
     faults = of_customer(w.vfm, customer)
     per_vehicle = faults.groupBy("uniqueid").agg(
-        F.max(F.when(OPEN, 1)).alias("open"), F.max(F.when(OPEN & SEVERE, 1)).alias("severe"),
-        count_where(DRIVER).alias("driver"))
+        F.max(F.when(is_open(), 1)).alias("open"), F.max(F.when(is_open() & is_severe(), 1)).alias("severe"),
+        count_where(by_driver()).alias("driver"))
     totals = per_vehicle.agg(
         F.count("*").alias("total_vehicles"), F.count("open").alias("vehicles_with_active_faults"),
         F.count("severe").alias("vehicles_with_critical_faults"),
@@ -51,7 +51,7 @@ def fleet_health_recent_trend(w, customer: str | None = None, days: int = 30) ->
     if customer:
         return of_customer(recent(w, days), customer).groupBy(F.col("event_date").alias("date")).agg(
             F.count("*").alias("active_faults"), count_where(F.col("is_resolved") == 1).alias("resolved_faults"),
-            count_where(DRIVER).alias("driver_related_faults")).orderBy(F.desc("date")).limit(7)
+            count_where(by_driver()).alias("driver_related_faults")).orderBy(F.desc("date")).limit(7)
     return w.trends.orderBy(F.desc("date"), "clientLoginId").limit(7).select(
         "date", "fleet_health_score", "active_faults", "resolved_faults", "driver_related_faults")
 
@@ -66,9 +66,9 @@ def fleet_dtc_distribution(w, customer: str | None = None, days: int = 30, limit
     per_vehicle = of_customer(recent(w, days), customer).groupBy("dtc_code", "uniqueid").agg(
         F.min("description").alias("description"), F.min("system").alias("system"),
         F.min("subsystem").alias("subsystem"), F.min("severity_level").alias("severity_level"),
-        F.max(F.when(OPEN, 1)).alias("open"), F.sum("occurrence_count").alias("occ"), F.count("*").alias("n"),
-        F.sum(F.when(LASTED, F.col("resolution_time_sec"))).alias("sec"), count_where(LASTED).alias("lasted"),
-        count_where(DRIVER).alias("driver"))
+        F.max(F.when(is_open(), 1)).alias("open"), F.sum("occurrence_count").alias("occ"), F.count("*").alias("n"),
+        F.sum(F.when(has_lasted(), F.col("resolution_time_sec"))).alias("sec"), count_where(has_lasted()).alias("lasted"),
+        count_where(by_driver()).alias("driver"))
     return per_vehicle.groupBy("dtc_code").agg(
         F.min("description").alias("description"), F.min("system").alias("system"),
         F.min("subsystem").alias("subsystem"), F.min("severity_level").alias("severity_level"),
@@ -85,7 +85,7 @@ def fleet_trends(w, customer: str | None = None, days: int = 30) -> DataFrame:
         return of_customer(recent(w, days), customer).groupBy(F.col("event_date").alias("date")).agg(
             F.count("*").alias("active_faults"), F.count("*").alias("new_faults"),
             count_where(F.col("is_resolved") == 1).alias("resolved_faults"),
-            count_where(DRIVER).alias("driver_related_faults")).orderBy("date")
+            count_where(by_driver()).alias("driver_related_faults")).orderBy("date")
     return w.trends.select(
         "date", "fleet_health_score", "active_faults", "new_faults", "resolved_faults", "driver_related_faults",
     ).orderBy("date")
@@ -111,7 +111,7 @@ def vehicle_health_status(w, vehicle_number: str | None = None, uniqueid: str |
 def vehicle_fault_summary(w, vehicle_number: str | None = None, uniqueid: str | None = None) -> DataFrame:
     return _of_vehicle(w.vfm, vehicle_number, uniqueid).groupBy("dtc_code", "system", "description").agg(
         F.count("*").alias("episodes"), F.max("severity_level").alias("max_severity"),
-        count_where(OPEN).alias("unresolved"), F.min("first_ts").alias("earliest_ts"),
+        count_where(is_open()).alias("unresolved"), F.min("first_ts").alias("earliest_ts"),
         F.max("last_ts").alias("latest_ts"), F.round(F.avg("resolution_time_sec"), 0).alias("avg_resolution_sec"),
     ).orderBy(F.desc("unresolved"), F.desc("episodes"), "dtc_code").limit(15)
 
@@ -122,7 +122,7 @@ def vehicle_faults(
     days = clamp_limit(days, 90, 1, 3650)
     rows = recent(w, days, _of_vehicle(w.vfm, vehicle_number, uniqueid))
     if unresolved_only:
-        rows = rows.filter(OPEN)
+        rows = rows.filter(is_open())
     return rows.orderBy(F.desc("event_date"), F.desc("severity_level"), "episode_id").limit(50).select(
         "episode_id", "dtc_code", "system", "subsystem", "description", "severity_level", "is_resolved", "event_date",
         "first_ts", "last_ts", "occurrence_count", "resolution_time_sec", "driver_related", "vehicle_health_score")
@@ -166,14 +166,14 @@ def maintenance_priority(w, customer: str | None = None, limit: int = 10) -> Dat
 
 
 def _open_severity() -> F.Column:
-    return F.sum(F.when(OPEN, severity_multiplier("severity_level")).otherwise(0.0))
+    return F.sum(F.when(is_open(), severity_multiplier("severity_level")).otherwise(0.0))
 
 
 def fleet_system_health(w, customer: str | None = None) -> DataFrame:
     if customer:
         per_vehicle = of_customer(w.vfm, customer).filter("system <> ''").groupBy("system", "uniqueid").agg(
-            F.max(F.when(OPEN, 1)).alias("open"), count_where(OPEN).alias("active"),
-            count_where(OPEN & SEVERE).alias("critical"), _open_severity().alias("sev"))
+            F.max(F.when(is_open(), 1)).alias("open"), count_where(is_open()).alias("active"),
+            count_where(is_open() & is_severe()).alias("critical"), _open_severity().alias("sev"))
         return per_vehicle.groupBy("system").agg(
             F.count("open").alias("vehicles_affected"), F.sum("active").alias("active_faults"),
             F.sum("critical").alias("critical_faults"), F.round(F.sum("sev"), 1).alias("risk_score"),
@@ -189,9 +189,9 @@ def dtc_fleet_impact(w, customer: str | None = None, limit: int = 15) -> DataFra
         rows = w.impact
     else:
         per_vehicle = of_customer(w.vfm, customer).groupBy("dtc_code", "uniqueid").agg(
-            F.min("system").alias("system"), F.min("subsystem").alias("subsystem"), F.max(F.when(OPEN, 1)).alias("open"),
-            F.sum(F.when(LASTED, F.col("resolution_time_sec"))).alias("sec"), count_where(LASTED).alias("lasted"),
-            count_where(DRIVER).alias("driver"), F.count("*").alias("n"), _open_severity().alias("sev"))
+            F.min("system").alias("system"), F.min("subsystem").alias("subsystem"), F.max(F.when(is_open(), 1)).alias("open"),
+            F.sum(F.when(has_lasted(), F.col("resolution_time_sec"))).alias("sec"), count_where(has_lasted()).alias("lasted"),
+            count_where(by_driver()).alias("driver"), F.count("*").alias("n"), _open_severity().alias("sev"))
         rows = per_vehicle.groupBy("dtc_code").agg(
             F.min("system").alias("system"), F.min("subsystem").alias("subsystem"),
             F.count("*").alias("vehicles_affected"), F.count("open").alias("active_vehicles"),

@@ -194,26 +194,26 @@ def node_stage_metrics(nodes: DataFrame) -> DataFrame:
     low = F.lower(_text("output_text"))
     writers = of("analyze_faults", "reason_root_cause", "assess_maintenance", "generate_recommendation")
     intent = F.trim(_text("intent"))
-    per_node = {
-        of("detect_intent"): {
+    per_node = [
+        (of("detect_intent"), {
             "intent_valid": yes(intent != ""), "intent_known": yes(intent.isin(*KNOWN_INTENTS)),
-            "intent_is_unknown": yes(intent == "unknown")},
-        of("build_context"): {
+            "intent_is_unknown": yes(intent == "unknown")}),
+        (of("build_context"), {
             "scope_hints_count": _len("scope_hints"), "has_customer_scope": has("customer_name"),
-            "has_vehicle_scope": has("vehicle_number"), "has_dtc_scope": has("dtc_code"), "has_mode_scope": has("mode")},
-        of("investigate_data"): {
+            "has_vehicle_scope": has("vehicle_number"), "has_dtc_scope": has("dtc_code"), "has_mode_scope": has("mode")}),
+        (of("investigate_data"), {
             "tool_called": yes(_len("tools_used") > 0), "tool_count": _len("tools_used"),
             "tool_results_count": F.size(results), "tool_error_count": failed,
             "tool_error_rate": F.round(failed / F.greatest(F.size(results), F.lit(1)), 3),
-            "sql_query_count": F.size(sql), "sql_success_count": F.size(F.filter(sql, lambda e: e["success"]))},
-        writers: {
+            "sql_query_count": F.size(sql), "sql_success_count": F.size(F.filter(sql, lambda e: e["success"]))}),
+        (writers, {
             "output_chars": F.length(_text("output_text")),
-            "output_non_empty": yes(F.trim(_text("output_text")) != "")},
-        of("explain"): {
+            "output_non_empty": yes(F.trim(_text("output_text")) != "")}),
+        (of("explain"), {
             "final_answer_chars": F.length(low), "final_answer_non_empty": yes(F.trim(low) != ""),
-            **{f"has_{s}_section": yes(low.contains(s)) for s in ("problem", "cause", "impact", "action")}},
-    }
-    cols = [F.when(cond, value).alias(name) for cond, group in per_node.items() for name, value in group.items()]
+            **{f"has_{s}_section": yes(low.contains(s)) for s in ("problem", "cause", "impact", "action")}}),
+    ]
+    cols = [F.when(cond, value).alias(name) for cond, group in per_node for name, value in group.items()]
     return nodes.select("request_id", "pos", "node", *cols)
 
 

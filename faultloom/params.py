@@ -44,6 +44,9 @@ class Params:
     def thirty_days_ago_ts(self) -> int:
         return self.as_of - 30 * DAY
 
+    def days_ago_ts(self, days: int) -> int:
+        return self.as_of - int(days) * DAY
+
     def days_ago(self, days: int) -> date:
         return self.today - timedelta(days=int(days))
 
