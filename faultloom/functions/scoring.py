@@ -12,6 +12,12 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def settle(col, digits: int) -> Column:
+    """Rounded value that does not hang on the last bit of a sum: the order in
+    which tasks add up must not move a value across a rounding boundary."""
+    return F.round(F.round(_c(col), 9), digits)
+
+
 def severity_multiplier(level) -> Column:
     """Weight of a severity level; an unknown level weighs like level 1."""
     level = F.coalesce(_c(level).cast("int"), F.lit(1))
@@ -101,12 +107,12 @@ def health_label(score) -> Column:
 def unit_score(col, default: float = 0.5) -> Column:
     """A recorded score held inside 0..1, three decimals, default when unusable."""
     value = F.coalesce(_c(col).try_cast("double"), F.lit(default))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(value, 3)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), settle(value, 3)))
 
 
 def final_score(correctness, groundedness, relevance, completeness) -> Column:
     # fixed weights: 0.30, 0.25, 0.20, 0.25
-    return F.round(
+    return settle(
         0.30 * unit_score(correctness) + 0.25 * unit_score(groundedness)
         + 0.20 * unit_score(relevance) + 0.25 * unit_score(completeness), 3,
     )

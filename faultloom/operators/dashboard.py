@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultloom.functions.scoring import count_where, is_open, is_severe
+from faultloom.functions.scoring import count_where, is_open, is_severe, settle
 
 DEFAULT_ACTION = "Schedule preventive maintenance."  # fixed value
 
@@ -64,7 +64,7 @@ def fleet_kpis(w, days: int = 30, customer: str | None = None) -> DataFrame:
     vehicles = of_customer(w.vhs, customer).agg(
         F.count("*").alias("total_vehicles"), count_where(F.col("active_fault_count") > 0).alias("vehicles_with_dtcs"),
         count_where(F.col("critical_fault_count") > 0).alias("critical_vehicles"),
-        F.round(_mean(F.col("vehicle_health_score")), 2).alias("fleet_health_score"))
+        settle(_mean(F.col("vehicle_health_score")), 2).alias("fleet_health_score"))
     is_recent = F.col("event_date") >= F.lit(w.params.days_ago(days))
     lasted = (F.col("is_resolved") == 1) & is_recent & (F.col("resolution_time_sec") > 0)
     # per vehicle first, so that the distinct count needs no second copy of the rows
@@ -74,7 +74,7 @@ def fleet_kpis(w, days: int = 30, customer: str | None = None) -> DataFrame:
         F.sum(F.when(is_recent, F.col("occurrence_count"))).alias("alerts"),
         count_where(is_severe() & is_recent).alias("critical_alerts"))
     faults = per_vehicle.agg(
-        F.round(F.coalesce(F.try_divide(F.sum("days"), F.sum("lasted")), F.lit(0.0)), 1).alias("avg_resolution_days"),
+        settle(F.coalesce(F.try_divide(F.sum("days"), F.sum("lasted")), F.lit(0.0)), 1).alias("avg_resolution_days"),
         F.count("due").alias("maintenance_due"), _zero(F.sum("alerts")).alias("total_dtc_alerts"),
         _zero(F.sum("critical_alerts")).alias("critical_alerts"))
     # two one-row results side by side
@@ -141,7 +141,7 @@ def severity_breakdown(w, days: int = 30, customer: str | None = None) -> DataFr
     level = F.when(is_severe(), "Critical").when(F.col("severity_level") == 2, "Moderate").otherwise("Minor")
     counts = of_customer(recent(w, days), customer).groupBy(level.alias("level")).agg(F.count("*").alias("count"))
     total = counts.select(F.sum("count")).scalar()
-    return counts.withColumn("percentage", F.round(F.col("count") / total * 100, 1)).orderBy(F.desc("count"), "level")
+    return counts.withColumn("percentage", settle(F.col("count") / total * 100, 1)).orderBy(F.desc("count"), "level")
 
 
 def dtc_trend(w, dtc_code: str, days: int = 30, customer: str | None = None) -> DataFrame:
@@ -175,8 +175,8 @@ def selected_dtc_kpis(w, dtc_code: str, days: int = 30, customer: str | None = N
     return per_vehicle.agg(
         F.min("system").alias("system"), F.min("subsystem").alias("subsystem"), F.count("*").alias("affected_vehicles"),
         F.sum("open").alias("active_episodes"), F.sum("critical").alias("critical_episodes"),
-        F.round(F.coalesce(F.try_divide(F.sum("days"), F.sum("lasted")), F.lit(0.0)), 1).alias("avg_resolution_days"),
-        F.round(F.try_divide(F.sum("driver"), F.sum("n")), 3).alias("driver_related_ratio"),
+        settle(F.coalesce(F.try_divide(F.sum("days"), F.sum("lasted")), F.lit(0.0)), 1).alias("avg_resolution_days"),
+        settle(F.try_divide(F.sum("driver"), F.sum("n")), 3).alias("driver_related_ratio"),
         F.max("seen").alias("last_seen_date"),
     ).filter("affected_vehicles > 0").withColumn("dtc_code", F.lit(dtc_code))
 
@@ -219,7 +219,7 @@ def selected_dtc_vehicles(
     return per_vehicle.join(scores, "uniqueid", "left").select(
         "uniqueid", F.coalesce(F.nullif("vehicle_number", F.lit("")), F.col("uniqueid")).alias("vehicle_number"),
         "episode_count", "active_episodes", "max_severity", "last_reported_date",
-        F.round(F.coalesce("vehicle_health_score", F.lit(0.0)), 1).alias("health_score"),
+        settle(F.coalesce("vehicle_health_score", F.lit(0.0)), 1).alias("health_score"),
     ).orderBy(*_worst_first("uniqueid"))
 
 
@@ -299,7 +299,7 @@ def fleet_health_snap(w, customer: str | None = None) -> DataFrame:
         F.sum("vehicles_with_active_faults").alias("vehicles_with_active_faults"),
         F.sum("vehicles_with_critical_faults").alias("vehicles_with_critical_faults"),
         F.sum("driver_related_faults").alias("driver_related_faults"),
-        F.round(F.coalesce(F.try_divide(F.sum(F.col("fleet_health_score") * weight), F.sum(weight)), F.lit(100.0)), 2)
+        settle(F.coalesce(F.try_divide(F.sum(F.col("fleet_health_score") * weight), F.sum(weight)), F.lit(100.0)), 2)
         .alias("fleet_health_score"),
         F.coalesce(pick("most_common_dtc"), F.lit("")).alias("most_common_dtc"),
         F.coalesce(pick("most_common_system"), F.lit("")).alias("most_common_system"),
@@ -311,7 +311,7 @@ def fleet_system_health(w, customer: str | None = None) -> DataFrame:
     name = F.when(F.col("system").isin("", "nan"), "other").otherwise(F.col("system"))
     return of_customer_tenants(w, w.systems, customer).groupBy(name.alias("system")).agg(
         F.sum("vehicles_affected").alias("vehicles_affected"), F.sum("active_faults").alias("active_faults"),
-        F.sum("critical_faults").alias("critical_faults"), F.round(F.avg("risk_score"), 2).alias("risk_score"),
+        F.sum("critical_faults").alias("critical_faults"), settle(F.avg("risk_score"), 2).alias("risk_score"),
         F.min("trend").alias("trend")).orderBy(F.desc("risk_score"), "system")
 
 
@@ -320,23 +320,23 @@ def fleet_fault_trends(w, days: int = 30, customer: str | None = None) -> DataFr
         F.col("date").alias("event_date")).agg(
         F.sum("active_faults").alias("active_faults"), F.sum("new_faults").alias("new_faults"),
         F.sum("resolved_faults").alias("resolved_faults"), F.sum("driver_related_faults").alias("driver_related_faults"),
-        F.round(F.avg("fleet_health_score"), 2).alias("fleet_health_score")).orderBy("event_date")
+        settle(F.avg("fleet_health_score"), 2).alias("fleet_health_score")).orderBy("event_date")
 
 
 def dtc_fleet_impact(w, limit: int = 20) -> DataFrame:
     return w.impact.groupBy("dtc_code").agg(
         F.min("system").alias("system"), F.min("subsystem").alias("subsystem"),
         F.sum("vehicles_affected").alias("vehicles_affected"), F.sum("active_vehicles").alias("active_vehicles"),
-        F.round(F.avg("avg_resolution_time"), 1).alias("avg_resolution_time"),
-        F.round(F.avg("driver_related_ratio"), 3).alias("driver_related_ratio"),
-        F.round(F.avg("fleet_risk_score"), 2).alias("fleet_risk_score"),
+        settle(F.avg("avg_resolution_time"), 1).alias("avg_resolution_time"),
+        settle(F.avg("driver_related_ratio"), 3).alias("driver_related_ratio"),
+        settle(F.avg("fleet_risk_score"), 2).alias("fleet_risk_score"),
     ).orderBy(F.desc("fleet_risk_score"), "dtc_code").limit(int(limit))
 
 
 def dtc_cooccurrence(w, limit: int = 20) -> DataFrame:
     return w.cooccurrence.groupBy("dtc_code_a", "dtc_code_b").agg(
         F.sum("cooccurrence_count").alias("cooccurrence_count"), F.sum("vehicles_affected").alias("vehicles_affected"),
-        F.round(F.avg("avg_time_gap_sec"), 1).alias("avg_time_gap_sec"),
+        settle(F.avg("avg_time_gap_sec"), 1).alias("avg_time_gap_sec"),
     ).orderBy(F.desc("cooccurrence_count"), "dtc_code_a", "dtc_code_b").limit(int(limit))
 
 
@@ -356,12 +356,12 @@ def vehicle_health_detail(w, uniqueid: str) -> DataFrame:
     return w.vhs.filter(F.col("uniqueid") == uniqueid).select(
         "uniqueid", "vehicle_number", "customer_name", "vehicle_health_score", "active_fault_count",
         "critical_fault_count", "total_episodes", "episodes_last_30_days",
-        F.round("avg_resolution_time", 1).alias("avg_resolution_time"), "driver_related_faults", "most_common_dtc",
+        settle("avg_resolution_time", 1).alias("avg_resolution_time"), "driver_related_faults", "most_common_dtc",
         *flags).limit(1)
 
 
 def enhanced_maintenance(w, limit: int = 30, customer: str | None = None) -> DataFrame:
     return _top_maintenance(w, limit, customer).select(
         "uniqueid", "vehicle_number", "dtc_code", "description", "severity_level", "fault_duration_sec",
-        "episodes_last_30_days", F.round("maintenance_priority_score", 1).alias("maintenance_priority_score"),
+        "episodes_last_30_days", settle("maintenance_priority_score", 1).alias("maintenance_priority_score"),
         _action().alias("recommended_action"))

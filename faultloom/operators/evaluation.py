@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultloom.functions.scoring import count_where
+from faultloom.functions.scoring import count_where, settle
 
 
 def _words(col: str) -> Column:
@@ -40,10 +40,10 @@ def keyword_hits(expected: str = "expected_output_contains", text: str = "text")
 
 
 def heuristic_scores(intent_match: Column, hits: Column, recall: Column) -> dict[str, Column]:
-    risk = F.greatest(F.lit(0.0), F.round(1.0 - (0.6 * hits + 0.4 * recall), 3))
+    risk = F.greatest(F.lit(0.0), settle(1.0 - (0.6 * hits + 0.4 * recall), 3))
     return {
-        "correctness": F.round(hits, 3), "relevance": F.round(0.6 * intent_match + 0.4 * hits, 3),
-        "completeness": F.round(0.5 * hits + 0.5 * recall, 3), "hallucination_risk": risk,
+        "correctness": settle(hits, 3), "relevance": settle(0.6 * intent_match + 0.4 * hits, 3),
+        "completeness": settle(0.5 * hits + 0.5 * recall, 3), "hallucination_risk": risk,
     }
 
 
@@ -58,9 +58,9 @@ def sql_metrics(events: str = "sql_events", expected: str = "expected_tools") ->
     shape = _share(F.size(shaped), n, none)
     return {
         "sql_query_count": n,
-        "sql_success_rate": F.round(_share(F.size(F.filter(ev, lambda e: e["success"])), n, none), 3),
-        "sql_tool_alignment": F.round(alignment, 3), "sql_shape_validity": F.round(shape, 3),
-        "sql_relevance_score": F.round(0.7 * alignment + 0.3 * shape, 3),
+        "sql_success_rate": settle(_share(F.size(F.filter(ev, lambda e: e["success"])), n, none), 3),
+        "sql_tool_alignment": settle(alignment, 3), "sql_shape_validity": settle(shape, 3),
+        "sql_relevance_score": settle(0.7 * alignment + 0.3 * shape, 3),
     }
 
 
@@ -72,11 +72,11 @@ def node_latency_stats(trace_log: str = "trace_log") -> dict[str, Column]:
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, e: acc + duration(e))
     names = F.array_sort(F.array_distinct(F.transform(nodes, name)))
     by_node = F.transform(names, lambda n: F.struct(
-        n, F.round(total(F.filter(nodes, lambda e: name(e) == n)), 3)))
+        n, settle(total(F.filter(nodes, lambda e: name(e) == n)), 3)))
     return {
-        "node_events_count": F.size(nodes), "node_latency_total_sec": F.round(total(nodes), 3),
-        "node_latency_avg_sec": F.round(_share(total(nodes), F.size(nodes), 0.0), 3),
-        "node_latency_max_sec": F.round(F.coalesce(F.array_max(F.transform(nodes, duration)), F.lit(0.0)), 3),
+        "node_events_count": F.size(nodes), "node_latency_total_sec": settle(total(nodes), 3),
+        "node_latency_avg_sec": settle(_share(total(nodes), F.size(nodes), 0.0), 3),
+        "node_latency_max_sec": settle(F.coalesce(F.array_max(F.transform(nodes, duration)), F.lit(0.0)), 3),
         "node_latency_by_node": F.map_from_entries(by_node),
     }
 
@@ -90,7 +90,7 @@ def score_questions(questions: DataFrame, results: DataFrame) -> DataFrame:
     has_judge = "judge" in results.columns
     judged = F.col("judge").isNotNull() if has_judge else F.lit(False)
     score = {
-        k: F.when(judged, F.round(F.col(f"judge.{k}"), 3)).otherwise(v) if has_judge else v
+        k: F.when(judged, settle(F.col(f"judge.{k}"), 3)).otherwise(v) if has_judge else v
         for k, v in heuristic.items()}
     tokens = [F.coalesce(f"token_usage.{c}", F.lit(0)).alias(f"tokens_{c}") for c in ("prompt", "completion")]
     base = joined.select(
@@ -98,7 +98,7 @@ def score_questions(questions: DataFrame, results: DataFrame) -> DataFrame:
         F.coalesce("intent", F.lit("")).alias("actual_intent"), match.alias("intent_match"),
         F.array_sort(F.array_distinct(_words("expected_tools"))).alias("expected_tools"),
         F.array_sort(F.array_distinct(_words("tools_called"))).alias("actual_tools"),
-        *[F.round(v, 3).alias(k) for k, v in prf.items()], F.round(hits, 3).alias("keyword_hits"),
+        *[settle(v, 3).alias(k) for k, v in prf.items()], settle(hits, 3).alias("keyword_hits"),
         *[v.alias(k) for k, v in score.items()],
         *[v.alias(k) for k, v in sql_metrics().items()],
         F.when(judged, "llm").otherwise("heuristic").alias("judge_mode"),
@@ -106,8 +106,8 @@ def score_questions(questions: DataFrame, results: DataFrame) -> DataFrame:
         *[v.alias(k) for k, v in node_latency_stats().items()],
         _words("failure_reasons").alias("failure_reasons"))
     return base.withColumns({
-        "hallucination_score": F.round(1.0 - F.col("hallucination_risk"), 3),
-        "groundedness_score": F.round(1.0 - F.col("hallucination_risk"), 3),
+        "hallucination_score": settle(1.0 - F.col("hallucination_risk"), 3),
+        "groundedness_score": settle(1.0 - F.col("hallucination_risk"), 3),
         "tokens_total": F.col("tokens_prompt") + F.col("tokens_completion"),
     })
 
@@ -131,19 +131,19 @@ def _summary_columns() -> list[Column]:
     weighted = sum((w * F.avg(mean[name]) for name, w in WEIGHTS.items()), F.lit(0.0))
     failed = F.size("failure_reasons") > 0
     too_long = F.exists("failure_reasons", lambda r: F.contains(r, F.lit("context_length_exceeded")))
-    share = lambda cond: F.round(F.try_divide(count_where(cond), F.count("*")), 4)
+    share = lambda cond: settle(F.try_divide(count_where(cond), F.count("*")), 4)
     return [
         F.count("*").alias("questions_evaluated"),
-        *[F.round(F.avg(c), 4).alias(name) for name, c in mean.items()],
-        F.round(F.avg("latency_sec"), 3).alias("avg_latency_sec"),
-        F.round(F.avg("node_latency_avg_sec"), 3).alias("avg_node_latency_sec"),
-        F.round(F.avg("node_latency_max_sec"), 3).alias("avg_node_max_latency_sec"),
+        *[settle(F.avg(c), 4).alias(name) for name, c in mean.items()],
+        settle(F.avg("latency_sec"), 3).alias("avg_latency_sec"),
+        settle(F.avg("node_latency_avg_sec"), 3).alias("avg_node_latency_sec"),
+        settle(F.avg("node_latency_max_sec"), 3).alias("avg_node_max_latency_sec"),
         *[F.coalesce(F.sum(f"tokens_{c}"), F.lit(0)).alias(f"total_tokens_{out}")
           for c, out in (("prompt", "prompt"), ("completion", "completion"), ("total", "all"))],
-        *[F.round(F.avg(f"tokens_{c}"), 3).alias(f"avg_{out}tokens_per_question")
+        *[settle(F.avg(f"tokens_{c}"), 3).alias(f"avg_{out}tokens_per_question")
           for c, out in (("total", ""), ("prompt", "prompt_"), ("completion", "completion_"))],
         share(failed).alias("failure_rate"), count_where(failed).alias("failed_questions_count"),
-        count_where(~failed).alias("successful_questions_count"), F.round(weighted, 4).alias("weighted_score"),
+        count_where(~failed).alias("successful_questions_count"), settle(weighted, 4).alias("weighted_score"),
         share(F.col("judge_mode") == "llm").alias("llm_judge_ratio"), share(too_long).alias("context_length_error_rate"),
         share(F.size("actual_tools") > 0).alias("tool_usage_rate"),
     ]

@@ -78,7 +78,8 @@ WINDOW = 1024
 def _found_inline(texts: DataFrame, names: DataFrame) -> DataFrame:
     """Names per text when there are few of them: one array, tested per row."""
     every = names.agg(F.collect_list(F.struct(*names.columns))).scalar()
-    return texts.withColumn("found", F.filter(every, lambda n: F.contains(F.lower("text"), n["identity"])))
+    return texts.withColumn("_names", every).select(
+        "text", F.filter("_names", lambda n: F.contains(F.lower("text"), n["identity"])).alias("found"))
 
 
 def _found_by_join(texts: DataFrame, names: DataFrame, lengths: list[int]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultloom.functions.scoring import final_score as final_score_of
+from faultloom.functions.scoring import final_score as final_score_of, settle
 from faultloom.operators.traces import EVIDENCE_SECTIONS, node_events
 
 REQUEST_FILTERS = ("intent", "root_cause", "env_name", "release_version")
@@ -101,7 +101,7 @@ def prompt_refinement_queue(cohorts: DataFrame, buckets: DataFrame) -> DataFrame
     weight = F.least(F.col("runs").cast("double"), F.lit(50.0)) / 50.0
     return joined.select(
         "prompt_key", "prompt_version", "avg_node_score", "avg_final_score", "runs", "dominant_root_cause",
-        "root_cause_runs", F.round(0.7 * need + 0.3 * weight, 3).alias("priority_score"),
+        "root_cause_runs", settle(0.7 * need + 0.3 * weight, 3).alias("priority_score"),
         _advice("prompt_key", "dominant_root_cause").alias("suggested_refinement"),
     ).orderBy(F.desc("priority_score"), "avg_node_score", F.desc("runs"), "prompt_key", "prompt_version")
 
@@ -197,12 +197,12 @@ def chat_metrics(payloads: DataFrame, latency: str = "latency_sec") -> DataFrame
     failed = F.size(F.filter(results, lambda r: r["error"].isNotNull()))
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
     return payloads.select(
-        "request_id", F.round(latency, 2).alias("latency_sec"), calls.alias("tools_called"),
+        "request_id", settle(latency, 2).alias("latency_sec"), calls.alias("tools_called"),
         size("nodes_executed").alias("nodes_executed_count"),
         F.coalesce("token_usage.prompt", F.lit(0)).alias("tokens_prompt"),
         F.coalesce("token_usage.completion", F.lit(0)).alias("tokens_completion"),
         size("failure_reasons").alias("failure_count"),
-        F.when(calls > 0, F.round((calls - failed) / calls, 3)).otherwise(1.0).alias("sql_success_rate"))
+        F.when(calls > 0, settle((calls - failed) / calls, 3)).otherwise(1.0).alias("sql_success_rate"))
 
 
 def evidence_count(payloads: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultloom.functions.scoring import (
-    by_driver, count_where, has_lasted, is_open, is_severe, mean_positive, severity_multiplier,
+    by_driver, count_where, has_lasted, is_open, is_severe, mean_positive, settle, severity_multiplier,
 )
 from faultloom.operators.dashboard import _other_codes, of_customer, recent
 from faultloom.operators.rollups import weighted_mode
@@ -20,7 +20,7 @@ def fleet_health_totals(w, customer: str | None = None) -> DataFrame:
     return of_customer(w.vhs, customer).agg(
         F.count("*").alias("total_vehicles"), count_where(F.col("active_fault_count") > 0).alias("vehicles_with_active_faults"),
         count_where(F.col("critical_fault_count") > 0).alias("vehicles_with_critical_faults"),
-        F.round(F.avg("vehicle_health_score"), 1).alias("avg_health_score"),
+        settle(F.avg("vehicle_health_score"), 1).alias("avg_health_score"),
         F.coalesce(F.sum("active_fault_count"), zero).alias("total_active_faults"),
         F.coalesce(F.sum("critical_fault_count"), zero).alias("total_critical_faults"),
         F.coalesce(F.sum("driver_related_faults"), zero).alias("total_driver_related_faults"))
@@ -59,7 +59,7 @@ def fleet_health_recent_trend(w, customer: str | None = None, days: int = 30) ->
 def fleet_dtc_distribution(w, customer: str | None = None, days: int = 30, limit: int = 10) -> DataFrame:
     limit, days = clamp_limit(limit, 10, 1, 200), clamp_limit(days, 30, 1, 365)
     cols = ["dtc_code", "description", "system", "subsystem", "severity_level", "vehicles_affected", "active_vehicles",
-            "total_occurrences", "total_episodes", F.round("avg_resolution_time", 1).alias("avg_resolution_time"),
+            "total_occurrences", "total_episodes", settle("avg_resolution_time", 1).alias("avg_resolution_time"),
             "driver_related_count"]
     if not customer:
         return w.distribution.orderBy(F.desc("total_occurrences"), "dtc_code", "clientLoginId").limit(limit).select(*cols)
@@ -104,7 +104,7 @@ def vehicle_health_status(w, vehicle_number: str | None = None, uniqueid: str |
     return _of_vehicle(w.vhs, vehicle_number, uniqueid).orderBy("uniqueid").limit(1).select(
         "uniqueid", "vehicle_number", "customer_name", "vehicle_health_score", "active_fault_count",
         "critical_fault_count", "total_episodes", "episodes_last_30_days",
-        F.round("avg_resolution_time", 1).alias("avg_resolution_time"), "driver_related_faults", "most_common_dtc",
+        settle("avg_resolution_time", 1).alias("avg_resolution_time"), "driver_related_faults", "most_common_dtc",
         "has_engine_issue", "has_emission_issue", "has_safety_issue", "has_electrical_issue")
 
 
@@ -112,7 +112,7 @@ def vehicle_fault_summary(w, vehicle_number: str | None = None, uniqueid: str |
     return _of_vehicle(w.vfm, vehicle_number, uniqueid).groupBy("dtc_code", "system", "description").agg(
         F.count("*").alias("episodes"), F.max("severity_level").alias("max_severity"),
         count_where(is_open()).alias("unresolved"), F.min("first_ts").alias("earliest_ts"),
-        F.max("last_ts").alias("latest_ts"), F.round(F.avg("resolution_time_sec"), 0).alias("avg_resolution_sec"),
+        F.max("last_ts").alias("latest_ts"), settle(F.avg("resolution_time_sec"), 0).alias("avg_resolution_sec"),
     ).orderBy(F.desc("unresolved"), F.desc("episodes"), "dtc_code").limit(15)
 
 
@@ -146,7 +146,7 @@ def dtc_cooccurrence(w, dtc_code: str, customer: str | None = None) -> DataFrame
         a, b = F.col("dtc_code_a"), F.col("dtc_code_b")
         rows = w.cooccurrence.filter((a == dtc_code) | (b == dtc_code)).select(
             F.when(a == dtc_code, b).otherwise(a).alias("cooccurring_dtc"), "cooccurrence_count", "vehicles_affected",
-            F.round("avg_time_gap_sec", 0).alias("avg_time_gap_sec"))
+            settle("avg_time_gap_sec", 0).alias("avg_time_gap_sec"))
     return rows.orderBy(F.desc("vehicles_affected"), "cooccurring_dtc").limit(15)
 
 
@@ -176,10 +176,10 @@ def fleet_system_health(w, customer: str | None = None) -> DataFrame:
             count_where(is_open() & is_severe()).alias("critical"), _open_severity().alias("sev"))
         return per_vehicle.groupBy("system").agg(
             F.count("open").alias("vehicles_affected"), F.sum("active").alias("active_faults"),
-            F.sum("critical").alias("critical_faults"), F.round(F.sum("sev"), 1).alias("risk_score"),
+            F.sum("critical").alias("critical_faults"), settle(F.sum("sev"), 1).alias("risk_score"),
         ).orderBy(F.desc("risk_score"), "system")
     return w.systems.select(
-        "system", "vehicles_affected", "active_faults", "critical_faults", F.round("risk_score", 1).alias("risk_score"),
+        "system", "vehicles_affected", "active_faults", "critical_faults", settle("risk_score", 1).alias("risk_score"),
         "trend").orderBy(F.desc("risk_score"), "system")
 
 
@@ -200,6 +200,6 @@ def dtc_fleet_impact(w, customer: str | None = None, limit: int = 15) -> DataFra
             F.sum("sev").alias("fleet_risk_score"), F.lit("").alias("clientLoginId"))
     return rows.orderBy(F.desc("fleet_risk_score"), "dtc_code", "clientLoginId").limit(limit).select(
         "dtc_code", "system", "subsystem", "vehicles_affected", "active_vehicles",
-        F.round("avg_resolution_time", 0).alias("avg_resolution_time"),
-        F.round("driver_related_ratio", 3).alias("driver_related_ratio"),
-        F.round("fleet_risk_score", 1).alias("fleet_risk_score"))
+        settle("avg_resolution_time", 0).alias("avg_resolution_time"),
+        settle("driver_related_ratio", 3).alias("driver_related_ratio"),
+        settle("fleet_risk_score", 1).alias("fleet_risk_score"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultloom.functions.scoring import settle
+
 # fixed values: graph node -> prompt key
 NODE_TO_PROMPT = {
     "detect_intent": "intent",
@@ -204,7 +206,7 @@ def node_stage_metrics(nodes: DataFrame) -> DataFrame:
         (of("investigate_data"), {
             "tool_called": yes(_len("tools_used") > 0), "tool_count": _len("tools_used"),
             "tool_results_count": F.size(results), "tool_error_count": failed,
-            "tool_error_rate": F.round(failed / F.greatest(F.size(results), F.lit(1)), 3),
+            "tool_error_rate": settle(failed / F.greatest(F.size(results), F.lit(1)), 3),
             "sql_query_count": F.size(sql), "sql_success_count": F.size(F.filter(sql, lambda e: e["success"]))}),
         (writers, {
             "output_chars": F.length(_text("output_text")),

@@ -12,7 +12,6 @@ PARAMS = Params(as_of=1706659200, gap=86400, cutoff=259200, k=0.2)
 DAYS = 14
 CODE = "P0011"
 CUSTOMER = "MACHINERY"
-VEHICLE = "V7"
 
 _warehouses: dict[tuple[str, str], Warehouse] = {}
 

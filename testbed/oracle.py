@@ -317,5 +317,8 @@ def nudged(text: str) -> str:
         if inner.rstrip().endswith(", 4"):
             out.append(f"round(({nudged(inner.rstrip()[:-3])}) + {NUDGE}::DOUBLE, 4)")
         else:
-            out.append(f"round({nudged(inner)})")
+            # coarser roundings settle the last bits first, as the engine does
+            digits = re.search(r",\s*(\d)\s*$", inner)
+            value = nudged(inner[:digits.start()])
+            out.append(f"round(round({value}, 9), {digits.group(1)})")
         i = k

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,14 +25,13 @@ from faultloom.sources import readers, writers
 from faultloom.streaming import streams
 from testbed import traces as tb
 from testbed.inputs import (
-    CODE, CUSTOMER, DAYS, PARAMS, VEHICLE, dtc_history, engine_cycles, history_from_events, table, warehouse,
+    CODE, CUSTOMER, DAYS, PARAMS, dtc_history, engine_cycles, history_from_events, table, warehouse,
 )
 from testbed.oracle import AS_OF, GAP, NUDGE, TODAY, lst, sev, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 RECENT = f"event_date >= {TODAY} - {DAYS}"
-NUMBER = "Customer#000000007"
 
 
 def plain(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -54,7 +53,11 @@ def plain(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def reg(name: str, fn: Callable[[SparkSession, str], DataFrame], oracle: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: plain(fn(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return plain(fn(spark, sf_dir))
+
+    QUERIES[name] = run
     if oracle:
         ORACLE[name] = sql(oracle)
 
@@ -163,8 +166,9 @@ def _report(s: SparkSession, d: str) -> DataFrame:
     scored = evaluation.score_questions(tb.eval_questions(s, d), tb.eval_results(s, d))
     folder = run_folder(s)
     writers.write_eval_report(evaluation.eval_summary(scored), scored, folder, {"model_name": "m1"})
-    report = writers.read_eval_report(s, folder)
-    return report.select("id", "tool_f1", "weighted_ok") if "weighted_ok" in report.columns else report.select("id", "tool_f1", "keyword_hits")
+    return writers.read_eval_report(s, folder, T.StructType([
+        T.StructField("id", T.StringType()), T.StructField("tool_f1", T.DoubleType()),
+        T.StructField("keyword_hits", T.DoubleType())]))
 
 
 reg("a15_write_eval_report", _report, "SELECT id, tool_f1, keyword_hits FROM scored")
@@ -500,7 +504,7 @@ both("e17_vehicles_with_dtcs", dashboard.vehicles_with_dtcs, lambda c: f"""SELEC
     WHERE vs.active_fault_count > 0 AND {c.replace('customer_name', 'vs.customer_name')}
     GROUP BY vs.uniqueid, vs.vehicle_number, vs.customer_name, vs.active_fault_count, vs.critical_fault_count
     ORDER BY vs.critical_fault_count DESC, vs.active_fault_count DESC, vs.uniqueid LIMIT 50""")
-reg("e18_vehicle_overview", w_(dashboard.vehicle_overview, VEHICLE.replace("7", "8")), f"""SELECT vs.uniqueid, vs.vehicle_number, coalesce(m.model, '') AS vehicle_model,
+reg("e18_vehicle_overview", w_(dashboard.vehicle_overview, "V8"), f"""SELECT vs.uniqueid, vs.vehicle_number, coalesce(m.model, '') AS vehicle_model,
     coalesce(m.vehicle_type, '') AS vehicle_type, vs.customer_name, round(vs.vehicle_health_score, 4)::DOUBLE AS health_score,
     vs.active_fault_count, vs.critical_fault_count FROM vhs vs LEFT JOIN vm m ON m.uniqueid = vs.uniqueid WHERE vs.uniqueid = 'V8'""")
 V = "V8"
