@@ -93,9 +93,12 @@ def relevant_tables(
         words = [w for w in e.description.lower().split() if len(w) > 4]
         return [*[u.lower() for u in e.use_cases], *words, *[c.lower() for c in e.columns]]
 
+    # every distinct term is looked for once, whichever tables it belongs to
+    every = F.array(*[F.lit(t) for t in sorted({t for e in catalogue for t in terms(e)})])
+    found = F.element_at(F.transform(F.array(asked), lambda a: F.filter(every, lambda t: F.contains(a, t))), 1)
     scored = F.array(*[
         F.struct(
-            (-(F.size(F.filter(F.array(*[F.lit(t) for t in terms(e)]), lambda t: F.contains(F.col("_asked"), t)))
+            (-(F.size(F.filter(F.array(*[F.lit(t) for t in terms(e)]), lambda t: F.array_contains("_found", t)))
                + F.col("_named") + (1 if e.priority == "aggregated" else 0))).alias("neg_score"),
             F.lit(e.table).alias("table"))
         for e in catalogue])
@@ -104,7 +107,7 @@ def relevant_tables(
     fallback = F.array(*[
         F.struct(F.lit(0).alias("neg_score"), F.lit(t).alias("table")) for t in DEFAULT_TABLES if t in present][:k])
     picked = F.when(F.size(best) > 0, best).otherwise(fallback) if any(t in present for t in DEFAULT_TABLES) else best
-    ranked = questions.withColumns({"_asked": asked, "_named": named}).select("*", F.posexplode(picked).alias("_p", "_t"))
+    ranked = questions.withColumns({"_found": found, "_named": named}).select("*", F.posexplode(picked).alias("_p", "_t"))
     return ranked.select(
         *questions.columns, (F.col("_p") + 1).alias("rank"), F.col("_t.table").alias("table_name"),
         (-F.col("_t.neg_score")).alias("score"))

@@ -34,7 +34,12 @@ def of_customer_vehicles(w, df: DataFrame, customer: str | None) -> DataFrame:
 
 
 def recent(w, days: int, df: DataFrame | None = None, col: str = "event_date") -> DataFrame:
-    return (w.vfm if df is None else df).filter(F.col(col) >= F.lit(w.params.days_ago(days)))
+    """Rows of the last ``days`` days. The stored tables are partitioned by
+    month, which the date alone would not prune, so the month is given too."""
+    df, start = (w.vfm if df is None else df), w.params.days_ago(days)
+    if "event_month" in df.columns:
+        df = df.filter(F.col("event_month") >= start.year * 100 + start.month)
+    return df.filter(F.col(col) >= F.lit(start))
 
 
 def _mean(col: Column) -> Column:

@@ -54,16 +54,28 @@ def pseudonymise(df: DataFrame, col: str, prefix: str, aliases: DataFrame | None
     )
 
 
+ALIAS_WORD = "vehicle"
+
+
+def _may_be_in_alias(query: str) -> bool:
+    """Whether some alias (word and number) can contain the query."""
+    head = query.rstrip("0123456789")
+    return head in ALIAS_WORD if head == query else ALIAS_WORD.endswith(head)
+
+
 def search_vehicles(w, customer: str, text: str, limit: int = 20) -> DataFrame:
     """Vehicles of a customer whose number or alias contains the text."""
     query = text.strip().lower()
     vehicles = dashboard.customer_vehicles(w, customer)
-    aliases = alias_map(w.vhs, "uniqueid", "vehicle").select(F.col("identity").alias("_id"), "alias")
-    named = vehicles.join(aliases, _identity("uniqueid") == F.col("_id"), "left").drop("_id")
+    hit = F.lower("vehicle_number").contains(query)
     if len(query) < 3:
-        named = named.filter(F.lit(False))
-    hit = F.lower("vehicle_number").contains(query) | F.lower(F.coalesce("alias", F.lit(""))).contains(query)
-    return named.filter(hit).orderBy("vehicle_number", "uniqueid").limit(int(limit))
+        hit = F.lit(False)
+    elif _may_be_in_alias(query):
+        # numbering all vehicles is worth it only where an alias can match
+        aliases = alias_map(w.vhs, "uniqueid", ALIAS_WORD).select(F.col("identity").alias("_id"), "alias")
+        vehicles = vehicles.join(aliases, _identity("uniqueid") == F.col("_id"), "left")
+        hit = hit | F.coalesce("alias", F.lit("")).contains(query)
+    return vehicles.filter(hit).select("uniqueid", "vehicle_number").orderBy("vehicle_number", "uniqueid").limit(int(limit))
 
 
 def top_active_faults(w, uniqueid: str, days: int = 90, limit: int = 5) -> DataFrame:

@@ -11,7 +11,12 @@ from faultloom.functions.scoring import (
 )
 from faultloom.operators.dashboard import _other_codes, of_customer, recent
 from faultloom.operators.rollups import weighted_mode
-from faultloom.params import clamp_limit
+from faultloom.params import MAX_RESULT_ROWS, clamp_limit
+
+
+def capped(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows handed to the assistant: the query's own limit, else the default one."""
+    return df.limit(clamp_limit(limit, MAX_RESULT_ROWS, 1, MAX_RESULT_ROWS))
 
 
 

@@ -107,7 +107,8 @@ def trace_nodes(payloads: DataFrame) -> DataFrame:
     return node_events(payloads).select(
         "request_id", "ts", "pos", _text("e.node").alias("node"),
         F.coalesce(F.nullif("e.customer_name", F.lit("")), F.col("customer_name"), F.lit("")).alias("customer_name"),
-        F.coalesce(F.nullif("e.mode", F.lit("")), F.col("mode"), F.lit("")).alias("mode"),
+        F.coalesce(F.nullif(F.try_element_at("e.input_summary.context", F.lit("mode")), F.lit("")), F.col("mode"), F.lit(""))
+        .alias("mode"),
         F.coalesce(F.nullif("e.status", F.lit("")), F.lit("unknown")).alias("status"),
         _num("e.duration").alias("duration_sec"), _num("e.row_count", "long").alias("row_count"),
         _text("e.sql_query").alias("sql_query"), _json("e.metrics", "{}").alias("metrics_json"),

@@ -34,8 +34,8 @@ SQL_EVENT = _struct(
     ("duration_sec", D), ("error", S),
 )
 TRACE_NODE = _struct(
-    ("type", S), ("node", S), ("customer_name", S), ("mode", S), ("status", S), ("duration", D),
-    ("row_count", L), ("sql_query", S), ("metrics", NODE_METRICS), ("input_summary", T.MapType(S, S)),
+    ("type", S), ("node", S), ("customer_name", S), ("status", S), ("duration", D), ("row_count", L), ("sql_query", S), ("metrics", NODE_METRICS),
+    ("input_summary", _struct(("context", T.MapType(S, S)))),
     ("output_summary", T.MapType(S, S)), ("failure_reasons", T.ArrayType(S)),
     ("sql_events", T.ArrayType(SQL_EVENT)),
 )

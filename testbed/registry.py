@@ -18,7 +18,7 @@ from faultloom.operators import (
     audits, batch_episodes, conversations, dashboard, episodes, evaluation, events, fault_master, frontend,
     observability, quality, rollups, tools, traces,
 )
-from faultloom.params import Params, clamp_limit
+from faultloom.params import Params
 from faultloom.plans import incremental
 from faultloom.session import run_folder
 from faultloom.sources import readers, writers
@@ -628,7 +628,7 @@ reg("f10_dtc_fleet_impact_customer", w_(tools.dtc_fleet_impact, CUSTOMER), f"""S
     (count(*) FILTER (driver_related = 1))::DOUBLE / count(*) AS driver_related_ratio,
     sum(CASE WHEN is_resolved = 0 THEN {sev('severity_level')} ELSE 0 END) AS fleet_risk_score FROM vfm WHERE {CUST} GROUP BY dtc_code) i
     ORDER BY i.fleet_risk_score DESC, dtc_code LIMIT 15""")
-reg("f11_clamp_limit", lambda s, d: warehouse(s, d).vfm.select("episode_id").orderBy("episode_id").limit(clamp_limit("9999", 10, 1, 500)),
+reg("f11_clamp_limit", lambda s, d: tools.capped(warehouse(s, d).vfm.select("episode_id").orderBy("episode_id"), "9999"),
     "SELECT episode_id FROM vfm ORDER BY episode_id LIMIT 500")
 
 # ---------------------------------------------------------------- G. front-end roll-ups
@@ -652,7 +652,7 @@ reg("g5_relative_to_max", lambda s, d: frontend.relative_to_max(warehouse(s, d).
     """SELECT clientLoginId, dtc_code, total_occurrences, round(total_occurrences::DOUBLE / greatest(max(total_occurrences) OVER (), 1), 4) AS share_of_max
     FROM distribution""")
 _ALIASES = "(SELECT uniqueid AS u, 'vehicle' || row_number() OVER (ORDER BY lower(uniqueid)) AS alias FROM vhs)"
-reg("g6_search_vehicles", w_(frontend.search_vehicles, CUSTOMER, "E11"), f"""SELECT uniqueid, vehicle_number, alias FROM vhs JOIN {_ALIASES} ON u = uniqueid
+reg("g6_search_vehicles", w_(frontend.search_vehicles, CUSTOMER, "E11"), f"""SELECT uniqueid, vehicle_number FROM vhs JOIN {_ALIASES} ON u = uniqueid
     WHERE {CUST} AND (lower(vehicle_number) LIKE '%e11%' OR alias LIKE '%e11%') ORDER BY vehicle_number, uniqueid LIMIT 20""")
 reg("g7_top_active_faults", w_(frontend.top_active_faults, V), f"""SELECT * FROM (SELECT dtc_code, count(*) AS episode_count,
     count(*) FILTER (is_resolved = 0) AS active_episodes, max(severity_level) AS max_severity, max(date_diff('day', event_date, {TODAY})) AS days_persistence
@@ -689,7 +689,7 @@ reg("h1_trace_requests_json", lambda s, d: traces.trace_requests(tb.payloads(s,
 reg("h2_trace_nodes", lambda s, d: traces.trace_nodes(tb.payloads(s, d)),
     """SELECT rid AS request_id, ts, p AS pos, node, e_customer AS customer_name, e_mode AS mode, status, round(duration, 4) AS duration_sec, row_count,
     '' AS sql_query, '{"sql_errors_delta":' || sql_errors_delta || ',"tool_called":' || tool_called || ',"intent_is_unknown":' || intent_is_unknown || '}' AS metrics_json,
-    '{}' AS input_summary_json, '{}' AS output_summary_json, '[]' AS failure_reasons_json FROM tnode""")
+    CASE WHEN p % 3 = 0 THEN '{"context":{"mode":"fleet"}}' ELSE '{}' END AS input_summary_json, '{}' AS output_summary_json, '[]' AS failure_reasons_json FROM tnode""")
 reg("h3_trace_sql_events", lambda s, d: traces.trace_sql_events(tb.payloads(s, d)),
     """SELECT rid AS request_id, ts, q AS pos, 'investigate_data' AS node, tool, customer_name, 'vehicle' AS mode, success, row_count,
     round(duration_sec, 4) AS duration_sec, sql_text AS query, CASE WHEN success = 1 THEN '' ELSE 'boom' END AS error FROM tsql""")

@@ -59,7 +59,6 @@ def _node_event(p) -> F.Column:
     return F.struct(
         F.when((c + p) % 7 == 0, "sql").otherwise("node").alias("type"), _pick(NODES, p).alias("node"),
         F.when(p % 2 == 0, F.concat(F.lit("cust"), (c % 4).cast("string"))).alias("customer_name"),
-        F.when(p % 3 == 0, "fleet").alias("mode"),
         F.when((c + p) % 5 == 0, "error").otherwise("success").alias("status"),
         ((F.col("len") % 100 + p) / 100.0).alias("duration"), (t + p).cast("long").alias("row_count"),
         F.lit(None).cast("string").alias("sql_query"),
@@ -67,7 +66,8 @@ def _node_event(p) -> F.Column:
             ((c + t + p) % 9 == 0).cast("int").alias("sql_errors_delta"),
             ((c + p) % 6 != 0).cast("int").alias("tool_called"),
             ((p == 0) & ((c + t) % 5 == 2)).cast("int").alias("intent_is_unknown")).alias("metrics"),
-        strings.alias("input_summary"), strings.alias("output_summary"),
+        F.when(p % 3 == 0, F.struct(F.create_map(F.lit("mode"), F.lit("fleet")).alias("context"))).alias("input_summary"),
+        strings.alias("output_summary"),
         F.array().cast("array<string>").alias("failure_reasons"),
         F.slice(F.col("run_sql"), F.lit(1), (p % 3).cast("int")).alias("sql_events"))
 
