@@ -13,11 +13,13 @@ sorts raw events of a vehicle in one task:
    map side combines, and a code has at most 86,400 such rows a day;
 2. the as-of lookup and the session break run inside (vehicle, time slice); the
    last cycle of earlier slices enters as one carry row per slice;
-3. only the resulting slice sessions, a few per code and day, meet per vehicle,
-   where sessions that touch across a slice border are joined.
+3. only the resulting slice sessions, usually a few per code and day, meet per
+   vehicle and code, where sessions that touch across a slice border are joined.
 
-Step 3 is partitioned by vehicle once, and the windows over vehicle and code,
-the joins on vehicle and the risk sum per vehicle all reuse that partitioning.
+All windows of step 3 share one partitioning by vehicle and code. Nothing sorts
+or buffers all rows of a vehicle: what is known per vehicle (last cycle, risk,
+master data) is aggregated with map-side combining and joined on the vehicle,
+and adaptive execution splits a join partition that a hot vehicle fills.
 """
 
 from __future__ import annotations
@@ -134,7 +136,7 @@ def episode_agg(seconds: DataFrame, cycles: DataFrame, params: Params) -> DataFr
     ``engine_cycles_during`` comes for free: a cycle after the first second
     would have ended the episode, so only cycles exactly at it remain.
     """
-    parts = slice_sessions(with_last_cycle(seconds, cycles, params), params.gap).repartition("uniqueid")
+    parts = slice_sessions(with_last_cycle(seconds, cycles, params), params.gap)
     w = Window.partitionBy("uniqueid", "dtc_code").orderBy("first_ts")
     boundary = ~F.col("last_cycle").eqNullSafe(F.lag("last_cycle").over(w))
     flagged = parts.withColumn("brk", break_flag(F.lag("last_ts").over(w), F.col("first_ts"), params.gap, boundary))
@@ -202,10 +204,9 @@ def episode_counts(episodes: DataFrame) -> DataFrame:
 
 def resolved_episodes(events: DataFrame, cycles: DataFrame, params: Params) -> DataFrame:
     """Episodes with resolution, distance to the previous one and recurrence count."""
-    episodes = episode_agg(event_seconds(events), cycles, params)
-    flagged = gap_from_previous_episode(resolution(episodes, cycles, params))
-    return flagged.withColumn(
+    episodes = gap_from_previous_episode(episode_agg(event_seconds(events), cycles, params)).withColumn(
         "ep_count", F.count("*").over(Window.partitionBy("uniqueid", "dtc_code")))
+    return resolution(episodes, cycles, params)
 
 
 def engine_cycles_during(episodes: DataFrame, cycles: DataFrame, params: Params) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultloom.functions.scoring import (
@@ -37,8 +37,8 @@ def fault_master_from_episodes(
 ) -> DataFrame:
     """One row per episode with vehicle, code attributes, flags and score.
 
-    The risk is a sum over the vehicle's rows, which already sit together, so
-    it needs neither a second aggregate nor a join back.
+    The risk is aggregated per vehicle and attached to the vehicle master, so
+    that the episodes pass a single join on the vehicle.
     """
     dm = codes.select(
         "dtc_code", F.col("system").alias("dm_system"), F.col("subsystem").alias("dm_subsystem"),
@@ -46,9 +46,8 @@ def fault_master_from_episodes(
         F.col("driver_related").alias("dm_driver"))
     vm = vehicles.select(
         "clientLoginId", "uniqueid", "vehicle_number", "customer_name", "model", "manufacturing_year")
-    open_risk = F.when(F.col("is_resolved") == 0, episode_risk())
-    rated = episodes.join(dm, "dtc_code", "left").withColumn(
-        "risk", F.sum(open_risk).over(Window.partitionBy("uniqueid")))
+    rated = episodes.join(dm, "dtc_code", "left")
+    vm = vm.join(vehicle_risk(episodes, codes), "uniqueid", "left")
     flags = [c.alias(n) for n, c in issue_flags("dm_system", "dm_subsystem").items()]
     return rated.join(vm, "uniqueid").select(
         "*", *flags,

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from faultloom.operators import rollups
+from faultloom.operators.episodes import resolved_episodes
 from faultloom.operators.events import events_exploded
-from faultloom.operators.fault_master import vehicle_fault_master
+from faultloom.operators.fault_master import fault_master_from_episodes
 from faultloom.params import Params
 from faultloom.session import run_folder
 from faultloom.sources.readers import build_dtc_master, build_vehicle_master, engine_cycle_seconds, resolve_vehicle_profile
@@ -45,8 +46,11 @@ class Warehouse:
             "vehicle_master": lambda: build_vehicle_master(self.profile),
             "dtc_master": lambda: build_dtc_master(self.codes),
             "dtc_events_exploded": lambda: events_exploded(self.history, self.vm, self.params),
-            "vehicle_fault_master": lambda: vehicle_fault_master(
-                events_exploded(self.history, self.vm, self.params), self.cycles, self.vm, self.dm, self.params),
+            "fault_episodes": lambda: resolved_episodes(
+                events_exploded(self.history, self.vm, self.params), self.cycles, self.params),
+            # stored episodes: risk and fault rows both read them, and a failure later on does not repeat their making
+            "vehicle_fault_master": lambda: fault_master_from_episodes(
+                self.table("fault_episodes"), self.vm, self.dm, self.params),
             "vehicle_code_stats": lambda: rollups.vehicle_code_stats(self.vfm, self.params),
             "fleet_health_summary": lambda: rollups.fleet_health_summary(self.stats, self.vm, self.params),
             "fleet_dtc_distribution": lambda: rollups.fleet_dtc_distribution(self.stats),

@@ -24,10 +24,14 @@ def _code(number) -> F.Column:
     return F.format_string("P%04d", number)
 
 
+def _with_k(events: DataFrame) -> DataFrame:
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
 def history_from_events(events: DataFrame) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     first = F.when((F.col("event_type") == "view") & (k % 5 == 0), "0").otherwise(_code(k % 10))
-    return events.filter("event_type <> 'signup'").select(
+    return _with_k(events.filter("event_type <> 'signup'")).select(
         F.concat(F.lit("V"), F.col("user_id").cast("string")).alias("uniqueid"), "ts",
         F.array(first, _code(10 + k % 3)).alias("dtc_code"),
         F.when(k % 7 != 0, F.col("value")).alias("lat"), (-F.col("value")).alias("lng"),
@@ -40,10 +44,9 @@ def dtc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def engine_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").filter("event_type = 'signup'").select(
+    return _with_k(table(spark, sf_dir, "events").filter("event_type = 'signup'")).select(
         F.concat(F.lit("V"), F.col("user_id").cast("string")).alias("uniqueid"),
-        F.when(k % 11 != 0, F.col("ts")).alias("cycle_end_ts"))
+        F.when(F.col("k") % 11 != 0, F.col("ts")).alias("cycle_end_ts"))
 
 
 def vehicle_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -363,7 +363,15 @@ reg("c18_clamp_severity", lambda s, d: warehouse(s, d).dm.select(
 reg("c19_episode_key", lambda s, d: _episodes(s, d).select(
         scoring.episode_key().alias("episode_id"), scoring.event_date("first_ts").alias("event_date")),
     f"SELECT episode_id, {day()} FROM vfm")
-reg("c20_vehicle_fault_master", lambda s, d: warehouse(s, d).build("vehicle_fault_master"), f"SELECT {_VFM_COLS} FROM vfm")
+
+
+def _fault_master(s: SparkSession, d: str) -> DataFrame:
+    """From raw messages to fault rows in one plan, nothing stored in between."""
+    w = warehouse(s, d)
+    return fault_master.vehicle_fault_master(w.build("dtc_events_exploded"), w.cycles, w.vm, w.dm, PARAMS)
+
+
+reg("c20_vehicle_fault_master", _fault_master, f"SELECT {_VFM_COLS} FROM vfm")
 
 
 def _batch(s: SparkSession, d: str) -> DataFrame:

@@ -21,12 +21,13 @@ def w(spark):
     return warehouse(spark, SF)
 
 
-def test_fault_master_shuffles_events_twice_and_sessions_once(w):
-    text = plan(w.build("vehicle_fault_master"))
-    assert text.count("REPARTITION_BY_COL") == 1
-    # collapse per second, as-of per slice; the other exchanges are cycle summaries
-    assert text.count("Exchange hashpartitioning(uniqueid") <= 8
-    scans = [b for b in plan(w.build("vehicle_fault_master"), "formatted").split("\n\n") if "PushedFilters" in b]
+def test_episodes_shuffle_events_twice_and_sessions_once(w):
+    text = plan(w.build("fault_episodes"))
+    # seconds, slices, sessions; then cycle seconds (twice, reused at run time), their slices, carry rows, last cycle
+    exchanges = [line.split("hashpartitioning")[1].split(",")[0:3] for line in text.splitlines() if "Exchange hash" in line]
+    assert len(exchanges) == 8, exchanges
+    assert "windowspecdefinition(uniqueid#" in text and "unboundedpreceding$(), unboundedfollowing$())) AS risk" not in text
+    scans = [b for b in plan(w.build("fault_episodes"), "formatted").split("\n\n") if "PushedFilters" in b]
     events = next(b for b in scans if "Not(EqualTo(event_type,signup))" in b)
     assert "GreaterThanOrEqual(ts" in events and "LessThan(ts" in events and "value" not in events
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
