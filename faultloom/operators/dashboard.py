@@ -82,10 +82,10 @@ def fleet_kpis(w, days: int = 30, customer: str | None = None) -> DataFrame:
         settle(F.coalesce(F.try_divide(F.sum("days"), F.sum("lasted")), F.lit(0.0)), 1).alias("avg_resolution_days"),
         F.count("due").alias("maintenance_due"), _zero(F.sum("alerts")).alias("total_dtc_alerts"),
         _zero(F.sum("critical_alerts")).alias("critical_alerts"))
-    # two one-row results side by side
-    return vehicles.join(F.broadcast(faults), F.lit(True)).select(
-        "total_vehicles", "vehicles_with_dtcs", "critical_vehicles", "avg_resolution_days", "fleet_health_score",
-        "maintenance_due", "total_dtc_alerts", "critical_alerts")
+    # two one-row results folded into one row
+    names = ["total_vehicles", "vehicles_with_dtcs", "critical_vehicles", "avg_resolution_days", "fleet_health_score",
+             "maintenance_due", "total_dtc_alerts", "critical_alerts"]
+    return vehicles.unionByName(faults, allowMissingColumns=True).agg(*[F.max(n).alias(n) for n in names])
 
 
 def fleet_overview(w, customer: str | None = None) -> DataFrame:

@@ -157,3 +157,12 @@ def eval_by_dataset(scored: DataFrame, by: str = "dataset") -> DataFrame:
     """The summary per dataset (or intent) with the total as row ``all``."""
     return scored.rollup(by).agg(*_summary_columns(), F.grouping(by).alias("_all")).withColumn(
         by, F.when(F.col("_all") == 1, "all").otherwise(F.col(by))).drop("_all")
+
+
+# fixed values: metrics of the short profile
+SHORT_PROFILE = (*WEIGHTS, "weighted_score")
+
+
+def metric_profile(summary: DataFrame, profile: str = "mvp") -> DataFrame:
+    """The summary columns of a profile: all of them for ``full``."""
+    return summary if profile == "full" else summary.select(*[c for c in summary.columns if c in SHORT_PROFILE])

@@ -106,3 +106,23 @@ def sync_report(runs: DataFrame, existing: DataFrame, cutoff, limit: int = 200)
         F.count("*").alias("fetched"), count("_ok").alias("eligible"), count("_ok AND _known IS NULL").alias("inserted"),
         count("_ok AND _known IS NOT NULL").alias("skipped_existing"),
         F.max(F.when(F.col("_ok"), F.col("start_time"))).alias("watermark"))
+
+
+def sync_state(report: DataFrame, pipeline_key: str, now) -> DataFrame:
+    """The state row to append after a sync; none when no eligible run had a start time."""
+    note = F.concat(
+        F.lit("inserted="), F.col("inserted").cast("string"),
+        F.lit(", skipped_existing="), F.col("skipped_existing").cast("string"))
+    return report.filter("watermark IS NOT NULL").select(
+        F.lit(pipeline_key).alias("pipeline_key"), F.col("watermark").alias("last_synced_at"),
+        F.lit(now).alias("updated_at"), note.alias("note"))
+
+
+def sync_runs(
+    runs: DataFrame, existing: DataFrame, state: DataFrame | None, pipeline_key: str, now, *,
+    lookback_days: int = 14, safety_minutes: int = 5, limit: int = 200,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs to insert, the counts, and the state row of one sync."""
+    cutoff = sync_cutoff(state, pipeline_key, now, lookback_days, safety_minutes)
+    report = sync_report(runs, existing, cutoff, limit)
+    return runs_to_insert(runs, existing, cutoff, limit), report, sync_state(report, pipeline_key, now)

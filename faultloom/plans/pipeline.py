@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultloom.operators import rollups
+from faultloom.operators import quality, rollups
 from faultloom.operators.episodes import resolved_episodes
 from faultloom.operators.events import events_exploded
 from faultloom.operators.fault_master import fault_master_from_episodes
@@ -77,6 +77,11 @@ class Warehouse:
         """Build every output table."""
         return {name: self.table(name) for name in OUTPUT_TABLES}
 
+    def validate(self) -> dict[str, int]:
+        """Row counts of the checked outputs; raises when a check fails."""
+        names = {*quality.CHECKED, *quality.UNIQUE_KEYS}
+        return quality.validate_outputs({n: self.table(n) for n in names}, self.vm)
+
     vm = property(lambda self: self.table("vehicle_master"))
     dm = property(lambda self: self.table("dtc_master"))
     events = property(lambda self: self.table("dtc_events_exploded"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultloom import schemas
-from faultloom.functions.scoring import count_where
 
 # fixed values: vehicles with these solution types carry an on-board-diagnostics device
 OBD_SOLUTIONS = ("obd_solution", "obd_analog_solution", "obd_fuel+fuel_solution")
@@ -155,10 +154,10 @@ def filter_questions(questions: DataFrame, ids: Sequence[str] = (), failed: Data
     if wanted:
         named = questions.filter(key.isin(*wanted)).select(key.alias("_want"))
         selected = selected.unionByName(named)
-    nothing_selected = selected.limit(1).agg(count_where(F.lit(True)).alias("_n")).filter("_n = 0")
-    chosen = questions.join(selected.distinct(), key == F.col("_want"), "left_semi")
-    # an empty selection means no filter at all: one row at most on the right
-    return chosen.unionByName(questions.join(F.broadcast(nothing_selected), F.lit(True), "left_semi"))
+    # an empty selection means no filter at all
+    how_many = selected.select(F.count("*")).scalar()
+    return questions.join(selected.distinct(), key == F.col("_want"), "left").filter(
+        F.col("_want").isNotNull() | (how_many == 0)).select(*questions.columns)
 
 
 def _filled(*cols: Column) -> Column:

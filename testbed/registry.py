@@ -731,20 +731,20 @@ def _stage_nodes(s: SparkSession, d: str) -> DataFrame:
         "tool_results", F.col("sql_events"), F.concat(F.when(c % 2 == 0, "Problem and CAUSE: ").otherwise(""), "text").alias("output_text"))
 
 
-reg("h9_node_stage_metrics", lambda s, d: traces.node_stage_metrics(_stage_nodes(s, d)),
+reg("h9_node_stage_metrics", lambda s, d: traces.node_stage_metrics(_stage_nodes(s, d)).fillna(-1),
     f"""WITH m AS (SELECT e.*, s.n_sql, s.ok_sql, CASE WHEN c % 2 = 0 THEN 'Problem and CAUSE: ' ELSE '' END || x AS body FROM tnode e JOIN
     (SELECT rid, count(*) AS n_sql, sum(success)::BIGINT AS ok_sql FROM tsql GROUP BY rid) s USING (rid))
     SELECT rid AS request_id, p AS pos, node,
-    CASE WHEN p = 0 THEN (intent <> '')::INT END AS intent_valid, CASE WHEN p = 0 THEN 1 END AS intent_known,
-    CASE WHEN p = 0 THEN (intent = 'unknown')::INT END AS intent_is_unknown,
-    CASE WHEN p = 1 THEN c % 3 END AS scope_hints_count, CASE WHEN p = 1 THEN (customer_name <> '')::INT END AS has_customer_scope,
-    CASE WHEN p = 1 THEN 0 END AS has_vehicle_scope, CASE WHEN p = 1 THEN 0 END AS has_dtc_scope, CASE WHEN p = 1 THEN 1 END AS has_mode_scope,
-    CASE WHEN p = 2 THEN 1 END AS tool_called, CASE WHEN p = 2 THEN n_sql END AS tool_count, CASE WHEN p = 2 THEN n_sql END AS tool_results_count,
-    CASE WHEN p = 2 THEN n_sql - ok_sql END AS tool_error_count, CASE WHEN p = 2 THEN round((n_sql - ok_sql)::DOUBLE / n_sql, 3) END AS tool_error_rate,
-    CASE WHEN p = 2 THEN n_sql END AS sql_query_count, CASE WHEN p = 2 THEN ok_sql END AS sql_success_count,
-    CASE WHEN p IN (3, 4, 5, 6) THEN length(body) END AS output_chars, CASE WHEN p IN (3, 4, 5, 6) THEN (trim(body) <> '')::INT END AS output_non_empty,
-    CASE WHEN p = 7 THEN length(body) END AS final_answer_chars, CASE WHEN p = 7 THEN (trim(body) <> '')::INT END AS final_answer_non_empty,
-    {', '.join(f"CASE WHEN p = 7 THEN contains(lower(body), '{k}')::INT END AS has_{k}_section" for k in ('problem', 'cause', 'impact', 'action'))} FROM m""")
+    CASE WHEN p = 0 THEN (intent <> '')::INT ELSE -1 END AS intent_valid, CASE WHEN p = 0 THEN 1 ELSE -1 END AS intent_known,
+    CASE WHEN p = 0 THEN (intent = 'unknown')::INT ELSE -1 END AS intent_is_unknown,
+    CASE WHEN p = 1 THEN c % 3 ELSE -1 END AS scope_hints_count, CASE WHEN p = 1 THEN (customer_name <> '')::INT ELSE -1 END AS has_customer_scope,
+    CASE WHEN p = 1 THEN 0 ELSE -1 END AS has_vehicle_scope, CASE WHEN p = 1 THEN 0 ELSE -1 END AS has_dtc_scope, CASE WHEN p = 1 THEN 1 ELSE -1 END AS has_mode_scope,
+    CASE WHEN p = 2 THEN 1 ELSE -1 END AS tool_called, CASE WHEN p = 2 THEN n_sql ELSE -1 END AS tool_count, CASE WHEN p = 2 THEN n_sql ELSE -1 END AS tool_results_count,
+    CASE WHEN p = 2 THEN n_sql - ok_sql ELSE -1 END AS tool_error_count, CASE WHEN p = 2 THEN round((n_sql - ok_sql)::DOUBLE / n_sql, 3) ELSE -1 END AS tool_error_rate,
+    CASE WHEN p = 2 THEN n_sql ELSE -1 END AS sql_query_count, CASE WHEN p = 2 THEN ok_sql ELSE -1 END AS sql_success_count,
+    CASE WHEN p IN (3, 4, 5, 6) THEN length(body) ELSE -1 END AS output_chars, CASE WHEN p IN (3, 4, 5, 6) THEN (trim(body) <> '')::INT ELSE -1 END AS output_non_empty,
+    CASE WHEN p = 7 THEN length(body) ELSE -1 END AS final_answer_chars, CASE WHEN p = 7 THEN (trim(body) <> '')::INT ELSE -1 END AS final_answer_non_empty,
+    {', '.join(f"CASE WHEN p = 7 THEN contains(lower(body), '{k}')::INT ELSE -1 END AS has_{k}_section" for k in ('problem', 'cause', 'impact', 'action'))} FROM m""")
 reg("h10_last_metrics_by_node", lambda s, d: traces.last_metrics_by_node(tb.payloads(s, d)).select("request_id", "node", "metrics.*"),
     "SELECT rid AS request_id, node, sql_errors_delta, tool_called, intent_is_unknown FROM tnode")
 
@@ -923,8 +923,8 @@ def _log(s: SparkSession, d: str) -> DataFrame:
 
 _LOG = "rid AS request_id, q AS pos"
 _QN = "((c + q) % 6)"
-reg("l1_audit_readonly", lambda s, d: audits.audit_readonly(_log(s, d)).select("request_id", "pos", "readonly_finding"),
-    f"SELECT {_LOG}, CASE WHEN {_QN} IN (3, 5) THEN 'not_a_select' END AS readonly_finding FROM tsql")
+reg("l1_audit_readonly", lambda s, d: audits.audit_readonly(_log(s, d)).select("request_id", "pos", "readonly_finding").fillna(""),
+    f"SELECT {_LOG}, CASE WHEN {_QN} IN (3, 5) THEN 'not_a_select' ELSE '' END AS readonly_finding FROM tsql")
 reg("l2_audit_tables", lambda s, d: audits.audit_tables(_log(s, d)).select("request_id", "pos", "disallowed_tables"),
     f"SELECT {_LOG}, CASE WHEN {_QN} = 4 THEN 'other_table' ELSE '' END AS disallowed_tables FROM tsql")
 
@@ -935,10 +935,10 @@ def _scoped_log(s: SparkSession, d: str) -> DataFrame:
         "vehicle_number": F.when(n == 2, "KA-1").otherwise(""), "uniqueid": F.lit(""), "dtc_code": F.when(n == 1, "P0001").otherwise("")})
 
 
-reg("l3_audit_scope", lambda s, d: audits.audit_scope(_scoped_log(s, d)).select("request_id", "pos", "scope_finding"),
+reg("l3_audit_scope", lambda s, d: audits.audit_scope(_scoped_log(s, d)).select("request_id", "pos", "scope_finding").fillna(""),
     f"""SELECT {_LOG}, CASE WHEN customer_name <> '' AND lower(sql_text) NOT LIKE '%customer_name%' THEN 'customer_filter_missing'
     WHEN customer_name <> '' AND NOT contains(lower(sql_text), '''' || customer_name || '''') THEN 'customer_mismatch'
-    WHEN q = 2 THEN 'vehicle_scope_missing' WHEN q = 1 THEN 'dtc_scope_missing' END AS scope_finding FROM tsql""")
+    WHEN q = 2 THEN 'vehicle_scope_missing' WHEN q = 1 THEN 'dtc_scope_missing' ELSE '' END AS scope_finding FROM tsql""")
 reg("l4_audit_shape", lambda s, d: audits.audit_shape(_log(s, d)).select("request_id", "pos", "raw_fact_scan", "select_star", "ungrouped_columns"),
     f"SELECT {_LOG}, ({_QN} = 0)::INT AS raw_fact_scan, ({_QN} = 1)::INT AS select_star, ({_QN} = 0)::INT AS ungrouped_columns FROM tsql")
 reg("l5_audit_result", lambda s, d: audits.audit_result(_log(s, d)),

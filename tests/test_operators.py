@@ -199,6 +199,7 @@ def test_evaluation_rules(spark):
     assert (two["tool_f1"], two["sql_success_rate"], two["judge_mode"], two["groundedness_score"]) == (1.0, 1.0, "llm", 0.75)
     assert (three["tool_recall"], three["tool_precision"], three["sql_success_rate"], three["intent_match"]) == (0.0, 1.0, 0.0, 0)
     total = evaluation.eval_summary(scored).first()
+    assert len(evaluation.metric_profile(evaluation.eval_summary(scored)).columns) == 8
     assert total["questions_evaluated"] == 3 and total["llm_judge_ratio"] == 0.3333
     assert total["context_length_error_rate"] == 0.3333 and total["failed_questions_count"] == 1
 
@@ -215,6 +216,15 @@ def test_sync_cutoff(spark):
     state = spark.createDataFrame(
         [("k", datetime(2024, 1, 30), 1), ("k", datetime(2024, 1, 31), 2)], "pipeline_key string, last_synced_at timestamp, updated_at int")
     assert incremental.sync_cutoff(state, "k", now) == datetime(2024, 1, 30, 23, 55)
+    run = "id string, start_time timestamp, extra struct<metadata:struct<request_id:string>>"
+    runs = spark.createDataFrame(
+        [("r1", datetime(2024, 1, 31), (("",),)), ("r2", datetime(2024, 1, 30), (("known",),)), ("r3", None, ((None,),)),
+         ("r4", datetime(2024, 1, 1), (("old",),)), ("", datetime(2024, 1, 31), (("x",),))], run)
+    known = spark.createDataFrame([("known",)], "request_id string")
+    new, report, after = incremental.sync_runs(runs, known, None, "k", now)
+    assert rows(new, "id") == [("r1",), ("r3",)]
+    assert tuple(report.first()) == (5, 3, 2, 1, datetime(2024, 1, 31))
+    assert tuple(after.first()) == ("k", datetime(2024, 1, 31), now, "inserted=2, skipped_existing=1")
     assert incremental.cdc_window(None, "p", 100 * 86400).since_ts == 10 * 86400
 
 
