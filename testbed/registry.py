@@ -34,12 +34,22 @@ ORACLE: dict[str, str] = {}
 RECENT = f"event_date >= {TODAY} - {DAYS}"
 
 
+# counts that Spark gives as int and DuckDB as BIGINT
+COUNTS = {
+    "longest_active_days", "days_persistence", "failure_count", "planner_error_count", "planner_events_count",
+    "planner_fix_attempts_sum", "planner_success_count", "pos", "final_answer_chars", "output_chars", "sql_query_count",
+    "sql_success_count", "tool_count", "tool_error_count", "tool_results_count", "sql_events", "evidence_count",
+    "node_events_count", "turn", "rank", "score"}
+
+
 def plain(df: DataFrame, digits: int = 4) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         col = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             col = F.round(col.cast("double") + float(NUDGE), digits)
+        elif isinstance(f.dataType, T.IntegerType) and f.name in COUNTS:
+            col = col.cast("long")
         elif isinstance(f.dataType, T.DateType):
             col = col.cast("string")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -208,7 +218,7 @@ def _cdc(s: SparkSession, d: str) -> DataFrame:
 
 _T1 = AS_OF - 5 * 86400
 reg("b5_cdc_window", _cdc,
-    " UNION ALL ".join(f"SELECT '{n}' AS pipeline, {a} AS since_ts, {b} AS until_ts, count(*) AS rows FROM history WHERE ts > {a} AND ts <= {b}"
+    " UNION ALL ".join(f"SELECT '{n}' AS pipeline, {a}::BIGINT AS since_ts, {b}::BIGINT AS until_ts, count(*) AS rows FROM history WHERE ts > {a} AND ts <= {b}"
                        for n, a, b in (("dtc", _T1 - 90 * 86400, _T1), ("next", _T1 - 3600, AS_OF))))
 
 
@@ -402,7 +412,7 @@ reg("c24_dtc_state", lambda s, d: batch_episodes.dtc_state(_batch_resolved(s, d)
 reg("c25_events_enriched", lambda s, d: batch_episodes.events_enriched(_batch(s, d), AS_OF),
     f"""SELECT e.uniqueid, e.ts, e.ts AS event_time, e.dtc_code, e.dtc_pgn, round(e.lat, 4) AS lat, round(e.lng, 4) AS lng,
     e.dtc_code AS code, coalesce(dm.description, '') AS description, coalesce(dm.severity_level, 0) AS severity_level,
-    coalesce(dm.subsystem, '') AS subsystem, coalesce(dm.system, '') AS system, {AS_OF} AS ingestion_ts
+    coalesce(dm.subsystem, '') AS subsystem, coalesce(dm.system, '') AS system, {AS_OF}::BIGINT AS ingestion_ts
     FROM exploded e LEFT JOIN dm USING (dtc_code)""")
 
 # ---------------------------------------------------------------- D. analytics tables
@@ -811,7 +821,7 @@ def _detail(s: SparkSession, d: str) -> DataFrame:
 
 
 reg("i10_run_detail", _detail, f"""SELECT rid AS request_id, ts, query, intent, x AS text, round(final_score, 4) AS final_score, root_cause,
-    coalesce(array_to_string(list(node ORDER BY p) FILTER (type = 'node'), ','), '') AS nodes_executed, count(*) FILTER (type = 'node') AS nodes, count(score) AS scores
+    coalesce(array_to_string(list(node ORDER BY p) FILTER (type = 'node'), ','), '') AS nodes_executed, (count(*) FILTER (type = 'node'))::INT AS nodes, count(score)::INT AS scores
     FROM tev WHERE list_contains({lst(RUNS)}, rid) GROUP BY ALL""")
 reg("i11_node_timeline", p_(observability.node_timeline),
     """SELECT rid AS request_id, p AS pos, node, round(duration, 4) AS duration_sec, status, least(p % 3, t % 3 + 1) AS sql_events, row_count,

@@ -50,6 +50,12 @@ def compare(spark, con, name: str, fn, oracle: str, sf_dir: str) -> str:
     other = {c for c, t in types.items() if t.upper() in ("DOUBLE", "FLOAT")}
     if doubles != other:
         return f"types: {doubles ^ other}"
+    widths = {"int": "INTEGER", "bigint": "BIGINT"}
+    narrow = sorted(
+        f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields
+        if f.dataType.simpleString() in widths and widths[f.dataType.simpleString()] != types[f.name].upper())
+    if narrow:
+        return f"integer widths: {narrow}"
     a, b = _rows(df.columns, got), _rows(list(types), expected)
     if a != b:
         left, right = list((a - b).items())[:3], list((b - a).items())[:3]
