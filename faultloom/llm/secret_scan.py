@@ -36,7 +36,7 @@ CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 #: Surrounding bytes on each side that the candidate is measured against.
 AROUND = 512
 #: Added bytes for each byte of the candidate from which it counts as new.
-NOVEL = 0.55
+NOVEL = 0.6
 #: What code around secrets is made of.
 IDENTIFIERS = (
     "password", "passwd", "passphrase", "secret", "token", "api_key", "apiKey", "access_key", "private_key", "credential", "bearer",
@@ -60,9 +60,9 @@ class Scanner:
         """Compressed bytes that text[start:end] adds to its surroundings, for each of its bytes."""
         before, after = text[max(0, start - AROUND): start], text[end: end + AROUND]
         size = lambda x: len(self.compressor.compress(x))
-        # the surroundings come first, so that the string can refer to all of them
-        rest = before + after
-        return (size(rest + text[start:end]) - size(rest)) / (end - start)
+        # in place, and last, where it can refer to all of the surroundings; the smaller one, as tables shift by some bytes
+        string, rest = text[start:end], before + after
+        return (min(size(before + string + after), size(rest + string)) - size(rest)) / (end - start)
 
     def spans(self, text: bytes) -> list[tuple[int, int, int, float]]:
         """(start, kind, end, novelty) in bytes, by start and kind; novelty is 0 for the known forms."""
