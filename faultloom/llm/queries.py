@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm import chat, exact, langid, mixing, packing, secret_scan, simhash, warc
+from faultloom.llm import ann, chat, exact, langid, mixing, packing, secret_scan, simhash, warc
 from faultloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op7_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
     "op6_warc": op6_warc,
+    "op7_kmeans_tree": op7_kmeans_tree,
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_novelty": op9_secret_novelty,
     "op10_retrieval_packing": op10_retrieval_packing,
