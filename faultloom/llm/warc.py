@@ -31,6 +31,8 @@ from faultloom.session import run_folder
 REVISIT_BYTES = 100
 #: Bytes of archive that one reading task scans, and that it fetches at a time.
 SPLIT_BYTES, BLOCK, CHUNK = 16 << 20, 1 << 20, 1 << 14
+#: Reading tasks at most, as a multiple of the shuffle partitions; beyond that a task reads several ranges.
+READ_WAVES = 16
 MAGIC = b"\x1f\x8b\x08"
 #: Decoded bytes within which a candidate must show a whole WARC header.
 HEADER_BYTES = 1 << 16
@@ -226,8 +228,10 @@ def read_archives(archives: DataFrame, folder: str, payload: bool = False) -> Da
     if payload:
         fields.append(("payload", T.BinaryType(), pa.binary()))
     shape = T.StructType([T.StructField(n, t) for n, t, _ in fields])
-    # ranges are dealt evenly, however the archives differ in size
-    return splits.repartition(F.col("path"), F.col("start")).mapInArrow(_read(folder, payload, pa.schema([(n, t) for n, _, t in fields])), shape)
+    # the table of ranges is tiny, so its size must not decide on the number of tasks
+    spark = archives.sparkSession
+    tasks = max(1, min(splits.count(), READ_WAVES * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return splits.repartition(tasks).mapInArrow(_read(folder, payload, pa.schema([(n, t) for n, _, t in fields])), shape)
 
 
 def round_trip(df: DataFrame, **options) -> DataFrame:
