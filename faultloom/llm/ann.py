@@ -24,13 +24,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultloom.llm.common import stored
+
 #: Rows the tree is fitted on, and rows whose true neighbours calibrate it (both drawn by a hash of the key).
 SAMPLE_ROWS, CALIBRATION_ROWS = 20_000, 200
 BRANCHES, LEAF_ROWS, ROUNDS = 12, 48, 8
 #: Share of true neighbours that must lie in the leaves visited.
 RECALL = 0.97
 #: Rows and queries of a block.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
+BLOCK_ROWS, BLOCK_QUERIES = 2048, 2048
 SEED = 7
 
 
@@ -105,12 +107,17 @@ def fit_tree(x: np.ndarray, branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS
     return Tree(np.stack(centres), tuple(children), np.array(leaf))
 
 
-def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of each query in double precision, ties to the smaller key; a query's own row is left out."""
+def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, allowed: np.ndarray | None = None) -> pd.DataFrame:
+    """The k nearest rows of each query in double precision, ties to the smaller key.
+
+    A query's own row is left out, and all that ``allowed`` (queries by rows) excludes.
+    """
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     rough = _squares(q, x)
     rough[q_ids[:, None] == ids[None]] = np.inf
+    if allowed is not None:
+        rough[~allowed[:, order]] = np.inf
     # the expanded form is inexact: take all rows that rounding may have put behind the k-th, then measure exactly
     kth = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
     slack = 1e-9 * ((q ** 2).sum(axis=1) + (x ** 2).sum(axis=1).max()) + 1e-300
@@ -175,26 +182,25 @@ def _assign(shared):
     return run
 
 
-def _with_leaf(df: DataFrame, key: str, vector: str) -> T.StructType:
-    return T.StructType([T.StructField(key, T.LongType()), T.StructField(vector, df.schema["v"].dataType), T.StructField("leaf", T.LongType())])
-
-
-def _visit(shared, visits: int, sizes: np.ndarray, least: int):
+def _visit(shared, visits: int, sizes: np.ndarray, bins: np.ndarray, least: int):
+    """A row per query and bin that holds leaves to visit, with these leaves."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         for b in batches:
-            row, leaf = [], []
+            rows, where, leaves = [], [], []
             for i, q in enumerate(_matrix(b.column(1)) if b.num_rows else ()):
-                seen = 0
-                for n, found in enumerate(tree.best_first(q)):
+                seen, chosen = 0, {}
+                for n, leaf in enumerate(tree.best_first(q)):
                     if n >= visits and seen >= least:
                         break
-                    seen += int(sizes[found])
-                    if sizes[found]:
-                        row.append(i)
-                        leaf.append(found)
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(leaf, pa.int64())], ["q_id", "q", "leaf"])
+                    seen += int(sizes[leaf])
+                    if sizes[leaf]:
+                        chosen.setdefault(int(bins[leaf]), []).append(leaf)
+                rows += [i] * len(chosen)
+                where += chosen
+                leaves += chosen.values()
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(where, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], ["q_id", "q", "bin", "leaves"])
 
     return run
 
@@ -204,7 +210,9 @@ def _search(k: int):
         shape = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not queries.num_rows or not rows.num_rows:
             return shape.empty_table()
-        found = nearest(queries.column("q_id").to_numpy(), _matrix(queries.column("q")), rows.column("id").to_numpy(), _matrix(rows.column("v")), k)
+        leaf = rows.column("leaf").to_numpy()
+        visited = [np.isin(leaf, x) for x in queries.column("leaves").to_pylist()]
+        found = nearest(queries.column("q_id").to_numpy(), _matrix(queries.column("q")), rows.column("id").to_numpy(), _matrix(rows.column("v")), k, np.stack(visited))
         return pa.Table.from_pandas(found, schema=shape, preserve_index=False)
 
     return run
@@ -235,7 +243,7 @@ def build_index(df: DataFrame, vector: str = "embedding", key: str = "vec_id", k
     rows, total = rows.filter(F.size("v") == length["d"]), length["count"]
     tree = fit_tree(_collect(rows.filter(_draw(SAMPLE_ROWS, total, 1)))[1].reshape(-1, length["d"]))
     shared = df.sparkSession.sparkContext.broadcast(tree)
-    placed = rows.mapInArrow(_assign(shared), _with_leaf(rows, "id", "v"))
+    placed = stored(rows.mapInArrow(_assign(shared), T.StructType([*rows.schema.fields, T.StructField("leaf", T.LongType())])))
     sizes = np.zeros(tree.leaves, np.int64)
     # a row per leaf
     for r in placed.groupBy("leaf").count().collect():
@@ -256,18 +264,26 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each of ``queries`` (id, v), all of usable vectors."""
     spark = queries.sparkSession
     shared = spark.sparkContext.broadcast(index.tree)
-    asked = queries.mapInArrow(_visit(shared, index.visits, index.sizes, k + 1), _with_leaf(queries, "q_id", "q"))
-    # blocks: a row per leaf says into how many parts its rows and its queries are cut
-    asks = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}
+    # neighbouring leaves share a bin of about BLOCK_ROWS rows; a larger leaf has its own, cut into parts
+    bins, held = np.zeros(index.tree.leaves, np.int64), 0
+    for leaf, n in enumerate(index.sizes.tolist()):
+        new = leaf and (held + n > BLOCK_ROWS)
+        bins[leaf], held = (bins[leaf - 1] + bool(new) if leaf else 0), n if new else held + n
+    rows_of = np.bincount(bins, index.sizes)
+    shape = T.StructType([
+        T.StructField("q_id", T.LongType()), T.StructField("q", queries.schema["v"].dataType), T.StructField("bin", T.LongType()), T.StructField("leaves", T.ArrayType(T.LongType()))])
+    asked = stored(queries.mapInArrow(_visit(shared, index.visits, index.sizes, bins, k + 1), shape))
+    # a row per bin says into how many parts its rows and its queries are cut
+    asks = {r["bin"]: r["count"] for r in asked.groupBy("bin").count().collect()}
     cuts = spark.createDataFrame(
-        [(leaf, max(1, math.ceil(int(n) / BLOCK_ROWS)), max(1, math.ceil(asks.get(leaf, 0) / BLOCK_QUERIES))) for leaf, n in enumerate(index.sizes.tolist()) if leaf in asks] or [(-1, 1, 1)],
-        "leaf long, row_parts int, query_parts int")
+        [(b, max(1, math.ceil(rows_of[b] / BLOCK_ROWS)), math.ceil(n / BLOCK_QUERIES)) for b, n in asks.items()] or [(-1, 1, 1)], "bin long, row_parts int, query_parts int")
+    of = spark.createDataFrame(list(enumerate(bins.tolist())), "leaf long, bin long")
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(cuts, "leaf").withColumn("query_part", part("q_id", "query_parts")).withColumn("row_part", every("row_parts"))
-    right = index.rows.join(cuts, "leaf").withColumn("row_part", part("id", "row_parts")).withColumn("query_part", every("query_parts"))
-    keys = ["leaf", "row_part", "query_part"]
-    found = left.select(*keys, "q_id", "q").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score double")
+    left = asked.join(cuts, "bin").withColumn("query_part", part("q_id", "query_parts")).withColumn("row_part", every("row_parts"))
+    right = index.rows.join(of, "leaf").join(cuts, "bin").withColumn("row_part", part("id", "row_parts")).withColumn("query_part", every("query_parts"))
+    keys = ["bin", "row_part", "query_part"]
+    found = left.select(*keys, "q_id", "q", "leaves").groupBy(*keys).cogroup(right.select(*keys, "id", "v", "leaf").groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score double")
     return _top(found, k).select("query_id", "rank", "vec_id", "score")
 
 
