@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm import ann, chat, exact, langid, mixing, packing, secret_scan, simhash, warc
+from faultloom.llm import ann, chat, exact, langid, mixing, packing, resample, secret_scan, simhash, warc
 from faultloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
+    "op5_importance_resampling": op5_importance_resampling,
     "op6_warc": op6_warc,
     "op7_kmeans_tree": op7_kmeans_tree,
     "op8_mix_sources": op8_mix_sources,

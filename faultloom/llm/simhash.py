@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultloom.llm.common import bytes_of, stored, text_or_empty
+from faultloom.llm.common import as_row, bytes_of, stored, text_or_empty
 from faultloom.llm.components import star_components
 from faultloom.llm.exact import lowered
 
@@ -209,10 +209,27 @@ def fingerprint_links(fps: DataFrame, hot: int = HOT_SUBTRIE) -> DataFrame:
     return parts.repartition("block", "top", "pair").sortWithinPartitions("block", "top", "pair", "rot").mapInArrow(_walk_partition, "u long, v long")
 
 
-def simhash_groups(
-    df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, row: bool = False, hot: int = HOT_SUBTRIE,
-) -> DataFrame:
-    """One row per row of ``df``: key, fingerprint (16 hex digits), component_id, and ``row`` (all columns) if asked for.
+def _marked(df: DataFrame, text: str, key: str, width: int, row: bool) -> DataFrame:
+    """fp and key ``k`` of every row; with ``row`` also a digest of the text and all columns. Stored."""
+    cols = [text_or_empty(text).alias("t"), F.col(f"`{key}`").alias("k")]
+    shape = T.StructType([T.StructField("fp", T.LongType()), T.StructField("k", df.schema[key].dataType)])
+    if row:
+        cols += [F.sha2(text_or_empty(text), 256).alias("sha"), as_row(df).alias("row")]
+        shape.add("sha", T.StringType()).add("row", df.schema)
+    return stored(df.select(*cols).mapInArrow(_fingerprints(width), shape))
+
+
+def _components(marked: DataFrame, hot: int) -> DataFrame:
+    """fp, root (the smallest fingerprint of its component) and the smallest key of the component."""
+    groups = stored(marked.groupBy("fp").agg(F.min("k").alias("k")))
+    roots = star_components(fingerprint_links(groups, hot))
+    rooted = groups.join(roots, groups.fp == roots.u, "left").select("fp", "k", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("k").alias("component_id"))
+    return rooted.select("fp", "root").join(least, "root")
+
+
+def simhash_groups(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, hot: int = HOT_SUBTRIE) -> DataFrame:
+    """One row per row of ``df``: key, fingerprint (16 hex digits) and component_id.
 
     A-Z count as a-z; words are separated by the bytes 0x09-0x0D and 0x20; a
     text of fewer words than ``width`` is one shingle; null and texts without a
@@ -222,29 +239,21 @@ def simhash_groups(
     component_id. Repeated rows are rows of one group. An empty table gives no
     rows. Other columns are neither read nor renamed.
     """
-    kind = df.schema[key].dataType
-    cols = [text_or_empty(text).alias("t"), F.col(f"`{key}`").alias("k")]
-    shape = T.StructType([T.StructField("fp", T.LongType()), T.StructField("k", kind)])
-    if row:
-        cols.append(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-        shape.add("row", df.schema)
-    marked = stored(df.select(*cols).mapInArrow(_fingerprints(width), shape))
-    groups = stored(marked.groupBy("fp").agg(F.min("k").alias("k")))
-    roots = star_components(fingerprint_links(groups, hot))
-    rooted = groups.join(roots, groups.fp == roots.u, "left").select("fp", "k", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("k").alias("component_id"))
-    of = rooted.select("fp", "root").join(least, "root")
-    return marked.join(of, "fp").select(
-        F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
-        *(["root", "row"] if row else []))
-
-
-def one_per_group(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3) -> DataFrame:
-    """The rows of ``df`` that stay, one per component: the smallest key, then the smallest text."""
-    groups = simhash_groups(df, text, key, width, row=True)
-    # a key names one row as a rule; rows that share it are told apart by their text
-    rank = F.struct(F.col(key).isNull(), F.col(key), F.sha2(F.coalesce(F.col(f"row.`{text}`").cast("string"), F.lit("")), 256))
-    first = groups.groupBy("root").agg(F.min(rank).alias("first"))
-    ranked = groups.withColumn("rank", rank)
-    stay = ranked.join(first, "root").filter(F.col("rank").eqNullSafe(F.col("first")))
-    return stay.dropDuplicates(["root"]).select("row.*")
+    marked = _marked(df, text, key, width, False)
+    return marked.join(_components(marked, hot), "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_group(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, hot: int = HOT_SUBTRIE) -> DataFrame:
+    """The rows of ``df`` that stay, one per component: the smallest key, then the smallest digest of the text.
+
+    Rows without a key stay only if their component has none. The choice is
+    made on keys and digests; texts are moved once.
+    """
+    marked = _marked(df, text, key, width, True)
+    rank = F.struct(F.col("k").isNull().alias("unnamed"), F.col("k").alias("k"), F.col("sha").alias("sha"), F.col("fp").alias("fp"))
+    least = marked.groupBy("fp").agg(F.min(rank).alias("least"))
+    first = least.join(_components(marked, hot), "fp").groupBy("root").agg(F.min("least").alias("first")).select("first.*").drop("unnamed")
+    keys = [F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("fp", "k", "sha")]
+    stay = marked.alias("m").join(first.alias("f"), keys[0] & keys[1] & keys[2], "left_semi")
+    # rows that agree in all of these are repeats of one another
+    return stay.dropDuplicates(["fp", "k", "sha"]).select("row.*")
