@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultloom.functions.numbering import number_within
-from faultloom.params import clamp_limit
+from faultloom.params import checked_limit
 from faultloom.sources.readers import latest_by_key
 
 
@@ -19,12 +19,12 @@ def _clean(col: str) -> Column:
 
 
 def recent_messages(messages: DataFrame, n: int = 12) -> DataFrame:
-    """The last ``n`` messages (1..100) of every conversation, oldest first.
+    """The last ``n`` messages of every conversation, oldest first.
 
     Spark turns a row number with an upper bound into a per-task group limit,
     so a conversation of any length sends at most ``n`` rows per task.
     """
-    n = clamp_limit(n, 12, 1, 100)
+    n = checked_limit(n, 12, 1)
     newest = Window.partitionBy("conversation_id").orderBy(F.desc("message_index"))
     kept = messages.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n).drop("_rn")
     return kept.select("conversation_id", "message_index", "role", "content", "ts").orderBy(
@@ -38,8 +38,9 @@ def next_message_index(messages: DataFrame) -> DataFrame:
 def assign_indexes(messages: DataFrame, batch: DataFrame, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
     """Consecutive indexes for a batch, after the ones already stored.
 
-    Rows without a conversation or role are dropped. The batch is numbered
-    hour by hour, so that one busy conversation is not sorted in one task.
+    Rows without a conversation or role are dropped; those without a time come
+    first. The batch is numbered hour by hour, so that one busy conversation is
+    not sorted in one task.
     """
     usable = batch.withColumns({"conversation_id": _clean("conversation_id"), "role": _clean("role")}).filter(
         "conversation_id <> '' AND role <> ''")

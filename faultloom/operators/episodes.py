@@ -204,9 +204,9 @@ def episode_counts(episodes: DataFrame) -> DataFrame:
 
 def resolved_episodes(events: DataFrame, cycles: DataFrame, params: Params) -> DataFrame:
     """Episodes with resolution, distance to the previous one and recurrence count."""
-    episodes = gap_from_previous_episode(episode_agg(event_seconds(events), cycles, params)).withColumn(
-        "ep_count", F.count("*").over(Window.partitionBy("uniqueid", "dtc_code")))
-    return resolution(episodes, cycles, params)
+    episodes = gap_from_previous_episode(episode_agg(event_seconds(events), cycles, params))
+    counted = episodes.groupBy("uniqueid", "dtc_code").agg(F.count("*").alias("ep_count"))
+    return resolution(episodes.join(counted, ["uniqueid", "dtc_code"]), cycles, params)
 
 
 def engine_cycles_during(episodes: DataFrame, cycles: DataFrame, params: Params) -> DataFrame:

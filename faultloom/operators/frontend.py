@@ -83,37 +83,33 @@ def top_active_faults(w, uniqueid: str, days: int = 90, limit: int = 5) -> DataF
         F.desc("active_episodes"), F.desc("max_severity"), F.desc("episode_count"), "dtc_code").limit(int(limit))
 
 
-MAX_INLINE_NAMES = 1000
 WINDOW = 1024
+#: Names are looked up by their first characters, as many as the largest of these that the name has.
+KEY_LENGTHS = (64, 32, 16, 8, 4, 2, 1)
 
 
-def _found_inline(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Names per text when there are few of them: one array, tested per row."""
-    every = names.agg(F.collect_list(F.struct(*names.columns))).scalar()
-    return texts.withColumn("_names", every).select(
-        "text", F.filter("_names", lambda n: F.contains(F.lower("text"), n["identity"])).alias("found"))
+def _found(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """The names that occur in each text (id, low), as an array per id.
 
-
-def _found_by_join(texts: DataFrame, names: DataFrame, lengths: list[int]) -> DataFrame:
-    """Names per text for a name table of any size: every substring as long as
-    some name, as an equi-join key. Texts are cut into overlapping windows, so
-    a long one is spread over rows."""
-    longest = max(lengths)
-    low = texts.select("text", F.lower("text").alias("low"))
+    Texts are cut into overlapping windows, so a long one is spread over rows.
+    Every position of a window gives one key for each key length that some name
+    has; keys meet the names in an equi-join without the text, and only the
+    windows that a candidate names are then tested for the whole name.
+    """
+    length = F.length("identity")
+    size = F.coalesce(*[F.when(length >= n, F.lit(n)) for n in KEY_LENGTHS])
+    names = names.filter(length > 0).withColumn("key", F.substring("identity", F.lit(1), size))
+    sizes = names.select(F.collect_set(F.length("key"))).scalar()
+    longest = names.select(F.coalesce(F.max(length), F.lit(1))).scalar()
     starts = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)), F.lit(WINDOW))
-    windows = low.select("text", F.explode(F.transform(
-        starts, lambda i: F.substring("low", i, F.lit(WINDOW + longest - 1)))).alias("part"))
-
-    def pieces_of(n: int):
-        places = F.sequence(F.lit(1), F.least(F.length("part") - (n - 1), F.lit(WINDOW)))
-        cut = F.transform(places, lambda i: F.substring("part", i, F.lit(n)))
-        return F.when(F.length("part") >= n, cut).otherwise(F.array().cast("array<string>"))
-
-    pieces = F.flatten(F.array(*[pieces_of(n) for n in lengths]))
-    keyed = windows.select("text", F.explode(F.array_distinct(pieces)).alias("identity"))
-    hits = keyed.join(names, "identity").select("text", F.struct(*names.columns).alias("n")).distinct()
-    found = hits.groupBy("text").agg(F.collect_list("n").alias("found"))
-    return texts.join(found, "text", "left")
+    windows = texts.select("id", "low", longest.alias("longest")).select("id", F.posexplode(F.transform(
+        starts, lambda i: F.substring("low", i, F.col("longest") + (WINDOW - 1)))).alias("w", "part"))
+    places = F.sequence(F.lit(1), F.greatest(F.least(F.length("part"), F.lit(WINDOW)), F.lit(1)))
+    keys = F.flatten(F.transform("sizes", lambda n: F.transform(places, lambda i: F.substring("part", i, n))))
+    keyed = windows.withColumn("sizes", sizes).select("id", "w", F.explode(F.array_distinct(keys)).alias("key"))
+    wanted = keyed.join(names, "key").drop("key").distinct()
+    hits = wanted.join(windows, ["id", "w"]).filter(F.contains("part", "identity"))
+    return hits.select("id", F.struct("identity", "alias", "kind").alias("n")).distinct().groupBy("id").agg(F.collect_list("n").alias("found"))
 
 
 def mask_text(df: DataFrame, text_col: str, customers: DataFrame, vehicles: DataFrame, out: str = "masked") -> DataFrame:
@@ -121,17 +117,14 @@ def mask_text(df: DataFrame, text_col: str, customers: DataFrame, vehicles: Data
     longest name first, in any letter case.
 
     ``customers`` and ``vehicles`` are alias maps. The names to replace are
-    those that occur in the text as given. Their number is checked: few names
-    are tested in place, more are found by an equi-join.
+    those that occur in the text as given.
     """
     named = lambda m, kind: m.select("identity", "alias", F.lit(kind).alias("kind"))
     names = named(customers, 0).unionByName(named(vehicles, 1))
-    texts = df.select(F.col(text_col).alias("text")).filter("text IS NOT NULL").distinct()
-    if names.limit(MAX_INLINE_NAMES + 1).count() <= MAX_INLINE_NAMES:
-        found = _found_inline(texts, names)
-    else:
-        lengths = sorted(r[0] for r in names.select(F.length("identity")).distinct().collect())
-        found = _found_by_join(texts, names, lengths)
+    # a digest stands for the text wherever rows move
+    texts = df.select(F.col(text_col).alias("text")).filter("text IS NOT NULL").select(
+        F.sha2("text", 256).alias("id"), "text").groupBy("id").agg(F.min("text").alias("text"))
+    found = _found(texts.select("id", F.lower("text").alias("low")), names)
     order = lambda n: F.struct(n["kind"], -F.length(n["identity"]), n["identity"], n["alias"])
     steps = F.array_sort(F.transform("found", lambda n: F.struct(
         order(n).alias("o"), n["identity"].alias("identity"), n["alias"].alias("alias"))))
@@ -140,5 +133,5 @@ def mask_text(df: DataFrame, text_col: str, customers: DataFrame, vehicles: Data
         F.lit("(?iu)\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     masked = F.aggregate(
         steps, F.col("text"), lambda acc, n: F.regexp_replace(acc, literal(n["identity"]), n["alias"]))
-    lookup = found.select(F.col("text").alias("_text"), F.coalesce(masked, F.col("text")).alias(out))
-    return df.join(lookup, F.col(text_col) == F.col("_text"), "left").drop("_text")
+    lookup = texts.join(found, "id", "left").select(F.col("id").alias("_id"), F.coalesce(masked, F.col("text")).alias(out))
+    return df.withColumn("_key", F.sha2(F.col(text_col), 256)).join(lookup, F.col("_key") == F.col("_id"), "left").drop("_key", "_id")

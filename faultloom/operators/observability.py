@@ -43,18 +43,20 @@ def recent_requests(requests: DataFrame, prompt_scores: DataFrame, filters: Mapp
         "request_id", "ts", "query", "intent", "final_score", "root_cause")
 
 
-def prompt_cohorts(prompt_scores: DataFrame, filters: Mapping | None = None, limit: int = 100) -> DataFrame:
+def prompt_cohorts(prompt_scores: DataFrame, filters: Mapping | None = None) -> DataFrame:
+    """All cohorts of three runs or more, the weakest first; ``limit`` the result to show some of them."""
     return filtered_prompts(prompt_scores, filters).groupBy("prompt_key", "prompt_version").agg(
         F.avg("node_score").alias("avg_node_score"), F.avg("final_score").alias("avg_final_score"),
         F.count("*").alias("runs")).filter("runs >= 3").orderBy(
-        "avg_node_score", F.desc("runs"), "prompt_key", "prompt_version").limit(int(limit))
+        "avg_node_score", F.desc("runs"), "prompt_key", "prompt_version")
 
 
-def prompt_failure_buckets(prompt_scores: DataFrame, filters: Mapping | None = None, limit: int = 100) -> DataFrame:
+def prompt_failure_buckets(prompt_scores: DataFrame, filters: Mapping | None = None) -> DataFrame:
+    """All buckets of weak runs, the largest first; ``limit`` the result to show some of them."""
     return filtered_prompts(prompt_scores, filters).filter("node_score < 0.7").groupBy(
         "prompt_key", "prompt_version", "root_cause").agg(
         F.count("*").alias("runs"), F.avg("node_score").alias("avg_node_score")).orderBy(
-        F.desc("runs"), "prompt_key", "prompt_version", "root_cause").limit(int(limit))
+        F.desc("runs"), "prompt_key", "prompt_version", "root_cause")
 
 
 def dominant_root_cause(buckets: DataFrame) -> DataFrame:
@@ -107,11 +109,12 @@ def prompt_refinement_queue(cohorts: DataFrame, buckets: DataFrame) -> DataFrame
 
 
 def prompt_score_matrix(cohorts: DataFrame, versions: list[str] | None = None) -> DataFrame:
-    """Prompt x version matrix of the mean score. Give ``versions`` to spare
-    Spark the pass that finds them."""
-    grouped = cohorts.groupBy("prompt_key")
-    pivoted = grouped.pivot("prompt_version", versions) if versions else grouped.pivot("prompt_version")
-    return pivoted.agg(F.avg("avg_node_score"))
+    """Prompt x version matrix of the mean score: a row per prompt and a map
+    from version to score, which holds every version; named ``versions`` also
+    become columns."""
+    means = cohorts.groupBy("prompt_key", "prompt_version").agg(F.avg("avg_node_score").alias("s"))
+    rows = means.groupBy("prompt_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("prompt_version", "s")))).alias("by_version"))
+    return rows.select("prompt_key", "by_version", *[F.try_element_at("by_version", F.lit(v)).alias(v) for v in versions or ()])
 
 
 def score_trend(requests: DataFrame, prompt_scores: DataFrame, filters: Mapping | None = None) -> DataFrame:
@@ -119,9 +122,9 @@ def score_trend(requests: DataFrame, prompt_scores: DataFrame, filters: Mapping
         F.avg("final_score").alias("avg_score"), F.count("*").alias("runs")).orderBy("date")
 
 
-def top_root_causes(requests: DataFrame, prompt_scores: DataFrame, filters: Mapping | None = None) -> DataFrame:
+def top_root_causes(requests: DataFrame, prompt_scores: DataFrame, filters: Mapping | None = None, limit: int = 10) -> DataFrame:
     return filtered_requests(requests, prompt_scores, filters).groupBy("root_cause").agg(
-        F.count("*").alias("runs")).orderBy(F.desc("runs"), "root_cause").limit(10)
+        F.count("*").alias("runs")).orderBy(F.desc("runs"), "root_cause").limit(int(limit))
 
 
 def best_worst_cohorts(cohorts: DataFrame, n: int = 10) -> DataFrame:

@@ -170,7 +170,7 @@ def maintenance_priority(vfm: DataFrame, stats: DataFrame, codes: DataFrame) ->
         ["maintenance_priority_score", "fault_duration_sec"])
 
 
-def dtc_cooccurrence(stats: DataFrame, max_codes: int | None = 200) -> DataFrame:
+def dtc_cooccurrence(stats: DataFrame) -> DataFrame:
     """Ordered code pairs on at least two vehicles.
 
     A pair's vehicles, episode sum, last second and tenant depend only on the
@@ -178,23 +178,19 @@ def dtc_cooccurrence(stats: DataFrame, max_codes: int | None = 200) -> DataFrame
     first, and pairs are formed once per distinct set: fleets of like vehicles
     share few sets, however many vehicles or episodes stand behind one.
 
-    The published result is defined on vehicles with 2..200 codes. With
-    ``max_codes=None`` every vehicle counts; the partners of each anchor code
-    of a set are then formed in separate tasks, so a set of any size is spread.
+    Every vehicle counts, however many codes it shows. The partners of each
+    anchor code of a set are formed in separate tasks, so a set of any size is
+    spread; the pairs are bounded by the square of the code vocabulary.
     """
     per_vehicle = stats.groupBy("uniqueid").agg(
         F.min("clientLoginId").alias("clientLoginId"), F.count_distinct("dtc_code").alias("codes"),
         F.sum("episodes").alias("episodes"), F.max("last_ts").alias("last_ts")).filter("codes >= 2")
-    if max_codes is not None:
-        per_vehicle = per_vehicle.filter(F.col("codes") <= max_codes)
     members = stats.select("uniqueid", "dtc_code").join(per_vehicle.select("uniqueid"), "uniqueid", "left_semi")
     sets = members.groupBy("uniqueid").agg(F.sort_array(F.collect_set("dtc_code")).alias("codes"))
     by_set = sets.join(per_vehicle.drop("codes"), "uniqueid").groupBy("codes").agg(
         F.min("clientLoginId").alias("clientLoginId"), F.count("*").alias("vehicles"),
         F.sum("episodes").alias("episodes"), F.max("last_ts").alias("last_ts"))
-    anchored = by_set.select("*", F.posexplode("codes").alias("i", "dtc_code_a"))
-    if max_codes is None:
-        anchored = anchored.repartition("dtc_code_a", "i")
+    anchored = by_set.select("*", F.posexplode("codes").alias("i", "dtc_code_a")).repartition("dtc_code_a", "i")
     pairs = anchored.select(
         "clientLoginId", "vehicles", "episodes", "last_ts", "dtc_code_a",
         F.explode(F.slice("codes", F.col("i") + 2, F.size("codes"))).alias("dtc_code_b"))

@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 from faultloom.functions.scoring import (
     by_driver, count_where, has_lasted, is_open, is_severe, mean_positive, settle, severity_multiplier,
 )
-from faultloom.operators.dashboard import _other_codes, of_customer, recent
-from faultloom.operators.rollups import weighted_mode
-from faultloom.params import MAX_RESULT_ROWS, clamp_limit
+from faultloom.operators.dashboard import _other_codes, fleet_health_snap, of_customer, recent
+from faultloom.params import MAX_RESULT_ROWS, checked_limit
 
 
 def capped(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Rows handed to the assistant: the query's own limit, else the default one."""
-    return df.limit(clamp_limit(limit, MAX_RESULT_ROWS, 1, MAX_RESULT_ROWS))
+    """Rows handed to the assistant: as many as asked for, else the default number."""
+    return df.limit(checked_limit(limit, MAX_RESULT_ROWS, 1))
 
 
 
@@ -32,37 +31,43 @@ def fleet_health_totals(w, customer: str | None = None) -> DataFrame:
 
 
 def fleet_health_snapshot(w, customer: str | None = None) -> DataFrame:
+    """Without a customer: all tenants together. One scan of the fault table with one."""
     if not customer:
-        return w.fhs.orderBy("clientLoginId").limit(1).select(
-            "total_vehicles", "vehicles_with_active_faults", "vehicles_with_critical_faults", "driver_related_faults",
-            "fleet_health_score", "most_common_dtc", "most_common_system", "active_fault_trend")
+        return fleet_health_snap(w)
     faults = of_customer(w.vfm, customer)
-    per_vehicle = faults.groupBy("uniqueid").agg(
+    # a row per vehicle, code and system; the occurrences of a code or system meet in the second step
+    per_code = faults.groupBy("uniqueid", "dtc_code", "system").agg(
         F.max(F.when(is_open(), 1)).alias("open"), F.max(F.when(is_open() & is_severe(), 1)).alias("severe"),
-        count_where(by_driver()).alias("driver"))
-    totals = per_vehicle.agg(
-        F.count("*").alias("total_vehicles"), F.count("open").alias("vehicles_with_active_faults"),
-        F.count("severe").alias("vehicles_with_critical_faults"),
-        F.coalesce(F.sum("driver"), F.lit(0)).alias("driver_related_faults"))
-    one = faults.withColumn("all", F.lit(0))
-    top = lambda c: weighted_mode(one, ["all"], c, "occurrence_count", "top").select("top").scalar()
-    return totals.select(
-        "*", F.coalesce(top("dtc_code"), F.lit("")).alias("most_common_dtc"),
-        F.coalesce(top("system"), F.lit("")).alias("most_common_system"))
-
-
-def fleet_health_recent_trend(w, customer: str | None = None, days: int = 30) -> DataFrame:
-    days = clamp_limit(days, 30, 1, 365)
+        count_where(by_driver()).alias("driver"), F.sum("occurrence_count").alias("n"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in (
+        ("vehicle", F.col("uniqueid")), ("code", F.col("dtc_code")), ("system", F.col("system")))])
+    per_value = per_code.select("open", "severe", "driver", "n", F.explode(kinds).alias("x")).groupBy("x.kind", "x.value").agg(
+        F.max("open").alias("open"), F.max("severe").alias("severe"), F.sum("driver").alias("driver"), F.sum("n").alias("n"))
+    vehicle = F.col("kind") == "vehicle"
+    top = lambda kind: F.coalesce(F.min_by("value", F.when(
+        (F.col("kind") == kind) & F.col("value").isNotNull(), F.struct(-F.col("n"), F.col("value")))), F.lit(""))
+    return per_value.agg(
+        count_where(vehicle).alias("total_vehicles"), count_where(vehicle & F.col("open").isNotNull()).alias("vehicles_with_active_faults"),
+        count_where(vehicle & F.col("severe").isNotNull()).alias("vehicles_with_critical_faults"),
+        F.coalesce(F.sum(F.when(vehicle, F.col("driver"))), F.lit(0)).alias("driver_related_faults"),
+        top("code").alias("most_common_dtc"), top("system").alias("most_common_system"))
+
+
+def fleet_health_recent_trend(w, customer: str | None = None, days: int = 30, dates: int = 7) -> DataFrame:
+    """The newest ``dates`` days; without a customer of all tenants together."""
+    days = checked_limit(days, 30, 1)
     if customer:
         return of_customer(recent(w, days), customer).groupBy(F.col("event_date").alias("date")).agg(
             F.count("*").alias("active_faults"), count_where(F.col("is_resolved") == 1).alias("resolved_faults"),
-            count_where(by_driver()).alias("driver_related_faults")).orderBy(F.desc("date")).limit(7)
-    return w.trends.orderBy(F.desc("date"), "clientLoginId").limit(7).select(
-        "date", "fleet_health_score", "active_faults", "resolved_faults", "driver_related_faults")
+            count_where(by_driver()).alias("driver_related_faults")).orderBy(F.desc("date")).limit(int(dates))
+    return w.trends.groupBy("date").agg(
+        settle(F.avg("fleet_health_score"), 2).alias("fleet_health_score"), F.sum("active_faults").alias("active_faults"),
+        F.sum("resolved_faults").alias("resolved_faults"), F.sum("driver_related_faults").alias("driver_related_faults"),
+    ).orderBy(F.desc("date")).limit(int(dates))
 
 
 def fleet_dtc_distribution(w, customer: str | None = None, days: int = 30, limit: int = 10) -> DataFrame:
-    limit, days = clamp_limit(limit, 10, 1, 200), clamp_limit(days, 30, 1, 365)
+    limit, days = checked_limit(limit, 10, 1), checked_limit(days, 30, 1)
     cols = ["dtc_code", "description", "system", "subsystem", "severity_level", "vehicles_affected", "active_vehicles",
             "total_occurrences", "total_episodes", settle("avg_resolution_time", 1).alias("avg_resolution_time"),
             "driver_related_count"]
@@ -85,7 +90,7 @@ def fleet_dtc_distribution(w, customer: str | None = None, days: int = 30, limit
 
 
 def fleet_trends(w, customer: str | None = None, days: int = 30) -> DataFrame:
-    days = clamp_limit(days, 30, 1, 365)
+    days = checked_limit(days, 30, 1)
     if customer:
         return of_customer(recent(w, days), customer).groupBy(F.col("event_date").alias("date")).agg(
             F.count("*").alias("active_faults"), F.count("*").alias("new_faults"),
@@ -113,28 +118,29 @@ def vehicle_health_status(w, vehicle_number: str | None = None, uniqueid: str |
         "has_engine_issue", "has_emission_issue", "has_safety_issue", "has_electrical_issue")
 
 
-def vehicle_fault_summary(w, vehicle_number: str | None = None, uniqueid: str | None = None) -> DataFrame:
+def vehicle_fault_summary(w, vehicle_number: str | None = None, uniqueid: str | None = None, limit: int = 15) -> DataFrame:
     return _of_vehicle(w.vfm, vehicle_number, uniqueid).groupBy("dtc_code", "system", "description").agg(
         F.count("*").alias("episodes"), F.max("severity_level").alias("max_severity"),
         count_where(is_open()).alias("unresolved"), F.min("first_ts").alias("earliest_ts"),
         F.max("last_ts").alias("latest_ts"), settle(F.avg("resolution_time_sec"), 0).alias("avg_resolution_sec"),
-    ).orderBy(F.desc("unresolved"), F.desc("episodes"), "dtc_code").limit(15)
+    ).orderBy(F.desc("unresolved"), F.desc("episodes"), "dtc_code").limit(int(limit))
 
 
 def vehicle_faults(
     w, vehicle_number: str | None = None, uniqueid: str | None = None, unresolved_only: bool = False, days: int = 90,
+    limit: int = 50,
 ) -> DataFrame:
-    days = clamp_limit(days, 90, 1, 3650)
+    days = checked_limit(days, 90, 1)
     rows = recent(w, days, _of_vehicle(w.vfm, vehicle_number, uniqueid))
     if unresolved_only:
         rows = rows.filter(is_open())
-    return rows.orderBy(F.desc("event_date"), F.desc("severity_level"), "episode_id").limit(50).select(
+    return rows.orderBy(F.desc("event_date"), F.desc("severity_level"), "episode_id").limit(int(limit)).select(
         "episode_id", "dtc_code", "system", "subsystem", "description", "severity_level", "is_resolved", "event_date",
         "first_ts", "last_ts", "occurrence_count", "resolution_time_sec", "driver_related", "vehicle_health_score")
 
 
 def dtc_details(w, codes: list[str]) -> DataFrame:
-    wanted = [str(c).strip() for c in codes if str(c).strip()][:20]
+    wanted = [str(c).strip() for c in codes if str(c).strip()]
     if not wanted:
         raise ValueError("give at least one code")
     return w.dm.filter(F.col("dtc_code").isin(*wanted)).select(
@@ -144,7 +150,7 @@ def dtc_details(w, codes: list[str]) -> DataFrame:
         "driver_behaviour_trigger", "driver_training_required")
 
 
-def dtc_cooccurrence(w, dtc_code: str, customer: str | None = None) -> DataFrame:
+def dtc_cooccurrence(w, dtc_code: str, customer: str | None = None, limit: int = 15) -> DataFrame:
     if customer:
         rows = _other_codes(of_customer(w.vfm, customer), dtc_code, "cooccurring_dtc")
     else:
@@ -152,12 +158,12 @@ def dtc_cooccurrence(w, dtc_code: str, customer: str | None = None) -> DataFrame
         rows = w.cooccurrence.filter((a == dtc_code) | (b == dtc_code)).select(
             F.when(a == dtc_code, b).otherwise(a).alias("cooccurring_dtc"), "cooccurrence_count", "vehicles_affected",
             settle("avg_time_gap_sec", 0).alias("avg_time_gap_sec"))
-    return rows.orderBy(F.desc("vehicles_affected"), "cooccurring_dtc").limit(15)
+    return rows.orderBy(F.desc("vehicles_affected"), "cooccurring_dtc").limit(int(limit))
 
 
 def maintenance_priority(w, customer: str | None = None, limit: int = 10) -> DataFrame:
     """Without a customer the ranking is cut before the vehicle columns are joined."""
-    limit = clamp_limit(limit, 10, 1, 200)
+    limit = checked_limit(limit, 10, 1)
     order = [F.desc("maintenance_priority_score"), "uniqueid", "dtc_code"]
     v = w.vhs.select("uniqueid", "customer_name", "vehicle_health_score", "active_fault_count", "critical_fault_count")
     if customer:
@@ -189,7 +195,7 @@ def fleet_system_health(w, customer: str | None = None) -> DataFrame:
 
 
 def dtc_fleet_impact(w, customer: str | None = None, limit: int = 15) -> DataFrame:
-    limit = clamp_limit(limit, 15, 1, 200)
+    limit = checked_limit(limit, 15, 1)
     if not customer:
         rows = w.impact
     else:

@@ -51,17 +51,16 @@ class Params:
         return self.today - timedelta(days=int(days))
 
 
-def clamp_limit(value, default: int, min_value: int | None = None, max_value: int | None = None) -> int:
-    """Integer parameter with a default for unusable input, held inside its range."""
+def checked_limit(value, default: int, min_value: int | None = None, max_value: int | None = None) -> int:
+    """Integer parameter with a default for unusable input. Out of its range it
+    is an error: held inside, it would give fewer rows than were asked for."""
     try:
         out = int(value)
     except (TypeError, ValueError):
         out = int(default)
-    if min_value is not None:
-        out = max(min_value, out)
-    if max_value is not None:
-        out = min(max_value, out)
+    if (min_value is not None and out < min_value) or (max_value is not None and out > max_value):
+        raise ValueError(f"{out} is not between {min_value} and {max_value}")
     return out
 
 
-MAX_RESULT_ROWS = 500  # fixed value: assistant results carry at most this many rows
+MAX_RESULT_ROWS = 500  # fixed value: rows of an assistant result for which no number is asked

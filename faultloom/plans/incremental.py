@@ -84,35 +84,62 @@ def sync_cutoff(state: DataFrame | None, pipeline_key: str, now, lookback_days:
     return now - timedelta(days=max(int(lookback_days), 1))
 
 
-def _with_state(runs: DataFrame, existing: DataFrame, cutoff, limit: int) -> DataFrame:
-    """The newest ``limit`` runs, each marked eligible, known or to insert."""
-    newest = runs.orderBy(F.col("start_time").desc_nulls_last(), "id").limit(max(int(limit), 1))
+def _with_state(runs: DataFrame, existing: DataFrame, cutoff) -> DataFrame:
+    """Every run, marked eligible (``_ok``), empty (nothing to store) or known."""
     start = F.col("start_time")
     eligible = (start.isNull() | (start >= F.lit(cutoff))) & (F.coalesce("id", F.lit("")) != "")
-    keyed = newest.withColumn("_rid", _filled(F.col("extra.metadata.request_id"), F.col("id"))).withColumn("_ok", eligible)
+    keyed = runs.withColumns({
+        "_rid": _filled(F.col("extra.metadata.request_id"), F.col("id")), "_ok": eligible,
+        "_empty": F.col("outputs").isNull() if "outputs" in runs.columns else F.lit(False)})
     known = existing.select(F.col("request_id").alias("_known")).distinct()
     return keyed.join(known, F.col("_rid") == F.col("_known"), "left")
 
 
-def runs_to_insert(runs: DataFrame, existing: DataFrame, cutoff, limit: int = 200) -> DataFrame:
-    marked = _with_state(runs, existing, cutoff, limit)
-    return marked.filter("_ok AND _known IS NULL").select(*runs.columns)
+_NEW = "_ok AND NOT _empty AND _known IS NULL"
 
 
-def sync_report(runs: DataFrame, existing: DataFrame, cutoff, limit: int = 200) -> DataFrame:
-    """Counts of one sync and its new watermark, the latest start among the eligible runs."""
+def _batch(marked: DataFrame, batch: int | None) -> tuple[DataFrame, DataFrame]:
+    """New runs of one sync, and all runs its watermark may pass.
+
+    With a batch size the oldest new runs are taken, and the watermark stays
+    behind the first one that is left for the next sync.
+    """
+    new = marked.filter(_NEW)
+    if batch is None:
+        return new, marked.filter("_ok")
+    order = [F.col("start_time").asc_nulls_first(), F.col("id")]
+    taken = new.orderBy(*order).limit(int(batch))
+    last = taken.select(F.max(F.struct("start_time", "id"))).scalar()
+    all_taken = taken.select(F.count("*")).scalar() < int(batch)
+    passed = marked.filter("_ok").filter(
+        F.coalesce(all_taken, F.lit(True)) | F.col("start_time").isNull() | (F.struct("start_time", "id") <= last))
+    return taken, passed
+
+
+def runs_to_insert(runs: DataFrame, existing: DataFrame, cutoff, batch: int | None = None) -> DataFrame:
+    """Runs since the cutoff that are not stored; the oldest ``batch`` of them if that is given."""
+    return _batch(_with_state(runs, existing, cutoff), batch)[0].select(*runs.columns)
+
+
+def sync_report(runs: DataFrame, existing: DataFrame, cutoff, batch: int | None = None, failed: int = 0) -> DataFrame:
+    """Counts of one sync and its new watermark: the latest start that no run left for later lies before."""
+    marked = _with_state(runs, existing, cutoff)
+    taken, passed = _batch(marked, batch)
     count = lambda cond: F.count(F.when(F.expr(cond), 1))
-    return _with_state(runs, existing, cutoff, limit).agg(
-        F.count("*").alias("fetched"), count("_ok").alias("eligible"), count("_ok AND _known IS NULL").alias("inserted"),
-        count("_ok AND _known IS NOT NULL").alias("skipped_existing"),
-        F.max(F.when(F.col("_ok"), F.col("start_time"))).alias("watermark"))
+    all_ = marked.agg(
+        F.count("*").alias("fetched"), count("_ok").alias("eligible"), count("_ok AND _empty").alias("skipped_empty"),
+        count("_ok AND NOT _empty AND _known IS NOT NULL").alias("skipped_existing"))
+    return all_.select(
+        "*", (taken.select(F.count("*")).scalar() - F.lit(int(failed))).alias("inserted"), F.lit(int(failed)).cast("long").alias("failed"),
+        passed.select(F.max("start_time")).scalar().alias("watermark"))
 
 
 def sync_state(report: DataFrame, pipeline_key: str, now) -> DataFrame:
     """The state row to append after a sync; none when no eligible run had a start time."""
     note = F.concat(
         F.lit("inserted="), F.col("inserted").cast("string"),
-        F.lit(", skipped_existing="), F.col("skipped_existing").cast("string"))
+        F.lit(", skipped_existing="), F.col("skipped_existing").cast("string"),
+        F.lit(", failed="), F.col("failed").cast("string"))
     return report.filter("watermark IS NOT NULL").select(
         F.lit(pipeline_key).alias("pipeline_key"), F.col("watermark").alias("last_synced_at"),
         F.lit(now).alias("updated_at"), note.alias("note"))
@@ -120,9 +147,22 @@ def sync_state(report: DataFrame, pipeline_key: str, now) -> DataFrame:
 
 def sync_runs(
     runs: DataFrame, existing: DataFrame, state: DataFrame | None, pipeline_key: str, now, *,
-    lookback_days: int = 14, safety_minutes: int = 5, limit: int = 200,
+    lookback_days: int = 14, safety_minutes: int = 5, batch: int | None = None, store=None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Runs to insert, the counts, and the state row of one sync."""
+    """Runs to insert, the counts, and the state row of one sync.
+
+    ``store`` writes the runs. If it raises, the sync counts them as failed and
+    leaves no state row, so the next one takes them again. A repeated sync
+    inserts nothing twice, as runs already stored are left out.
+    """
     cutoff = sync_cutoff(state, pipeline_key, now, lookback_days, safety_minutes)
-    report = sync_report(runs, existing, cutoff, limit)
-    return runs_to_insert(runs, existing, cutoff, limit), report, sync_state(report, pipeline_key, now)
+    new, failed = runs_to_insert(runs, existing, cutoff, batch), 0
+    if store is not None:
+        how_many = new.count()
+        try:
+            store(new)
+        except Exception:
+            failed = how_many
+    report = sync_report(runs, existing, cutoff, batch, failed)
+    fresh = sync_state(report, pipeline_key, now)
+    return new, report, fresh.limit(0) if failed else fresh

@@ -46,8 +46,7 @@ class Warehouse:
             "vehicle_master": lambda: build_vehicle_master(self.profile),
             "dtc_master": lambda: build_dtc_master(self.codes),
             "dtc_events_exploded": lambda: events_exploded(self.history, self.vm, self.params),
-            "fault_episodes": lambda: resolved_episodes(
-                events_exploded(self.history, self.vm, self.params), self.cycles, self.params),
+            "fault_episodes": lambda: resolved_episodes(self.events, self.cycles, self.params),
             # stored episodes: risk and fault rows both read them, and a failure later on does not repeat their making
             "vehicle_fault_master": lambda: fault_master_from_episodes(
                 self.table("fault_episodes"), self.vm, self.dm, self.params),

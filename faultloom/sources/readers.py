@@ -188,12 +188,11 @@ def read_trace_runs(runs: DataFrame) -> DataFrame:
 
 
 def list_trace_runs(
-    runs: DataFrame, limit: int = 200, start_date=None, end_date=None, **equals: str | None,
+    runs: DataFrame, limit: int | None = None, start_date=None, end_date=None, **equals: str | None,
 ) -> DataFrame:
-    """Newest runs, then the filters, as a run list (the limit comes first)."""
-    newest = runs.orderBy(F.col("start_time").desc_nulls_last(), "id").limit(int(limit))
+    """Runs that pass all filters, newest first; the newest ``limit`` of them if that is given."""
     meta = "extra.metadata"
-    rows = newest.filter("start_time IS NOT NULL AND id <> ''").select(
+    rows = runs.filter("start_time IS NOT NULL AND id <> ''").select(
         _filled(F.col(f"{meta}.request_id"), F.col("id")).alias("request_id"),
         F.col("id").alias("run_id"),
         F.col("start_time").alias("ts"),
@@ -211,4 +210,5 @@ def list_trace_runs(
     for name, value in equals.items():
         if value not in (None, "", "All"):
             rows = rows.filter(F.col(name) == value)
-    return rows
+    rows = rows.orderBy(F.desc("ts"), "run_id")
+    return rows if limit is None else rows.limit(int(limit))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,9 +27,11 @@ def stream_events_exploded(
     return events
 
 
-def stream_episodes(events: DataFrame, gap: int, delay: str = "0 seconds") -> DataFrame:
+def stream_episodes(events: DataFrame, gap: int, delay: str) -> DataFrame:
     """Gap-only episodes, emitted once the watermark has passed their gap.
 
+    A row may arrive up to ``delay`` behind the newest one; later it is dropped.
+
     An engine cycle may arrive late and split an episode that is already out;
     the batch rebuild decides then.
     """
@@ -39,8 +43,8 @@ def stream_episodes(events: DataFrame, gap: int, delay: str = "0 seconds") -> Da
              (F.col("last_ts") - F.col("first_ts")).alias("persistence_sec"))
 
 
-def stream_daily_trend(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Events per tenant and day, emitted when the day is closed."""
+def stream_daily_trend(events: DataFrame, delay: str) -> DataFrame:
+    """Events per tenant and day, emitted when the day is closed and ``delay`` has passed."""
     timed = events.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
     return timed.groupBy("clientLoginId", F.window("event_time", "1 day").alias("w")).agg(
         F.count("*").alias("events")).select("clientLoginId", F.to_date("w.start").alias("date"), "events")
@@ -59,18 +63,50 @@ def append_to(df: DataFrame, path: str, checkpoint: str, available_now: bool = T
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def keep_latest_in(df: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Run an update-mode stream: every batch's changed rows are stored under
-    their batch number, which makes a repeated batch harmless. Read the table
-    with ``latest_state``."""
+COMPACT_EVERY = 20
+
+
+def keep_latest_in(
+    df: DataFrame, path: str, checkpoint: str, available_now: bool = True, keys: tuple[str, ...] = ("uniqueid", "dtc_code"),
+    compact_every: int = COMPACT_EVERY,
+) -> StreamingQuery:
+    """Run an update-mode stream into a table of versions; read it with ``latest_state``.
+
+    Every batch's changed rows are stored under their batch number, which makes
+    a repeated batch harmless. Each ``compact_every`` batches the newest row of
+    every key up to there becomes one version, ``compacted=n``; a reader takes
+    the last one and the batches after it, so the folders read stay bounded.
+    Older folders are nobody's input any more and may be removed at any time.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            whole = latest_state(read_state(batch.sparkSession, path, batch_id), keys)
+            whole.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/compacted={batch_id}")
 
     writer = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(store)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def read_state(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The last compacted version (before batch ``upto``, if given) and the batches after it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    done = {n.partition("=")[0]: [] for n in names} | {"batch_id": [], "compacted": []}
+    for n in names:
+        kind, _, number = n.partition("=")
+        # a version without its marker is still being written
+        if number.isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")):
+            done[kind].append(int(number))
+    base = max((n for n in done["compacted"] if upto is None or n < upto), default=-1)
+    parts = [spark.read.parquet(f"{path}/batch_id={n}").withColumn("batch_id", F.lit(n)) for n in sorted(done["batch_id"]) if n > base]
+    if base >= 0:
+        parts.append(spark.read.parquet(f"{path}/compacted={base}"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def latest_state(stored: DataFrame, keys: tuple[str, ...] = ("uniqueid", "dtc_code")) -> DataFrame:
     """The newest stored row per key."""
     rest = [c for c in stored.columns if c not in (*keys, "batch_id")]

@@ -182,7 +182,7 @@ CTES: dict[str, str] = {
     "cooccurrence": """SELECT min(t.clientLoginId) AS clientLoginId, a.dtc_code AS dtc_code_a, b.dtc_code AS dtc_code_b,
         sum(t.episodes)::BIGINT AS cooccurrence_count, count(*) AS vehicles_affected, 0::DOUBLE AS avg_time_gap_sec,
         max(t.last_ts) AS last_seen_ts FROM vcodes a JOIN vcodes b ON a.uniqueid = b.uniqueid AND a.dtc_code < b.dtc_code
-        JOIN vtotals t ON t.uniqueid = a.uniqueid WHERE t.codes <= 200 GROUP BY a.dtc_code, b.dtc_code HAVING count(*) >= 2""",
+        JOIN vtotals t ON t.uniqueid = a.uniqueid GROUP BY a.dtc_code, b.dtc_code HAVING count(*) >= 2""",
     # gap-only batch variant
     "bsecs": "SELECT uniqueid, dtc_code, ts, count(*) AS n FROM exploded GROUP BY ALL",
     "bnum": f"""SELECT *, sum(CASE WHEN p IS NULL OR ts - p > {GAP} THEN 1 ELSE 0 END) OVER
@@ -268,7 +268,7 @@ CTES: dict[str, str] = {
         FROM q2 JOIN q3 USING (rid) LEFT JOIN q4 USING (rid)""",
     # conversations
     "conv": """SELECT conv_id::VARCHAR AS conversation_id, ' Fleet' || ((conv_id + turn) % 4) || ' ' AS customer_name, turn,
-        1704067200 + conv_id * 3600 + turn * 60 AS created_ts, conv_id FROM conversations WHERE turn < 2""",
+        1704067200 + conv_id * 3600 + turn * 60 AS created_ts, conv_id FROM conversations""",
     "creq": """SELECT CASE WHEN conv_id % 4 = 0 THEN 'new-' ELSE '' END || conv_id AS conversation_id, 'fleet' || (conv_id % 3) AS customer_name,
         CASE WHEN turn % 2 = 0 THEN 'fleet' ELSE 'general' END AS mode, 1704067200 + conv_id * 3600 + turn * 60 AS created_ts,
         turn, text AS query_text, conv_id FROM conversations""",

@@ -8,6 +8,7 @@ dates as text, timestamps as epoch seconds, flags as 0/1, text arrays joined.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,9 +115,9 @@ reg("a8_read_trace_runs", lambda s, d: readers.read_trace_runs(tb.trace_runs(s,
         "request_id", "ts", "query", "text", "intent", F.size("trace_log").alias("nodes")),
     "SELECT rid AS request_id, ts, query, x AS text, intent, t % 8 + 1 AS nodes FROM tr")
 reg("a8_list_trace_runs", lambda s, d: readers.list_trace_runs(
-        tb.trace_runs(s, d), 150, start_date=PARAMS.days_ago(30), env_name="prod", root_cause="All"),
+        tb.trace_runs(s, d), start_date=PARAMS.days_ago(30), env_name="prod", root_cause="All"),
     """SELECT rid AS request_id, rid AS run_id, ts, query, 'fleet_health' AS intent, round(final_score, 4) AS final_score,
-    root_cause, env_name, release_version FROM (SELECT * FROM tfinal ORDER BY ts DESC, rid LIMIT 150)
+    root_cause, env_name, release_version FROM tfinal
     WHERE env_name = 'prod' AND make_timestamp(ts * 1000000)::DATE >= DATE '2024-01-01'""")
 
 
@@ -255,20 +256,38 @@ def _impacted(s: SparkSession, d: str) -> DataFrame:
 reg("b7_rebuild_impacted", _impacted, f"SELECT {_VFM_COLS} FROM vfm")
 
 
-def _sync(s: SparkSession, d: str) -> DataFrame:
-    runs = tb.trace_runs(s, d)
-    existing = tb.turns(s, d).filter("t % 3 = 0").select(
+def _stored_runs(s: SparkSession, d: str) -> DataFrame:
+    return tb.turns(s, d).filter("t % 3 = 0").select(
         F.concat(F.lit("R"), F.col("c").cast("string"), F.lit("-"), F.col("t").cast("string")).alias("request_id"))
-    from datetime import datetime, timezone
 
-    cutoff = incremental.sync_cutoff(None, "runs", datetime(2024, 1, 16, tzinfo=timezone.utc), lookback_days=14)
-    return incremental.sync_report(runs, existing, cutoff, limit=400)
+
+def _sync_cutoff():
+    return incremental.sync_cutoff(None, "runs", datetime(2024, 1, 16, tzinfo=timezone.utc), lookback_days=14)
+
+
+def _sync(s: SparkSession, d: str) -> DataFrame:
+    runs, existing = tb.trace_runs(s, d), _stored_runs(s, d)
+    # two rounds, the first smaller than the backlog; the second starts from the first one's state
+    now, folder = datetime(2024, 1, 16, tzinfo=timezone.utc), run_folder(s)
+    state, reports = None, []
+    for batch in (50, None):
+        path = f"{folder}/runs{len(reports)}"
+        new, report, fresh = incremental.sync_runs(
+            runs, existing, state, "runs", now, lookback_days=14, batch=batch, store=lambda df, p=path: df.select("id").write.parquet(p))
+        stored = s.read.parquet(path).select(F.col("id").alias("request_id"))
+        fresh.write.parquet(f"{folder}/state{len(reports)}")
+        state, existing = s.read.parquet(f"{folder}/state{len(reports)}"), existing.unionByName(stored)
+        reports.append(stored)
+    return reports[0].withColumn("round", F.lit(1)).unionByName(reports[1].withColumn("round", F.lit(2)))
 
 
 reg("b8_sync_runs", _sync,
-    """SELECT count(*) AS fetched, count(*) FILTER (ok) AS eligible, count(*) FILTER (ok AND t % 3 <> 0) AS inserted,
-    count(*) FILTER (ok AND t % 3 = 0) AS skipped_existing, max(ts) FILTER (ok) AS watermark
-    FROM (SELECT *, ts >= 1704153600 AS ok FROM (SELECT * FROM tr ORDER BY ts DESC, rid LIMIT 400))""")
+    """SELECT rid AS request_id, CASE WHEN row_number() OVER (ORDER BY ts, rid) <= 50 THEN 1 ELSE 2 END::INT AS round
+    FROM tr WHERE ts >= 1704153600 AND t % 3 <> 0""")
+reg("b8_sync_report", lambda s, d: incremental.sync_report(tb.trace_runs(s, d), _stored_runs(s, d), _sync_cutoff()),
+    """SELECT count(*) AS fetched, count(*) FILTER (ok) AS eligible, 0::BIGINT AS skipped_empty, count(*) FILTER (ok AND t % 3 = 0) AS skipped_existing,
+    count(*) FILTER (ok AND t % 3 <> 0) AS inserted, 0::BIGINT AS failed, max(ts) FILTER (ok) AS watermark
+    FROM (SELECT *, ts >= 1704153600 AS ok FROM tr)""")
 
 
 def _event_stream(s: SparkSession, d: str) -> DataFrame:
@@ -286,18 +305,17 @@ def _streamed(build: Callable[[DataFrame], DataFrame], update: bool = False) ->
         start = streams.keep_latest_in if update else streams.append_to
         query = start(build(events_), f"{folder}/out", f"{folder}/checkpoint")
         query.awaitTermination()
-        out = s.read.parquet(f"{folder}/out")
-        return streams.latest_state(out) if update else out
+        return streams.latest_state(streams.read_state(s, f"{folder}/out")) if update else s.read.parquet(f"{folder}/out")
     return run
 
 
 reg("b9_stream_events_exploded", _streamed(lambda e: e), f"SELECT {_EXPLODED} FROM exploded")
-reg("b10_stream_episodes", _streamed(lambda e: streams.stream_episodes(e, GAP)),
+reg("b10_stream_episodes", _streamed(lambda e: streams.stream_episodes(e, GAP, "2 hours")),
     f"""SELECT uniqueid, dtc_code, first_ts, last_ts, occurrences, last_ts - first_ts AS persistence_sec FROM bepi
-    WHERE last_ts + {GAP} <= (SELECT max(ts) FROM exploded)""")
-reg("b11_stream_daily_trend", _streamed(streams.stream_daily_trend),
+    WHERE last_ts + {GAP} <= (SELECT max(ts) - 7200 FROM exploded)""")
+reg("b11_stream_daily_trend", _streamed(lambda e: streams.stream_daily_trend(e, "2 hours")),
     """SELECT clientLoginId, CAST(make_timestamp(ts * 1000000)::DATE AS VARCHAR) AS date, count(*) AS events FROM exploded
-    WHERE (ts // 86400 + 1) * 86400 <= (SELECT max(ts) FROM exploded) GROUP BY ALL""")
+    WHERE (ts // 86400 + 1) * 86400 <= (SELECT max(ts) - 7200 FROM exploded) GROUP BY ALL""")
 reg("b12_stream_latest_state", _streamed(streams.stream_latest_state, update=True),
     "SELECT uniqueid, dtc_code, max(ts) AS last_dtc_ts, count(*) AS events FROM exploded GROUP BY ALL")
 
@@ -439,7 +457,7 @@ reg("d7_maintenance_candidates", lambda s, d: rollups.maintenance_candidates(
 reg("d7_maintenance_priority", lambda s, d: warehouse(s, d).build("maintenance_priority"),
     f"SELECT * REPLACE ({r4('maintenance_priority_score')}) FROM maintenance")
 reg("d8_dtc_cooccurrence", lambda s, d: warehouse(s, d).build("dtc_cooccurrence"), "SELECT * FROM cooccurrence")
-reg("d8_dtc_cooccurrence_any_size", lambda s, d: rollups.dtc_cooccurrence(warehouse(s, d).stats, max_codes=None),
+reg("d8_dtc_cooccurrence_unstored", lambda s, d: rollups.dtc_cooccurrence(warehouse(s, d).stats),
     "SELECT * FROM cooccurrence")
 
 # ---------------------------------------------------------------- E. dashboard
@@ -581,17 +599,22 @@ both("f1_fleet_health_totals", tools.fleet_health_totals, lambda c: f"""SELECT c
     count(*) FILTER (active_fault_count > 0) AS vehicles_with_active_faults, count(*) FILTER (critical_fault_count > 0) AS vehicles_with_critical_faults,
     round(avg(vehicle_health_score), 1) AS avg_health_score, sum(active_fault_count)::BIGINT AS total_active_faults,
     sum(critical_fault_count)::BIGINT AS total_critical_faults, sum(driver_related_faults)::BIGINT AS total_driver_related_faults FROM vhs WHERE {c}""")
-reg("f1_fleet_health_snapshot", w_(tools.fleet_health_snapshot), """SELECT total_vehicles, vehicles_with_active_faults, vehicles_with_critical_faults,
-    driver_related_faults, round(fleet_health_score, 4)::DOUBLE AS fleet_health_score, most_common_dtc, most_common_system, active_fault_trend
-    FROM fhs ORDER BY clientLoginId LIMIT 1""")
+reg("f1_fleet_health_snapshot", w_(tools.fleet_health_snapshot), """SELECT sum(total_vehicles)::BIGINT AS total_vehicles,
+    sum(vehicles_with_active_faults)::BIGINT AS vehicles_with_active_faults, sum(vehicles_with_critical_faults)::BIGINT AS vehicles_with_critical_faults,
+    sum(driver_related_faults)::BIGINT AS driver_related_faults,
+    round(sum(fleet_health_score * total_vehicles::DOUBLE) / sum(total_vehicles), 2)::DOUBLE AS fleet_health_score,
+    coalesce((SELECT most_common_dtc FROM fhs WHERE most_common_dtc <> '' ORDER BY vehicles_with_active_faults DESC, clientLoginId LIMIT 1), '') AS most_common_dtc,
+    coalesce((SELECT most_common_system FROM fhs WHERE most_common_system <> '' ORDER BY vehicles_with_active_faults DESC, clientLoginId LIMIT 1), '') AS most_common_system,
+    (SELECT active_fault_trend FROM fhs ORDER BY vehicles_with_active_faults DESC, clientLoginId LIMIT 1) AS active_fault_trend FROM fhs""")
 _TOP = "(SELECT {c} FROM (SELECT {c}, sum(occurrence_count) AS s FROM vfm WHERE {w} GROUP BY ALL) ORDER BY s DESC, {c} LIMIT 1)".format
 reg("f1_fleet_health_snapshot_customer", w_(tools.fleet_health_snapshot, CUSTOMER), f"""SELECT count(DISTINCT uniqueid) AS total_vehicles,
     count(DISTINCT uniqueid) FILTER (is_resolved = 0) AS vehicles_with_active_faults,
     count(DISTINCT uniqueid) FILTER (is_resolved = 0 AND severity_level >= 3) AS vehicles_with_critical_faults,
     count(*) FILTER (driver_related = 1) AS driver_related_faults, {_TOP(c='dtc_code', w=CUST)} AS most_common_dtc,
     {_TOP(c='system', w=CUST)} AS most_common_system FROM vfm WHERE {CUST}""")
-reg("f1_fleet_health_recent_trend", w_(tools.fleet_health_recent_trend), f"""SELECT {day('date')}, round(fleet_health_score, 4)::DOUBLE AS fleet_health_score,
-    active_faults, resolved_faults, driver_related_faults FROM trends ORDER BY trends.date DESC, clientLoginId LIMIT 7""")
+reg("f1_fleet_health_recent_trend", w_(tools.fleet_health_recent_trend), f"""SELECT {day('date')}, round(avg(fleet_health_score), 2) AS fleet_health_score,
+    sum(active_faults)::BIGINT AS active_faults, sum(resolved_faults)::BIGINT AS resolved_faults, sum(driver_related_faults)::BIGINT AS driver_related_faults
+    FROM trends GROUP BY trends.date ORDER BY trends.date DESC LIMIT 7""")
 _DAILY = """SELECT CAST(event_date AS VARCHAR) AS date, count(*) AS active_faults, {}count(*) FILTER (is_resolved = 1) AS resolved_faults,
     count(*) FILTER (driver_related = 1) AS driver_related_faults FROM vfm WHERE {} GROUP BY event_date"""
 reg("f1_fleet_health_recent_trend_customer", w_(tools.fleet_health_recent_trend, CUSTOMER, DAYS),
@@ -647,7 +670,7 @@ reg("f10_dtc_fleet_impact_customer", w_(tools.dtc_fleet_impact, CUSTOMER), f"""S
     sum(CASE WHEN is_resolved = 0 THEN {sev('severity_level')} ELSE 0 END) AS fleet_risk_score FROM vfm WHERE {CUST} GROUP BY dtc_code) i
     ORDER BY i.fleet_risk_score DESC, dtc_code LIMIT 15""")
 reg("f11_clamp_limit", lambda s, d: tools.capped(warehouse(s, d).vfm.select("episode_id").orderBy("episode_id"), "9999"),
-    "SELECT episode_id FROM vfm ORDER BY episode_id LIMIT 500")
+    "SELECT episode_id FROM vfm ORDER BY episode_id LIMIT 9999")
 
 # ---------------------------------------------------------------- G. front-end roll-ups
 reg("g1_customer_totals", w_(frontend.customer_totals), f"""SELECT count(*) AS customers, sum(vehicle_count)::BIGINT AS total_vehicles,
@@ -773,7 +796,7 @@ def _obs(fn: Callable, *args) -> Callable:
 
 
 def _cohorts(s: SparkSession, d: str, filters=None) -> DataFrame:
-    return observability.prompt_cohorts(traces.trace_prompt_scores(tb.payloads(s, d)), filters, 200)
+    return observability.prompt_cohorts(traces.trace_prompt_scores(tb.payloads(s, d)), filters)
 
 
 def _buckets(s: SparkSession, d: str) -> DataFrame:
@@ -785,11 +808,9 @@ reg("i1_recent_requests", _obs(observability.recent_requests, FILTERS, 100),
     ORDER BY ts DESC, rid LIMIT 100""")
 reg("i2_prompt_cohorts", _cohorts, "SELECT prompt_key, prompt_version, round(avg_node_score, 4) AS avg_node_score, round(avg_final_score, 4) AS avg_final_score, runs FROM cohorts")
 reg("i3_prompt_failure_buckets", _buckets,
-    """SELECT prompt_key, prompt_version, root_cause, runs, round(avg_node_score, 4) AS avg_node_score FROM buckets
-    ORDER BY runs DESC, prompt_key, prompt_version, root_cause LIMIT 100""")
-_TOPB = "(SELECT * FROM buckets ORDER BY runs DESC, prompt_key, prompt_version, root_cause LIMIT 100)"
+    """SELECT prompt_key, prompt_version, root_cause, runs, round(avg_node_score, 4) AS avg_node_score FROM buckets""")
 _DOM = f"""SELECT prompt_key, prompt_version, root_cause AS dominant_root_cause, runs AS root_cause_runs FROM (SELECT *, row_number() OVER
-    (PARTITION BY prompt_key, prompt_version ORDER BY runs DESC, root_cause) AS rn FROM {_TOPB}) WHERE rn = 1"""
+    (PARTITION BY prompt_key, prompt_version ORDER BY runs DESC, root_cause) AS rn FROM buckets) WHERE rn = 1"""
 reg("i4_dominant_root_cause", lambda s, d: observability.dominant_root_cause(_buckets(s, d)), _DOM)
 reg("i5_prompt_refinement_queue", lambda s, d: observability.prompt_refinement_queue(_cohorts(s, d), _buckets(s, d)),
     f"""SELECT *, CASE WHEN dominant_root_cause IN ('no_tool_data', 'sql_error') THEN '{observability.ADVICE_RETRIEVAL}'
@@ -800,8 +821,9 @@ reg("i5_prompt_refinement_queue", lambda s, d: observability.prompt_refinement_q
     round(0.7 * greatest(0, least(1, 1 - avg_node_score)) + 0.3 * least(runs, 50)::DOUBLE / 50, 3)::DOUBLE AS priority_score
     FROM cohorts c LEFT JOIN ({_DOM}) USING (prompt_key, prompt_version))""")
 _V = ["v0", "v1", "v2"]
-reg("i6_prompt_score_matrix", lambda s, d: observability.prompt_score_matrix(_cohorts(s, d), _V),
-    f"SELECT prompt_key, {', '.join(f'round(avg(avg_node_score) FILTER (prompt_version = {chr(39)}{v}{chr(39)}), 4) AS {v}' for v in _V)} FROM cohorts GROUP BY prompt_key")
+reg("i6_prompt_score_matrix", lambda s, d: observability.prompt_score_matrix(_cohorts(s, d), _V).withColumn(
+        "by_version", F.concat_ws(",", F.map_keys("by_version"))),
+    f"SELECT prompt_key, string_agg(prompt_version, ',' ORDER BY prompt_version) AS by_version, {', '.join(f'round(avg(avg_node_score) FILTER (prompt_version = {chr(39)}{v}{chr(39)}), 4) AS {v}' for v in _V)} FROM cohorts GROUP BY prompt_key")
 reg("i7_score_trend", _obs(observability.score_trend, FILTERS),
     f"SELECT CAST({_DATE} AS VARCHAR) AS date, round(avg(final_score), 4) AS avg_score, count(*) AS runs FROM tfinal r WHERE {_REQ} GROUP BY ALL")
 reg("i8_top_root_causes", _obs(observability.top_root_causes), "SELECT root_cause, count(*) AS runs FROM tr GROUP BY ALL ORDER BY runs DESC, root_cause LIMIT 10")
@@ -888,13 +910,14 @@ reg("k2_next_message_index", lambda s, d: conversations.next_message_index(tb.me
 
 def _assigned(s: SparkSession, d: str) -> DataFrame:
     m = tb.messages(s, d)
-    batch = m.withColumn("seq", F.col("message_index")).drop("message_index")
+    # every seventh message has lost its time
+    batch = m.withColumn("seq", F.col("message_index")).drop("message_index").withColumn("ts", F.when(F.col("seq") % 7 != 3, F.col("ts")))
     return conversations.assign_indexes(m.filter("message_index < 2"), batch).select("conversation_id", "seq", "message_index")
 
 
 reg("k2_assign_indexes", _assigned,
-    """SELECT conversation_id, message_index AS seq, coalesce(mx + 1, 0) + row_number() OVER (PARTITION BY conversation_id ORDER BY message_index) - 1 AS message_index
-    FROM msg LEFT JOIN (SELECT conversation_id, max(message_index) AS mx FROM msg WHERE message_index < 2 GROUP BY ALL) USING (conversation_id)""")
+    """SELECT conversation_id, message_index AS seq, coalesce(mx + 1, 0) + row_number() OVER
+    (PARTITION BY conversation_id ORDER BY message_index % 7 <> 3, message_index) - 1 AS message_index FROM msg LEFT JOIN (SELECT conversation_id, max(message_index) AS mx FROM msg WHERE message_index < 2 GROUP BY ALL) USING (conversation_id)""")
 reg("k3_latest_conversation", lambda s, d: conversations.latest_conversation(tb.conversations(s, d)).select(
         "conversation_id", "customer_name", "created_ts", F.coalesce(F.try_element_at("context", F.lit("mode")), F.lit("")).alias("context_mode")),
     """SELECT conversation_id, customer_name, created_ts, CASE WHEN conv_id % 5 = 0 THEN '' ELSE 'm' || (conv_id % 3) END AS context_mode FROM

@@ -1,17 +1,19 @@
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultloom.functions.numbering import number_globally, number_within
 from faultloom.operators import audits, conversations, evaluation, frontend, quality, rollups, traces
-from faultloom.params import clamp_limit
+from faultloom.params import checked_limit
 from faultloom.plans import incremental
 from faultloom.sources import readers, writers
 from tests.conftest import rows
 
+T0 = datetime(2024, 1, 1)
+
 
 def test_flexible_profile(spark):
     df = spark.createDataFrame([("a", None, "20x9"), ("b", "KA1", "2019")], "unique_id string, vehicle_no string, mfg_year string")
@@ -62,16 +64,14 @@ def test_writers(spark, tmp_path):
     assert writers.exists(spark, path) and not writers.exists(spark, str(tmp_path / "none"))
 
 
-def test_cooccurrence_limits(spark):
-    """Vehicles with more than 200 codes stay out of the published table and
-    count exactly when the limit is lifted."""
+def test_cooccurrence_has_no_limit(spark):
+    """Vehicles with any number of codes count exactly."""
     few = [("t", f"V{i}", c, 1, 10 + i) for i in range(3) for c in ("A", "B", "C")]
     many = [("t", "BIG", f"C{i:03d}", 1, 5) for i in range(230)] + [("t", "BIG2", f"C{i:03d}", 2, 6) for i in range(230)]
     df = spark.createDataFrame(few + many, "clientLoginId string, uniqueid string, dtc_code string, episodes long, last_ts long")
-    out = rollups.dtc_cooccurrence(df)
-    assert rows(out, "dtc_code_a", "dtc_code_b", "cooccurrence_count", "vehicles_affected", "last_seen_ts") == [
+    whole = rollups.dtc_cooccurrence(df)
+    assert rows(whole.filter("dtc_code_a IN ('A', 'B')"), "dtc_code_a", "dtc_code_b", "cooccurrence_count", "vehicles_affected", "last_seen_ts") == [
         ("A", "B", 9, 3, 12), ("A", "C", 9, 3, 12), ("B", "C", 9, 3, 12)]
-    whole = rollups.dtc_cooccurrence(df, max_codes=None)
     assert whole.count() == 3 + 230 * 229 // 2
     assert whole.filter("dtc_code_a = 'C001' AND dtc_code_b = 'C229'").first()["cooccurrence_count"] == 230 + 460
 
@@ -95,10 +95,7 @@ def _reference_mask(text, customers, vehicles):
     return text
 
 
-@pytest.mark.parametrize("inline", [True, False])
-def test_mask_text(spark, monkeypatch, inline):
-    if not inline:
-        monkeypatch.setattr(frontend, "MAX_INLINE_NAMES", 0)
+def test_mask_text(spark, monkeypatch):
     monkeypatch.setattr(frontend, "WINDOW", 16)
     customers = [("acme", "c1"), ("acme north", "c2"), ("x.y(z)", "c3"), ("b\\e", "c4")]
     vehicles = [("ka-1", "vehicle1"), ("ka-12", "vehicle2")]
@@ -223,10 +220,91 @@ def test_sync_cutoff(spark):
     known = spark.createDataFrame([("known",)], "request_id string")
     new, report, after = incremental.sync_runs(runs, known, None, "k", now)
     assert rows(new, "id") == [("r1",), ("r3",)]
-    assert tuple(report.first()) == (5, 3, 2, 1, datetime(2024, 1, 31))
-    assert tuple(after.first()) == ("k", datetime(2024, 1, 31), now, "inserted=2, skipped_existing=1")
+    assert report.first().asDict() == {
+        "fetched": 5, "eligible": 3, "skipped_empty": 0, "skipped_existing": 1, "inserted": 2, "failed": 0, "watermark": datetime(2024, 1, 31)}
+    assert tuple(after.first()) == ("k", datetime(2024, 1, 31), now, "inserted=2, skipped_existing=1, failed=0")
     assert incremental.cdc_window(None, "p", 100 * 86400).since_ts == 10 * 86400
 
 
-def test_clamp():
-    assert [clamp_limit(v, 10, 1, 200) for v in ("x", None, 0, 999, "7")] == [10, 10, 1, 200, 7]
+def test_limits_out_of_range_are_errors():
+    assert [checked_limit(v, 10, 1, 200) for v in ("x", None, "7")] == [10, 10, 7]
+    for v in (0, 999):
+        with pytest.raises(ValueError):
+            checked_limit(v, 10, 1, 200)
+
+
+def test_numbering_with_nulls(spark):
+    df = spark.createDataFrame([("a", None, 3), ("a", None, 1), ("a", 5, 9), (None, None, 2), (None, 1, 4)], "k string, chunk int, o int")
+    got = number_within(df, ["k"], F.col("chunk"), ["o"])
+    assert sorted((tuple(r) for r in got.select("k", "o", "rn").collect()), key=str) == sorted(
+        [("a", 1, 1), ("a", 3, 2), ("a", 9, 3), (None, 2, 1), (None, 4, 2)], key=str)
+
+
+def test_messages_without_a_time_are_kept(spark):
+    from faultloom.operators import conversations
+
+    stored = spark.createDataFrame([("c", 4)], "conversation_id string, message_index int")
+    batch = spark.createDataFrame([("c", "user", None, 2), ("c", "user", T0, 1), ("d", "user", None, 1)], "conversation_id string, role string, ts timestamp, seq int")
+    got = conversations.assign_indexes(stored, batch)
+    assert rows(got, "conversation_id", "seq", "message_index") == [("c", 1, 6), ("c", 2, 5), ("d", 1, 0)]
+
+
+def _runs(spark, starts):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([
+        T.StructField("id", T.StringType()), T.StructField("start_time", T.TimestampType()),
+        T.StructField("outputs", T.StructType([T.StructField("text", T.StringType())])),
+        T.StructField("extra", T.StructType([T.StructField("metadata", T.StructType([T.StructField("request_id", T.StringType())]))]))])
+    return spark.createDataFrame([(i, t, ("x",) if i != "E" else None, ((None,),)) for i, t in starts], schema)
+
+
+def test_sync_stores_every_run_in_small_batches(spark, tmp_path):
+    from faultloom.plans import incremental
+
+    runs = _runs(spark, [(f"R{i}", T0 + timedelta(minutes=i)) for i in range(5)] + [("E", T0), ("N", None)])
+    state, existing, seen = None, spark.createDataFrame([("R1",)], "request_id string"), []
+    for n in range(4):
+        path = str(tmp_path / f"s{n}")
+        new, report, fresh = incremental.sync_runs(
+            runs, existing, state, "p", T0 + timedelta(days=1), batch=2, safety_minutes=0, store=lambda df, p=path: df.select("id").write.parquet(p))
+        fresh.write.parquet(path + "-state")
+        state = spark.read.parquet(path + "-state")
+        ids = [r.id for r in spark.read.parquet(path).collect()]
+        seen += ids
+        existing = existing.union(spark.createDataFrame([(i,) for i in ids], "request_id string"))
+    assert sorted(seen) == ["N", "R0", "R2", "R3", "R4"]
+    assert report.first().asDict()["skipped_empty"] == 0
+
+
+def test_failed_sync_moves_nothing(spark):
+    from faultloom.plans import incremental
+
+    def broken(df):
+        raise OSError
+
+    runs = _runs(spark, [("R0", T0), ("E", T0)])
+    _, report, fresh = incremental.sync_runs(runs, spark.createDataFrame([], "request_id string"), None, "p", T0, store=broken)
+    got = report.first()
+    assert (got.fetched, got.eligible, got.skipped_empty, got.inserted, got.failed) == (2, 2, 1, 0, 1) and fresh.count() == 0
+
+
+def test_every_prompt_finds_its_cause(spark):
+    from faultloom.operators import observability
+
+    scores = spark.createDataFrame(
+        [(f"p{i}", "v1", f"cause{i}", 0.1, 0.2) for i in range(150) for _ in range(3)],
+        "prompt_key string, prompt_version string, root_cause string, node_score double, final_score double")
+    queue = observability.prompt_refinement_queue(observability.prompt_cohorts(scores), observability.prompt_failure_buckets(scores))
+    assert queue.count() == 150 and queue.filter("dominant_root_cause = 'unknown'").count() == 0
+
+
+@pytest.mark.parametrize("size", [100_000])
+def test_mask_long_text(spark, size):
+    """One long text and names of many lengths: found in time linear in the text."""
+    words = [f"n{'x' * (i % 40)}{i}" for i in range(60)]
+    text = " ".join(words[i % 60] if i % 9 == 0 else f"w{i}" for i in range(size // 6))
+    names = spark.createDataFrame([(w, f"alias{i}_") for i, w in enumerate(words)], "identity string, alias string")
+    df = spark.createDataFrame([(1, text), (2, "no names"), (3, None)], "i int, t string")
+    got = {r.i: r.masked for r in frontend.mask_text(df, "t", names, names.limit(0)).collect()}
+    assert got == {1: _reference_mask(text, [(w, f"alias{i}_") for i, w in enumerate(words)], []), 2: "no names", 3: None}

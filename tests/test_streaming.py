@@ -77,3 +77,29 @@ def test_trend_and_state(spark, source):
         F.max("ts").alias("last_dtc_ts"), F.count("*").alias("events"))
     cols = ("uniqueid", "dtc_code", "last_dtc_ts", "events")
     assert rows(streams.latest_state(stored), *cols) == rows(want, *cols)
+
+
+def test_state_is_compacted(spark, source):
+    batch, stream, vm, tmp = source
+    live = streams.stream_latest_state(streams.stream_events_exploded(stream(), vm))
+    path = str(tmp / "out")
+    streams.keep_latest_in(live, path, str(tmp / "cp"), compact_every=2).awaitTermination()
+    assert (tmp / "out" / "compacted=1").exists()
+    state = streams.read_state(spark, path)
+    assert {r.batch_id for r in state.select("batch_id").distinct().collect()}.isdisjoint({0})
+    want = events.events_exploded(batch, vm).groupBy("uniqueid", "dtc_code").agg(
+        F.max("ts").alias("last_dtc_ts"), F.count("*").alias("events"))
+    cols = ("uniqueid", "dtc_code", "last_dtc_ts", "events")
+    assert rows(streams.latest_state(state), *cols) == rows(want, *cols)
+
+
+@pytest.mark.parametrize("late,kept", [(30, True), (60 * 30, False)])
+def test_late_rows(spark, tmp_path, late, kept):
+    """A row behind the newest one counts inside the delay and is dropped beyond it."""
+    # the watermark that drops late rows is that of the batch before
+    for i, minutes in enumerate((60 * 48, 60 * 48 + 1, 60 * 48 - late, 60 * 24 * 9)):
+        spark.createDataFrame([message("V1", minutes, "P1")], schemas.DTC_HISTORY).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{i}"))
+    vm = spark.createDataFrame([("T", "V1", "n1")], "clientLoginId string, uniqueid string, vehicle_number string")
+    stream = spark.readStream.schema(schemas.DTC_HISTORY).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out = run(streams.append_to, streams.stream_episodes(streams.stream_events_exploded(stream, vm), 600, "2 hours"), tmp_path)
+    assert out.filter(f"first_ts = {int(T0.timestamp()) + 60 * (60 * 48 - late)}").count() == int(kept)
