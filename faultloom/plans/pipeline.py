@@ -72,6 +72,11 @@ class Warehouse:
             self._tables[name] = self.spark.read.parquet(path)
         return self._tables[name]
 
+    def take(self, name: str, df: DataFrame) -> Warehouse:
+        """Use a table that is already stored elsewhere."""
+        self._tables[name] = df
+        return self
+
     def run(self) -> dict[str, DataFrame]:
         """Build every output table."""
         return {name: self.table(name) for name in OUTPUT_TABLES}

@@ -61,7 +61,10 @@ def _first_present(columns: Sequence[str], names: Sequence[str]) -> str | None:
 
 
 def resolve_vehicle_profile(df: DataFrame) -> DataFrame:
-    """Vehicle rows from a source whose column names vary."""
+    """Vehicle rows from a source whose column names vary.
+
+    The candidate names and their order are fixed values.
+    """
 
     def text(*names: str) -> Column:
         found = _first_present(df.columns, names)
@@ -102,10 +105,11 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], version: Sequence[str | Co
 
 
 def build_vehicle_master(profile: DataFrame) -> DataFrame:
+    """One row per tenant and vehicle: the newest, and of equals the greatest in column order."""
     vehicles = profile.filter(F.col("solutionType").isin(*OBD_SOLUTIONS))
-    if "updated_at" in vehicles.columns:
-        vehicles = latest_by_key(vehicles, ["clientLoginId", "uniqueid"], ["updated_at"])
-    return vehicles
+    keys = ["clientLoginId", "uniqueid"]
+    rest = [c for c in vehicles.columns if c not in keys]
+    return latest_by_key(vehicles, keys, ["updated_at", *rest] if "updated_at" in rest else rest)
 
 
 def build_dtc_master(codes: DataFrame) -> DataFrame:
@@ -165,8 +169,9 @@ def _filled(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c.cast("string"), F.lit("")) for c in cols], F.lit(""))
 
 
-def read_trace_runs(runs: DataFrame) -> DataFrame:
-    """Nested run records -> one row per run with the query and the payload fields."""
+def read_trace_runs(runs: DataFrame, passed: Sequence[str] = ()) -> DataFrame:
+    """Nested run records -> one row per run with the query and the payload
+    fields; the ``passed`` columns of the record go along."""
     o, meta = "outputs", "extra.metadata"
     last_message = F.try_element_at(F.col(f"{o}.messages"), F.lit(-1)).getField("content")
     out = runs.select(
@@ -182,7 +187,7 @@ def read_trace_runs(runs: DataFrame) -> DataFrame:
         F.col(f"{o}.tools_called").alias("tools_called"),
         F.col(f"{o}.sql_events").alias("sql_events"),
         F.col(f"{o}.token_usage").alias("token_usage"),
-        F.col(f"{o}.failure_reasons").alias("failure_reasons"),
+        F.col(f"{o}.failure_reasons").alias("failure_reasons"), *passed,
     )
     return out.filter("request_id <> ''")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -28,6 +28,15 @@ def layouts() -> dict[str, Layout]:
         "vehicle_fault_master": Layout(
             "event_month", month(F.col("event_date")), ("clientLoginId", "uniqueid", "dtc_code", "first_ts")),
         "fleet_fault_trends": Layout("event_month", month(F.col("date")), ("clientLoginId", "date")),
+        # looked up by key: files hold ranges of it, so row-group statistics skip the rest
+        "fleet_health_summary": Layout(sort=("clientLoginId",)),
+        "fleet_dtc_distribution": Layout(sort=("clientLoginId", "dtc_code")),
+        "fleet_system_health": Layout(sort=("clientLoginId", "system")),
+        "vehicle_health_summary": Layout(sort=("uniqueid", "clientLoginId")),
+        "dtc_fleet_impact": Layout(sort=("dtc_code", "clientLoginId")),
+        "maintenance_priority": Layout(sort=("clientLoginId", "uniqueid", "dtc_code")),
+        "dtc_cooccurrence": Layout(sort=("dtc_code_a", "dtc_code_b")),
+        "vehicle_code_stats": Layout(sort=("uniqueid", "dtc_code")),
     }
 
 
@@ -44,6 +53,8 @@ def write_partitioned(df: DataFrame, path: str, layout: Layout | None = None, mo
         df = df.sortWithinPartitions(layout.partition, *layout.sort)
         df.write.mode(mode).partitionBy(layout.partition).parquet(path)
     else:
+        # range-partitioned on the sort keys, so that a key lies in few files
+        df = df.repartitionByRange(*layout.sort).sortWithinPartitions(*layout.sort) if layout.sort else df
         df.write.mode(mode).parquet(path)
 
 
@@ -65,6 +76,12 @@ def rebuild(df: DataFrame, path: str, layout: Layout | None = None, *, only_touc
     )
 
 
+def drop_partition(spark: SparkSession, path: str, column: str, value: object) -> None:
+    """Remove one partition of a stored table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def append(df: DataFrame, path: str, layout: Layout | None = None) -> None:
     write_partitioned(df, path, layout, mode="append")
 

@@ -185,8 +185,8 @@ def _report(s: SparkSession, d: str) -> DataFrame:
 reg("a15_write_eval_report", _report, "SELECT id, tool_f1, keyword_hits FROM scored")
 _OPTIONS = ("intent", "root_cause", "env_name", "release_version")
 reg("a16_distinct_filter_options", lambda s, d: quality.distinct_filter_options(
-        traces.trace_requests(tb.payloads(s, d)), _OPTIONS).unionByName(quality.distinct_filter_options(
-            traces.trace_prompt_scores(tb.payloads(s, d)), ("prompt_key", "prompt_version"))),
+        tb.stored(s, d, "trace_requests"), _OPTIONS).unionByName(quality.distinct_filter_options(
+            tb.stored(s, d, "trace_prompt_scores"), ("prompt_key", "prompt_version"))),
     " UNION ".join([f"SELECT '{c}' AS option, {c} AS value FROM tr WHERE {c} <> ''" for c in _OPTIONS]
                    + [f"SELECT '{c}' AS option, {c} AS value FROM tpscore" for c in ("prompt_key", "prompt_version")]))
 
@@ -256,6 +256,23 @@ def _impacted(s: SparkSession, d: str) -> DataFrame:
 reg("b7_rebuild_impacted", _impacted, f"SELECT {_VFM_COLS} FROM vfm")
 
 
+def _incremental(s: SparkSession, d: str) -> DataFrame:
+    """Two runs, two days apart, on what had arrived by then; roll-ups from the result."""
+    from faultloom.plans.pipeline import Warehouse
+    from testbed.inputs import dtc_codes, vehicle_profile
+
+    w, folder, history = warehouse(s, d), run_folder(s), dtc_history(s, d)
+    for as_of in (AS_OF - 2 * 86400, AS_OF):
+        p = Params(as_of=as_of, gap=PARAMS.gap, cutoff=PARAMS.cutoff, k=PARAMS.k)
+        arrived = history.filter(F.unix_timestamp("ts") <= as_of)
+        vfm = incremental.run_incremental(s, folder, arrived, w.cycles.filter(F.col("cycle_ts") <= as_of), w.vm, w.dm, p)
+    again = Warehouse(s, history=history, cycles=engine_cycles(s, d), profile=vehicle_profile(s, d), codes=dtc_codes(s, d), params=PARAMS)
+    return again.take("vehicle_fault_master", vfm).vhs.select("clientLoginId", "uniqueid", "active_fault_count", "total_episodes", "most_common_dtc")
+
+
+reg("b7_run_incremental", _incremental, "SELECT clientLoginId, uniqueid, active_fault_count, total_episodes, most_common_dtc FROM vhs")
+
+
 def _stored_runs(s: SparkSession, d: str) -> DataFrame:
     return tb.turns(s, d).filter("t % 3 = 0").select(
         F.concat(F.lit("R"), F.col("c").cast("string"), F.lit("-"), F.col("t").cast("string")).alias("request_id"))
@@ -717,24 +734,24 @@ reg("g9_mask_text", _masked, """SELECT episode_id, 'Fault ' || dtc_code || ' on
                FROM (SELECT DISTINCT customer_name FROM vhs WHERE customer_name <> '')) c ON c.n = customer_name""")
 
 # ---------------------------------------------------------------- H. trace tables
-reg("h1_trace_requests", lambda s, d: traces.trace_requests(tb.payloads(s, d)).drop("evaluation_json", "version_json", "prompt_versions_json", "failure_reasons_json"),
+reg("h1_trace_requests", lambda s, d: tb.stored(s, d, "trace_requests").drop("evaluation_json", "version_json", "prompt_versions_json", "failure_reasons_json"),
     """SELECT r.rid AS request_id, ts, query, intent, customer_name, 'vehicle' AS mode, x AS response_text, round(final_score, 4) AS final_score,
     round(correctness, 4) AS correctness, round(completeness, 4) AS completeness, round(relevance, 4) AS relevance, round(groundedness, 4) AS groundedness,
     root_cause, judge_mode, t % 3 + 1 AS tools_called_count, t % 8 + 1 AS nodes_executed_count, len(reasons) AS failure_count, len AS tokens_prompt,
     len // 2 AS tokens_completion, release_version, 's1' AS service_version, 'm1' AS model_name, env_name, n AS planner_events_count,
     ok AS planner_success_count, n - ok AS planner_error_count, fixes AS planner_fix_attempts_sum FROM tfinal r JOIN
     (SELECT rid, count(*) AS n, count(*) FILTER (success = 1) AS ok, sum(coalesce(fix, 0))::BIGINT AS fixes FROM tplan GROUP BY rid) USING (rid)""")
-reg("h1_trace_requests_json", lambda s, d: traces.trace_requests(tb.payloads(s, d)).select("request_id", "failure_reasons_json", "prompt_versions_json"),
+reg("h1_trace_requests_json", lambda s, d: tb.stored(s, d, "trace_requests").select("request_id", "failure_reasons_json", "prompt_versions_json"),
     f"""SELECT r.rid AS request_id, CASE WHEN len(reasons) = 0 THEN '[]' ELSE '["' || reasons[1] || '"]' END AS failure_reasons_json,
     '{{' || {" || ',' || ".join(f"'" + '"' + k + '":"v' + f"' || ((c + {i}) % 3) || '" + '"' + "'" for i, k in enumerate(tb.PROMPTS))} || '}}' AS prompt_versions_json FROM tr r""")
-reg("h2_trace_nodes", lambda s, d: traces.trace_nodes(tb.payloads(s, d)),
+reg("h2_trace_nodes", lambda s, d: tb.stored(s, d, "trace_nodes"),
     """SELECT rid AS request_id, ts, p AS pos, node, e_customer AS customer_name, e_mode AS mode, status, round(duration, 4) AS duration_sec, row_count,
     '' AS sql_query, '{"sql_errors_delta":' || sql_errors_delta || ',"tool_called":' || tool_called || ',"intent_is_unknown":' || intent_is_unknown || '}' AS metrics_json,
     CASE WHEN p % 3 = 0 THEN '{"context":{"mode":"fleet"}}' ELSE '{}' END AS input_summary_json, '{}' AS output_summary_json, '[]' AS failure_reasons_json FROM tnode""")
-reg("h3_trace_sql_events", lambda s, d: traces.trace_sql_events(tb.payloads(s, d)),
+reg("h3_trace_sql_events", lambda s, d: tb.stored(s, d, "trace_sql_events"),
     """SELECT rid AS request_id, ts, q AS pos, 'investigate_data' AS node, tool, customer_name, 'vehicle' AS mode, success, row_count,
     round(duration_sec, 4) AS duration_sec, sql_text AS query, CASE WHEN success = 1 THEN '' ELSE 'boom' END AS error FROM tsql""")
-reg("h4_trace_planner_events", lambda s, d: traces.trace_planner_events(tb.payloads(s, d)),
+reg("h4_trace_planner_events", lambda s, d: tb.stored(s, d, "trace_planner_events"),
     """SELECT rid AS request_id, ts, 'call_' || q AS tool_call_id, tool, customer_name, 'vehicle' AS mode,
     CASE WHEN q = 0 THEN 'llm_sql_planner' ELSE 'unknown' END AS generated_by, coalesce(fix, 0) AS fix_attempts, success,
     CASE WHEN c % 2 = 0 THEN '["a","b"]' ELSE '[]' END AS selected_tables_json, CASE WHEN c % 2 = 0 THEN 'a,b' ELSE '' END AS selected_tables_csv,
@@ -749,7 +766,7 @@ reg("h7_trace_prompt_versions", p_(traces.trace_prompt_versions),
     """SELECT rid AS request_id, ts, prompt_key, prompt_version, customer_name, 'vehicle' AS mode, intent, env_name, release_version,
     's1' AS service_version, 'm1' AS model_name, 'g' AS git_commit FROM tprompt""")
 reg("h8_prompt_inventory_new", lambda s, d: traces.prompt_inventory_new(
-        tb.payloads(s, d), traces.trace_prompt_versions(tb.payloads(s, d)).filter("prompt_version = 'v1'").select("prompt_key", "prompt_version")),
+        tb.payloads(s, d), tb.stored(s, d, "trace_prompt_versions").filter("prompt_version = 'v1'").select("prompt_key", "prompt_version")),
     """SELECT DISTINCT prompt_key, prompt_version, 'text of ' || prompt_key || ' ' || prompt_version AS prompt FROM tprompt
     WHERE prompt_version <> 'v1'""")
 
@@ -790,17 +807,16 @@ _REQ = f"""{_DATE} >= DATE '2024-01-02' AND {_DATE} <= DATE '2024-01-30' AND env
 
 def _obs(fn: Callable, *args) -> Callable:
     def run(s: SparkSession, d: str) -> DataFrame:
-        p = tb.payloads(s, d)
-        return fn(traces.trace_requests(p), traces.trace_prompt_scores(p), *args)
+        return fn(tb.stored(s, d, "trace_requests"), tb.stored(s, d, "trace_prompt_scores"), *args)
     return run
 
 
 def _cohorts(s: SparkSession, d: str, filters=None) -> DataFrame:
-    return observability.prompt_cohorts(traces.trace_prompt_scores(tb.payloads(s, d)), filters)
+    return observability.prompt_cohorts(tb.stored(s, d, "trace_prompt_scores"), filters)
 
 
 def _buckets(s: SparkSession, d: str) -> DataFrame:
-    return observability.prompt_failure_buckets(traces.trace_prompt_scores(tb.payloads(s, d)))
+    return observability.prompt_failure_buckets(tb.stored(s, d, "trace_prompt_scores"))
 
 
 reg("i1_recent_requests", _obs(observability.recent_requests, FILTERS, 100),
@@ -835,8 +851,7 @@ RUNS = ["R1-2", "R3-5", "R5-1"]
 
 
 def _detail(s: SparkSession, d: str) -> DataFrame:
-    p = tb.payloads(s, d)
-    out = observability.run_detail(traces.trace_requests(p), traces.trace_nodes(p), traces.trace_node_scores(p), RUNS)
+    out = observability.run_detail(*(tb.stored(s, d, n) for n in ("trace_requests", "trace_nodes", "trace_node_scores")), RUNS)
     return out.select(
         "request_id", "ts", "query", "intent", "text", "evaluation.final_score", "evaluation.root_cause", "nodes_executed",
         F.size("trace_log").alias("nodes"), F.size("evaluation.node_scores").alias("scores"))
@@ -851,7 +866,7 @@ reg("i11_node_timeline", p_(observability.node_timeline),
 reg("i12_trace_root_cause", p_(observability.trace_root_cause),
     """SELECT r.rid AS request_id, coalesce((SELECT node FROM tnode n WHERE n.rid = r.rid AND (sql_errors_delta > 0 OR tool_called = 0 OR intent_is_unknown = 1)
     ORDER BY p LIMIT 1), 'unknown') AS root_cause FROM tr r""")
-reg("i13_final_score", lambda s, d: observability.recomputed_final_score(traces.trace_requests(tb.payloads(s, d))),
+reg("i13_final_score", lambda s, d: observability.recomputed_final_score(tb.stored(s, d, "trace_requests")),
     "SELECT rid AS request_id, final_score FROM tfinal")
 reg("i14_chat_metrics", p_(observability.chat_metrics),
     """SELECT r.rid AS request_id, round(latency_sec, 2) AS latency_sec, t % 3 + 1 AS tools_called, t % 8 + 1 AS nodes_executed_count, len AS tokens_prompt,
@@ -951,7 +966,7 @@ reg("k6_context_window", _contexts,
 
 
 def _log(s: SparkSession, d: str) -> DataFrame:
-    return traces.trace_sql_events(tb.payloads(s, d))
+    return tb.stored(s, d, "trace_sql_events")
 
 
 _LOG = "rid AS request_id, q AS pos"

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from faultloom.functions.scoring import final_score
 from faultloom.operators.traces import NODE_TO_PROMPT, planner_events
+from faultloom.plans.trace_store import TraceStore
+from faultloom.session import run_folder
 from faultloom.sources.readers import read_trace_runs
 from testbed.inputs import table
 
@@ -139,11 +141,30 @@ def trace_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flattened run payloads with the service's side columns."""
-    runs = trace_runs(spark, sf_dir)
-    flat = read_trace_runs(runs).join(
-        runs.select(F.col("id").alias("request_id"), "customer_name", "mode", "tool_results", "latency_sec"), "request_id")
-    return planner_events(flat)
+    """Flattened run payloads with the service's side columns, as stored."""
+    return store(spark, sf_dir).payloads().drop("batch", "event_date")
+
+
+_stores: dict[tuple[str, str], TraceStore] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> TraceStore:
+    """One trace store per application and input folder, filled in two appends
+    of which the second repeats half of the first."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        runs = trace_runs(spark, sf_dir)
+        flat = planner_events(read_trace_runs(runs, ("customer_name", "mode", "tool_results", "latency_sec", "c")))
+        made = TraceStore(spark, f"{run_folder(spark)}/traces")
+        made.append(flat.filter("c % 2 = 0").drop("c"), "first")
+        made.append(flat.filter("c % 4 > 0").drop("c"), "second")
+        _stores[key] = made
+    return _stores[key]
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return store(spark, sf_dir).table(name).drop("batch", "event_date")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

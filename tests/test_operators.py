@@ -308,3 +308,52 @@ def test_mask_long_text(spark, size):
     df = spark.createDataFrame([(1, text), (2, "no names"), (3, None)], "i int, t string")
     got = {r.i: r.masked for r in frontend.mask_text(df, "t", names, names.limit(0)).collect()}
     assert got == {1: _reference_mask(text, [(w, f"alias{i}_") for i, w in enumerate(words)], []), 2: "no names", 3: None}
+
+
+def test_trace_store(spark, tmp_path):
+    """Requests are stored once; a repeated batch changes nothing; a new column is taken in."""
+    from faultloom.plans.trace_store import TABLES, TraceStore
+    from testbed import traces as tb
+    from tests.conftest import SF
+
+    flat = tb.payloads(spark, SF)
+    store = TraceStore(spark, str(tmp_path / "traces"))
+    store.append(flat.filter("latency_sec < 2"), "b1")
+    before = {n: store.table(n).count() for n in TABLES}
+    store.append(flat.filter("latency_sec < 2"), "b1")
+    assert {n: store.table(n).count() for n in TABLES} == before
+    store.append(flat.drop("latency_sec").withColumn("region", F.lit("eu")), "b2")
+    assert store.table("trace_requests").count() == flat.count() == store.table("trace_requests").select("request_id").distinct().count()
+    assert store.table("prompt_inventory").groupBy("prompt_key", "prompt_version").count().filter("count > 1").count() == 0
+    seen = store.payloads().groupBy("batch").agg(F.count("latency_sec").alias("old"), F.count("region").alias("new")).orderBy("batch").collect()
+    assert (seen[0].new, seen[1].old) == (0, 0) and seen[0].old > 0 and seen[1].new > 0
+
+
+def test_incremental_run_leaves_other_months_alone(spark, tmp_path):
+    import os
+
+    from faultloom.operators.fault_master import FAULT_COLUMNS, vehicle_fault_master
+    from faultloom.operators.events import events_exploded
+    from faultloom.params import Params
+    from faultloom import schemas
+
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    vm = spark.createDataFrame([("T", v, v, "C", "m", 2000, "t", "obd_solution", 0.0) for v in ("V1", "V2")],
+                               "clientLoginId string, uniqueid string, vehicle_number string, customer_name string, model string, manufacturing_year int, vehicle_type string, solutionType string, tank_capacity double")
+    codes = readers.build_dtc_master(spark.createDataFrame([("P1", 3)], "dtc_code string, severity_level int"))
+    # V1 was last seen in January and is resolved; V2 goes on in March
+    message = lambda v, n: (v, day(n), ["P1"], 0.0, 0.0, None)
+    first = [message("V1", 5), message("V1", 6), message("V2", 40)]
+    cycles = spark.createDataFrame([("V1", int(day(7).timestamp())), ("V1", int(day(30).timestamp())), ("V2", int(day(41).timestamp())), ("V2", int(day(60).timestamp()))], "uniqueid string, cycle_ts long")
+    of = lambda rows_: spark.createDataFrame(rows_, schemas.DTC_HISTORY)
+    p = lambda n: Params(as_of=int(day(n).timestamp()))
+    folder = str(tmp_path / "w")
+    incremental.run_incremental(spark, folder, of(first), cycles, vm, codes, p(61))
+    january = str(tmp_path / "w" / "vehicle_fault_master" / "event_month=202401")
+    before = sorted((f, os.stat(f"{january}/{f}").st_mtime_ns) for f in os.listdir(january))
+    every = [*first, message("V2", 62)]
+    got = incremental.run_incremental(spark, folder, of(every), cycles, vm, codes, p(63))
+    assert sorted((f, os.stat(f"{january}/{f}").st_mtime_ns) for f in os.listdir(january)) == before
+    want = vehicle_fault_master(events_exploded(of(every), vm, p(63)), cycles, vm, codes, p(63))
+    assert rows(got, *FAULT_COLUMNS) == rows(want, *FAULT_COLUMNS)
+    assert spark.read.parquet(f"{folder}/cdc_checkpoint").count() == 2
