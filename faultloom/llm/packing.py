@@ -11,7 +11,6 @@ window is cut into powers of two, so no sequence needs padding.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultloom.llm.common import bytes_of, filled, stored, text_or_empty
+from faultloom.llm.common import SPACES, bytes_of, filled, stored, text_or_empty
 
 #: Tokens of a window, and the id that ends each document.
 WINDOW, END_ID = 4096, 2
@@ -33,8 +32,13 @@ K1, B = 1.2, 0.75
 #: Bytes of text tokenized at a time, and words a worker remembers.
 BYTES_AT_ONCE, REMEMBERED = 2 << 20, 900_000
 
-# a run of ASCII marks at a word's end is a token run of its own after an ASCII letter
-_TRAILING = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?=[\x09-\x0d\x20]|$)")
+def _of(chars: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(chars)] = True
+    return table
+
+
+_MARK, _SPACE, _LETTER = _of(b".,;:!?"), _of(SPACES), _of(bytes(range(97, 123)))
 
 
 class WordTokenizer:
@@ -75,23 +79,46 @@ class WordTokenizer:
             found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
             self.words.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(other, found, strict=True))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as little-endian integers of ``dtype``."""
-        split: list[list[bytes] | None] = []
+    def encode(self, raw: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        """The ids of each text raw[offs[i]:offs[i + 1]], as little-endian integers of ``dtype``."""
+        data = raw[offs[0]: offs[-1]].tobytes()
+        low, at = _separated(data.lower(), offs - offs[0])
+        split: list[list[bytes]] = [low[s:e].split() for s, e in zip(at[:-1], at[1:], strict=True)]
         new: set[bytes] = set()
-        for t in texts:
-            # a special token's name counts as that token only in its own case
-            words = None if b"<|" in t else _TRAILING.sub(rb" \1", t.lower()).split()
-            split.append(words)
-            if words:
-                new.update(words)
-        new = {w for w in new if w not in self.words}
+        for words in split:
+            new.update(words)
+        new = new.difference(self.words)
         if len(self.words) + len(new) > REMEMBERED:
             self.words.clear()
-            new = {w for words in split if words for w in words}
-        self._learn(sorted(new))
+            new = {w for words in split for w in words}
+        self._learn(list(new))
         get = self.words.__getitem__
-        return [self._ids(t.decode()) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+        out = [b"".join(map(get, words)) for words in split]
+        if b"<|" in data:
+            # a special token's name counts as that token only in its own case
+            for i, (s, e) in enumerate(zip((offs[:-1] - offs[0]).tolist(), (offs[1:] - offs[0]).tolist(), strict=True)):
+                if b"<|" in data[s:e]:
+                    out[i] = self._ids(data[s:e].decode())
+        return out
+
+
+def _separated(low: bytes, offs: np.ndarray) -> tuple[bytes, list[int]]:
+    """A space between an ASCII letter and a single mark that ends a word, and the new offsets.
+
+    The mark is a unit of its own there, and the words before it need
+    remembering only once.
+    """
+    x = np.frombuffer(low, np.uint8)
+    if len(x) < 2:
+        return low, offs.tolist()
+    last = np.zeros(len(x), bool)
+    last[:-1] = _SPACE[x[1:]]
+    last[offs[1:][np.diff(offs) > 0] - 1] = True
+    last &= _MARK[x]
+    last[1:] &= _LETTER[x[:-1]]
+    last[0] = False
+    cuts = np.flatnonzero(last)
+    return np.insert(x, cuts, 32).tobytes(), (offs + np.searchsorted(cuts, offs)).tolist()
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -120,11 +147,10 @@ def _tokenize(path: str, end_id: int, fields: list[str]):
         end = np.array([end_id], tok.dtype).tobytes()
         for b in batches:
             raw, offs = bytes_of(filled(b.column(0)))
-            view = raw.tobytes()
             at = 0
             while at < b.num_rows:
                 to = max(at + 1, int(np.searchsorted(offs, offs[at] + BYTES_AT_ONCE, "right")) - 1)
-                ids = [x + end for x in tok.encode([view[s:e] for s, e in zip(offs[at:to].tolist(), offs[at + 1: to + 1].tolist(), strict=True)])]
+                ids = [x + end for x in tok.encode(raw, offs[at: to + 1])]
                 marks = [_hashes(np.frombuffer(x, tok.dtype)) for x in ids]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, pa.binary()), pa.array([len(x) // tok.dtype.itemsize for x in ids], pa.int64()),
