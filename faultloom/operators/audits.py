@@ -31,9 +31,11 @@ def audit_readonly(log: DataFrame, col: str = "query") -> DataFrame:
 
 def referenced_tables(col: str = "query") -> Column:
     """Names after FROM and JOIN: unquoted, without database, lower case."""
-    raw = F.regexp_extract_all(_text(col), F.lit(r"(?i)\b(?:FROM|JOIN)\s+([^\s,;()]+)"), F.lit(1))
-    bare = F.transform(raw, lambda t: F.regexp_replace(t, r'^[`"]+|[`"]+$', ""))
-    return F.filter(F.transform(bare, lambda t: F.lower(F.substring_index(t, ".", -1))), lambda t: t != "")
+    # what stands behind each keyword, up to the next blank, comma, bracket or semicolon
+    behind = F.slice(F.split(F.lower(_text(col)), r"\b(?:from|join)(?=\s)"), 2, 1 << 30)
+    names = F.transform(behind, lambda t: F.element_at(F.split(F.ltrim(F.translate(t, "\n\t\r", "   ")), "[ ,;()]", 2), 1))
+    bare = F.transform(names, lambda t: F.trim(F.substring_index(t, ".", -1), F.lit('`"')))
+    return F.filter(bare, lambda t: t != "")
 
 
 def audit_tables(log: DataFrame, col: str = "query", allowed: Sequence[str] = ALLOWED_TABLES) -> DataFrame:
@@ -64,7 +66,10 @@ def audit_shape(log: DataFrame, col: str = "query", fact_table: str = "vehicle_f
     grouped = low.contains("group by")
     raw = low.contains(fact_table) & ~grouped & ~low.contains("limit")
     has_agg = low.rlike("(" + "|".join(AGGREGATES) + r")\(")
-    items = F.split(F.regexp_extract(low, r"(?s)\bselect\b(.*?)\bfrom\b", 1), ",")
+    # the columns stand between the first "select" and the first "from" after it
+    after = F.element_at(F.split(low, r"\bselect\b", 2), -1)
+    listed = F.split(after, r"\bfrom\b", 2)
+    items = F.when(F.size(listed) > 1, F.split(listed[0], ",")).otherwise(F.array().cast("array<string>"))
     plain = F.exists(items, lambda p: (F.trim(p) != "") & ~p.rlike(r"\b(" + "|".join(AGGREGATES) + r")\s*\("))
     return log.withColumns({
         "raw_fact_scan": raw.cast("int"), "select_star": low.contains("select *").cast("int"),
@@ -72,10 +77,17 @@ def audit_shape(log: DataFrame, col: str = "query", fact_table: str = "vehicle_f
 
 
 def audit_result(events: DataFrame) -> DataFrame:
-    """Failed and empty executions per tool."""
+    """Failed and empty executions per tool. With a column ``first_row`` (a map)
+    also those whose first row has no value."""
+    blank = F.lit(False)
+    if "first_row" in events.columns:
+        filled = F.exists(F.map_values("first_row"), lambda v: F.trim(F.coalesce(v, F.lit(""))) != "")
+        blank = F.col("first_row").isNotNull() & ~F.coalesce(filled, F.lit(False))
+    done = F.col("success") == 1
     return events.groupBy("tool").agg(
         F.count("*").alias("executions"), count_where(F.col("success") == 0).alias("failed"),
-        count_where((F.col("success") == 1) & (F.col("row_count") == 0)).alias("empty"))
+        count_where(done & (F.col("row_count") == 0)).alias("empty"),
+        count_where(done & (F.col("row_count") > 0) & blank).alias("blank_first_row"))
 
 
 def relevant_tables(

@@ -92,10 +92,16 @@ def day(c: str = "event_date", out: str | None = None) -> str:
 
 
 # ---------------------------------------------------------------- A. sources
-reg("a1_read_dtc_history", lambda s, d: readers.within(dtc_history(s, d), "ts", PARAMS.days_ago_ts(DAYS), AS_OF),
+def _kept(s: SparkSession, df: DataFrame) -> str:
+    path = f"{run_folder(s)}/source"
+    df.write.parquet(path)
+    return path
+
+
+reg("a1_read_dtc_history", lambda s, d: readers.read_dtc_history(s, _kept(s, dtc_history(s, d)), PARAMS.days_ago_ts(DAYS), AS_OF),
     f"""SELECT uniqueid, ts, array_to_string(codes, ',') AS dtc_code, round(lat, 4) AS lat, round(lng, 4) AS lng, pgn AS dtc_pgn
     FROM history WHERE ts > {AS_OF - DAYS * 86400} AND ts <= {AS_OF}""")
-reg("a2_read_engine_cycles", lambda s, d: readers.engine_cycle_seconds(engine_cycles(s, d)), "SELECT uniqueid, cycle_ts FROM cyc")
+reg("a2_read_engine_cycles", lambda s, d: readers.read_engine_cycles(s, _kept(s, engine_cycles(s, d))), "SELECT uniqueid, cycle_ts FROM cyc")
 reg("a3_read_vehicle_profile", lambda s, d: warehouse(s, d).profile, "SELECT *, 0::DOUBLE AS tank_capacity FROM profile")
 reg("a4_build_vehicle_master", lambda s, d: warehouse(s, d).vm, "SELECT *, 0::DOUBLE AS tank_capacity FROM vm")
 _DM_EMPTY = ", ".join(f"'' AS {c}" for c in (
@@ -109,7 +115,7 @@ reg("a6_read_eval_questions", lambda s, d: readers.first_per_dataset(tb.eval_que
     """SELECT id, dataset FROM (SELECT rid AS id, dataset, row_number() OVER (PARTITION BY dataset ORDER BY c, t) AS rn FROM q0)
     WHERE rn <= 7""")
 reg("a7_filter_questions", lambda s, d: readers.filter_questions(
-        tb.eval_questions(s, d), ["R1-1", " R2-0 "], readers.failed_ids(tb.eval_results(s, d))).select("id", "dataset"),
+        tb.eval_questions(s, d), ["R1-1", " R2-0 "], readers.failed_ids(_report(s, d))).select("id", "dataset"),
     "SELECT rid AS id, dataset FROM q0 WHERE len(reasons) > 0 OR rid IN ('R1-1', 'R2-0')")
 reg("a8_read_trace_runs", lambda s, d: readers.read_trace_runs(tb.trace_runs(s, d)).select(
         "request_id", "ts", "query", "text", "intent", F.size("trace_log").alias("nodes")),
@@ -179,10 +185,10 @@ def _report(s: SparkSession, d: str) -> DataFrame:
     writers.write_eval_report(evaluation.eval_summary(scored), scored, folder, {"model_name": "m1"})
     return writers.read_eval_report(s, folder, T.StructType([
         T.StructField("id", T.StringType()), T.StructField("tool_f1", T.DoubleType()),
-        T.StructField("keyword_hits", T.DoubleType())]))
+        T.StructField("keyword_hits", T.DoubleType()), T.StructField("failure_reasons", T.ArrayType(T.StringType()))]))
 
 
-reg("a15_write_eval_report", _report, "SELECT id, tool_f1, keyword_hits FROM scored")
+reg("a15_write_eval_report", lambda s, d: _report(s, d).drop("failure_reasons"), "SELECT id, tool_f1, keyword_hits FROM scored")
 _OPTIONS = ("intent", "root_cause", "env_name", "release_version")
 reg("a16_distinct_filter_options", lambda s, d: quality.distinct_filter_options(
         tb.stored(s, d, "trace_requests"), _OPTIONS).unionByName(quality.distinct_filter_options(
@@ -327,6 +333,18 @@ def _streamed(build: Callable[[DataFrame], DataFrame], update: bool = False) ->
 
 
 reg("b9_stream_events_exploded", _streamed(lambda e: e), f"SELECT {_EXPLODED} FROM exploded")
+
+
+def _deduped(s: SparkSession, d: str) -> DataFrame:
+    """Every message delivered twice; the second delivery is dropped."""
+    w, folder = warehouse(s, d), run_folder(s)
+    twice = _event_stream(s, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    live = streams.stream_events_exploded(twice, w.vm, PARAMS, dedupe_within="1 hour").select("uniqueid", "dtc_code", "ts")
+    streams.append_to(live, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{folder}/out")
+
+
+reg("b9_stream_events_deduplicated", _deduped, "SELECT DISTINCT uniqueid, dtc_code, ts FROM exploded")
 reg("b10_stream_episodes", _streamed(lambda e: streams.stream_episodes(e, GAP, "2 hours")),
     f"""SELECT uniqueid, dtc_code, first_ts, last_ts, occurrences, last_ts - first_ts AS persistence_sec FROM bepi
     WHERE last_ts + {GAP} <= (SELECT max(ts) - 7200 FROM exploded)""")
@@ -970,11 +988,30 @@ def _log(s: SparkSession, d: str) -> DataFrame:
 
 
 _LOG = "rid AS request_id, q AS pos"
-_QN = "((c + q) % 6)"
-reg("l1_audit_readonly", lambda s, d: audits.audit_readonly(_log(s, d)).select("request_id", "pos", "readonly_finding").fillna(""),
-    f"SELECT {_LOG}, CASE WHEN {_QN} IN (3, 5) THEN 'not_a_select' ELSE '' END AS readonly_finding FROM tsql")
-reg("l2_audit_tables", lambda s, d: audits.audit_tables(_log(s, d)).select("request_id", "pos", "disallowed_tables"),
-    f"SELECT {_LOG}, CASE WHEN {_QN} = 4 THEN 'other_table' ELSE '' END AS disallowed_tables FROM tsql")
+# query texts made from the columns of ``orders``; this part is valid in both dialects
+_NAME = """CASE {} % 6 WHEN 0 THEN 'vehicle_fault_master' WHEN 1 THEN 'fleet_health_summary' WHEN 2 THEN 'dtc_master'
+    WHEN 3 THEN 'other_table' WHEN 4 THEN 'users' ELSE 'maintenance_priority' END""".format
+_QUOTED = """CASE o_orderkey % 5 WHEN 0 THEN '`' || {0} || '`' WHEN 1 THEN 'db.' || {0} WHEN 2 THEN upper({0}) WHEN 3 THEN '"db"."' || {0} || '"' ELSE {0} END""".format
+_COLS = """CASE o_orderkey % 7 WHEN 0 THEN '*' WHEN 1 THEN 'count(*)' WHEN 2 THEN 'system, count(*) AS n' WHEN 3 THEN 'uniqueid, dtc_code'
+    WHEN 4 THEN 'SUM (x), max(y)' WHEN 5 THEN 'lower(system), topk(3)(dtc_code)' ELSE 'DISTINCT customer_name' END"""
+_QUERY = f"""CASE o_custkey % 13 WHEN 0 THEN 'DROP TABLE ' WHEN 1 THEN '  (select ' WHEN 2 THEN 'with t as (select 1) SELECT ' WHEN 3 THEN 'EXPLAIN SELECT '
+    WHEN 4 THEN 'Select /* no delete here */ ' ELSE 'SELECT ' END || {_COLS} || CASE o_orderkey % 3 WHEN 0 THEN ' from ' ELSE ' FROM ' END || {_QUOTED(_NAME('o_custkey'))}
+    || CASE WHEN o_orderkey % 2 = 0 THEN ' a LEFT JOIN ' || {_QUOTED(_NAME('o_orderkey'))} || ' b ON a.x = b.x' ELSE '' END
+    || ' WHERE status = ' || o_orderstatus || CASE o_custkey % 4 WHEN 0 THEN ' GROUP BY system' WHEN 1 THEN ' LIMIT 9' ELSE '' END"""
+
+
+def _queries(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_QUERY).alias("query"))
+
+
+_TEXTS = f"(SELECT o_orderkey AS id, {_QUERY} AS query, lower({_QUERY}) AS low FROM orders)"
+_AGGS = "|".join(audits.AGGREGATES)
+reg("l1_audit_readonly", lambda s, d: audits.audit_readonly(_queries(s, d)).select("id", "readonly_finding").fillna(""),
+    f"""SELECT id, CASE WHEN NOT regexp_matches(ltrim(low), '^[(]*(select|with)') THEN 'not_a_select'
+    WHEN len(list_intersect(regexp_split_to_array(low, '[^a-z0-9_]+'), {lst([w.lower() for w in audits.FORBIDDEN])})) > 0 THEN 'forbidden_keyword' ELSE '' END AS readonly_finding FROM {_TEXTS}""")
+reg("l2_audit_tables", lambda s, d: audits.audit_tables(_queries(s, d)).select("id", F.array_join(F.array_sort("disallowed_tables"), ",").alias("disallowed_tables")),
+    f"""SELECT id, coalesce(list_aggregate(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(low, '(from|join) +([^ ]+)', 2),
+    lambda n: replace(replace(list_last(string_split(n, '.')), '`', ''), '"', '')), lambda n: NOT list_contains({lst(audits.ALLOWED_TABLES)}, n)))), 'string_agg', ','), '') AS disallowed_tables FROM {_TEXTS}""")
 
 
 def _scoped_log(s: SparkSession, d: str) -> DataFrame:
@@ -987,10 +1024,15 @@ reg("l3_audit_scope", lambda s, d: audits.audit_scope(_scoped_log(s, d)).select(
     f"""SELECT {_LOG}, CASE WHEN customer_name <> '' AND lower(sql_text) NOT LIKE '%customer_name%' THEN 'customer_filter_missing'
     WHEN customer_name <> '' AND NOT contains(lower(sql_text), '''' || customer_name || '''') THEN 'customer_mismatch'
     WHEN q = 2 THEN 'vehicle_scope_missing' WHEN q = 1 THEN 'dtc_scope_missing' ELSE '' END AS scope_finding FROM tsql""")
-reg("l4_audit_shape", lambda s, d: audits.audit_shape(_log(s, d)).select("request_id", "pos", "raw_fact_scan", "select_star", "ungrouped_columns"),
-    f"SELECT {_LOG}, ({_QN} = 0)::INT AS raw_fact_scan, ({_QN} = 1)::INT AS select_star, ({_QN} = 0)::INT AS ungrouped_columns FROM tsql")
-reg("l5_audit_result", lambda s, d: audits.audit_result(_log(s, d)),
-    "SELECT tool, count(*) AS executions, count(*) FILTER (success = 0) AS failed, count(*) FILTER (success = 1 AND row_count = 0) AS empty FROM tsql GROUP BY tool")
+reg("l4_audit_shape", lambda s, d: audits.audit_shape(_queries(s, d)).select("id", "raw_fact_scan", "select_star", "ungrouped_columns"),
+    f"""SELECT id, (contains(low, 'vehicle_fault_master') AND NOT grouped AND NOT contains(low, 'limit'))::INT AS raw_fact_scan, contains(low, 'select *')::INT AS select_star,
+    (NOT grouped AND regexp_matches(low, '({_AGGS})[(]') AND len(list_filter(string_split(cols, ','), lambda c: trim(c) <> '' AND NOT regexp_matches(c, '(^|[^a-z0-9_])({_AGGS}) *[(]'))) > 0)::INT AS ungrouped_columns
+    FROM (SELECT *, contains(low, 'group by') AS grouped, CASE WHEN contains(low, 'select') THEN substr(split_part(low, ' from ', 1), strpos(low, 'select') + 6)
+          ELSE split_part(low, ' from ', 1) END AS cols FROM {_TEXTS})""")
+reg("l5_audit_result", lambda s, d: audits.audit_result(_log(s, d).withColumn("first_row", F.create_map(
+        F.lit("note"), F.when(F.col("pos") % 2 == 0, " "), F.lit("n"), F.when(F.col("row_count") > 2, F.col("row_count").cast("string"))))),
+    """SELECT tool, count(*) AS executions, count(*) FILTER (success = 0) AS failed, count(*) FILTER (success = 1 AND row_count = 0) AS empty,
+    count(*) FILTER (success = 1 AND row_count BETWEEN 1 AND 2) AS blank_first_row FROM tsql GROUP BY tool""")
 
 
 def _catalogue_sql(k: int) -> str:
