@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,13 @@ def _of(chars: bytes) -> np.ndarray:
 _MARK, _SPACE, _LETTER = _of(b".,;:!?"), _of(SPACES), _of(bytes(range(97, 123)))
 
 
+#: ASCII marks but the apostrophe, which can begin a unit together with letters.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: The byte-level alphabet: visible Latin-1 characters name their own byte, the other bytes follow from U+0100 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_NAMES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space and lower-cases.
 
@@ -55,45 +63,55 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.last = np.zeros(self.size, bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.token = [np.array(i, self.dtype).tobytes() for i in range(self.size)]
         self.words: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, new: list[bytes]) -> None:
-        plain, other = [], []
+    def _unit(self, text: str) -> bytes:
+        """The ids of one run of letters or of marks, straight from the merges."""
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(_BYTE_NAMES)
+        token = self.token
+        return b"".join([token[t.id] for t in self.tokenizer.model.tokenize(text)])
+
+    def _learn(self, new: set[bytes]) -> None:
+        words, other = self.words, []
         for w in new:
             s = w.decode()
-            # letters only are one unit, whose last token is marked; this one letter gets a mark when lower-cased
-            (plain if s.isalpha() and "İ" not in s else other).append(w)
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, self.dtype)
-            ends = (np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize
-            data, at = ids.tobytes(), 0
-            for w, e in zip(plain, ends.tolist(), strict=True):
-                self.words[w] = data[at:e]
-                at = e
+            core = s.strip(_MARKS)
+            if not core:
+                words[w] = self._unit(s)
+            elif core.isalpha() and (core.isascii() or (max(core) < "\u0500" and is_normalized("NFC", core) and core.lower() == core)):
+                # letters that the normaliser leaves as they are, between marks: each run is a unit
+                if len(core) == len(s):
+                    words[w] = self._unit(s)
+                else:
+                    at = s.index(core)
+                    words[w] = b"".join(self._unit(x) for x in (s[:at], core, s[at + len(core):]) if x)
+            else:
+                other.append(w)
         if other:
             found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(other, found, strict=True))
+            words.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(other, found, strict=True))
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> list[bytes]:
         """The ids of each text raw[offs[i]:offs[i + 1]], as little-endian integers of ``dtype``."""
         data = raw[offs[0]: offs[-1]].tobytes()
         low, at = _separated(data.lower(), offs - offs[0])
-        split: list[list[bytes]] = [low[s:e].split() for s, e in zip(at[:-1], at[1:], strict=True)]
-        new: set[bytes] = set()
-        for words in split:
-            new.update(words)
-        new = new.difference(self.words)
+        split = [low[s:e].split() for s, e in zip(at[:-1], at[1:], strict=True)]
+        get = self.words.get
+        found = [list(map(get, words)) for words in split]
+        missing = [[i for i, x in enumerate(ids) if x is None] if None in ids else [] for ids in found]
+        new = {words[i] for words, gaps in zip(split, missing, strict=True) for i in gaps}
         if len(self.words) + len(new) > REMEMBERED:
             self.words.clear()
-            new = {w for words in split for w in words}
-        self._learn(list(new))
-        get = self.words.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
+        self._learn(new)
+        for words, ids, gaps in zip(split, found, missing, strict=True):
+            for i in gaps:
+                ids[i] = get(words[i])
+        out = [b"".join(ids) for ids in found]
         if b"<|" in data:
             # a special token's name counts as that token only in its own case
             for i, (s, e) in enumerate(zip((offs[:-1] - offs[0]).tolist(), (offs[1:] - offs[0]).tolist(), strict=True)):
