@@ -752,12 +752,22 @@ reg("g9_mask_text", _masked, """SELECT episode_id, 'Fault ' || dtc_code || ' on
                FROM (SELECT DISTINCT customer_name FROM vhs WHERE customer_name <> '')) c ON c.n = customer_name""")
 
 # ---------------------------------------------------------------- H. trace tables
-reg("h1_trace_requests", lambda s, d: tb.stored(s, d, "trace_requests").drop("evaluation_json", "version_json", "prompt_versions_json", "failure_reasons_json"),
+def _json_fields(df: DataFrame) -> DataFrame:
+    """The JSON columns read back: text of doubles differs between engines."""
+    part = lambda c, f: F.get_json_object(c, f"$.{f}")
+    return df.withColumns({
+        "json_score": part("evaluation_json", "final_score").cast("double"), "json_cause": part("evaluation_json", "root_cause"),
+        "json_release": part("version_json", "release_version"), "json_env": part("version_json", "env_name"), "json_commit": part("version_json", "git_commit"),
+    }).drop("evaluation_json", "version_json", "prompt_versions_json", "failure_reasons_json")
+
+
+reg("h1_trace_requests", lambda s, d: _json_fields(tb.stored(s, d, "trace_requests")),
     """SELECT r.rid AS request_id, ts, query, intent, customer_name, 'vehicle' AS mode, x AS response_text, round(final_score, 4) AS final_score,
     round(correctness, 4) AS correctness, round(completeness, 4) AS completeness, round(relevance, 4) AS relevance, round(groundedness, 4) AS groundedness,
     root_cause, judge_mode, t % 3 + 1 AS tools_called_count, t % 8 + 1 AS nodes_executed_count, len(reasons) AS failure_count, len AS tokens_prompt,
     len // 2 AS tokens_completion, release_version, 's1' AS service_version, 'm1' AS model_name, env_name, n AS planner_events_count,
-    ok AS planner_success_count, n - ok AS planner_error_count, fixes AS planner_fix_attempts_sum FROM tfinal r JOIN
+    ok AS planner_success_count, n - ok AS planner_error_count, fixes AS planner_fix_attempts_sum, round(final_score, 4) AS json_score,
+    root_cause AS json_cause, release_version AS json_release, env_name AS json_env, 'g' AS json_commit FROM tfinal r JOIN
     (SELECT rid, count(*) AS n, count(*) FILTER (success = 1) AS ok, sum(coalesce(fix, 0))::BIGINT AS fixes FROM tplan GROUP BY rid) USING (rid)""")
 reg("h1_trace_requests_json", lambda s, d: tb.stored(s, d, "trace_requests").select("request_id", "failure_reasons_json", "prompt_versions_json"),
     f"""SELECT r.rid AS request_id, CASE WHEN len(reasons) = 0 THEN '[]' ELSE '["' || reasons[1] || '"]' END AS failure_reasons_json,
@@ -934,6 +944,24 @@ reg("j7_eval_summary", lambda s, d: evaluation.eval_summary(_scored(s, d)), f"SE
 reg("j8_eval_by_dataset", lambda s, d: evaluation.eval_by_dataset(_scored(s, d)),
     f"SELECT coalesce(dataset, 'all') AS dataset, {_EVAL} GROUP BY ROLLUP (dataset)")
 
+
+
+def _judged(s: SparkSession, d: str) -> DataFrame:
+    """Every second result carries a judge's scores."""
+    n = F.length("id") + F.size("tools_called")
+    judge = F.struct((n % 5 / 4.0).alias("correctness"), (n % 3 / 2.0).alias("relevance"), (n % 9 / 8.0).alias("completeness"), (n % 7 / 6.0).alias("hallucination_risk"))
+    return evaluation.score_questions(tb.eval_questions(s, d), tb.eval_results(s, d).withColumn("judge", F.when(n % 2 == 0, judge)))
+
+
+_JUDGED = """(SELECT *, n % 2 = 0 AS judged FROM (SELECT s.*, length(s.id) + t % 3 + 1 AS n FROM scored s JOIN tr ON rid = s.id))"""
+_BY = "round(CASE WHEN judged THEN (n % {})::DOUBLE / {} ELSE {} END, 3)".format
+reg("j6_judged_scores", lambda s, d: _judged(s, d).select("id", "judge_mode", "correctness", "relevance", "completeness", "hallucination_risk"),
+    f"""SELECT id, CASE WHEN judged THEN 'llm' ELSE 'heuristic' END AS judge_mode, {_BY(5, 4, 'correctness')} AS correctness, {_BY(3, 2, 'relevance')} AS relevance,
+    {_BY(9, 8, 'completeness')} AS completeness, {_BY(7, 6, 'hallucination_risk')} AS hallucination_risk FROM {_JUDGED}""")
+reg("j7_eval_summary_judged", lambda s, d: evaluation.eval_summary(_judged(s, d)).select("questions_evaluated", "llm_judge_ratio", "avg_correctness", "avg_hallucination_risk"),
+    f"""SELECT count(*) AS questions_evaluated, round((count(*) FILTER (judged))::DOUBLE / count(*), 4) AS llm_judge_ratio,
+    round(avg({_BY(5, 4, 'correctness')}), 4) AS avg_correctness, round(avg({_BY(7, 6, 'hallucination_risk')}), 4) AS avg_hallucination_risk FROM {_JUDGED}""")
+
 # ---------------------------------------------------------------- K. conversations
 reg("k1_recent_messages", lambda s, d: conversations.recent_messages(tb.messages(s, d), 3).drop("ts"),
     "SELECT conversation_id, message_index, role, content FROM msg WHERE rn <= 3")
