@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 from unicodedata import is_normalized
 
 import numpy as np
@@ -39,14 +40,37 @@ def _of(chars: bytes) -> np.ndarray:
     return table
 
 
-_MARK, _SPACE, _LETTER = _of(b".,;:!?"), _of(SPACES), _of(bytes(range(97, 123)))
+_MARK, _SPACE, _LETTER = _of(bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)), _of(SPACES), _of(bytes(range(97, 123)))
 
 
 #: ASCII marks but the apostrophe, which can begin a unit together with letters.
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 #: The byte-level alphabet: visible Latin-1 characters name their own byte, the other bytes follow from U+0100 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTE_NAMES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_NAME_OF = np.arange(256, dtype="<u2")
+_NAME_OF[[b for b in range(256) if b not in _SHOWN]] = 256 + np.arange(256 - len(_SHOWN))
+_NAME_OF[32] = 32  # blanks separate words here
+
+
+def _names(data: bytes) -> str:
+    """The byte-level names of some bytes."""
+    return _NAME_OF[np.frombuffer(data, np.uint8)].tobytes().decode("utf-16-le")
+
+
+def _steady(letters: str) -> bool:
+    """The normaliser leaves these letters as they are."""
+    return letters.isascii() or (max(letters) < "\u0500" and is_normalized("NFC", letters) and letters.lower() == letters)
+
+
+def _gaps(ids: list) -> list[int]:
+    """The places of None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = ids.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
 
 
 class WordTokenizer:
@@ -72,45 +96,54 @@ class WordTokenizer:
     def _unit(self, text: str) -> bytes:
         """The ids of one run of letters or of marks, straight from the merges."""
         if not text.isascii():
-            text = text.encode().decode("latin-1").translate(_BYTE_NAMES)
+            text = _names(text.encode())
         token = self.token
         return b"".join([token[t.id] for t in self.tokenizer.model.tokenize(text)])
 
     def _learn(self, new: set[bytes]) -> None:
-        words, other = self.words, []
-        for w in new:
-            s = w.decode()
+        """Remembers the ids of new words; all that are letters only go through the merges together."""
+        keys = list(new)
+        texts = b" ".join(keys).decode().split(" ") if keys else []
+        plain = list(map(str.isalpha, texts))
+        if not _steady(" ".join(compress(texts, plain))):
+            plain = [p and _steady(s) for p, s in zip(plain, texts, strict=True)]
+        units = list(compress(keys, plain))
+        if units:
+            names = _names(b" ".join(units)).split(" ")
+            tokens = list(map(self.tokenizer.model.tokenize, names))
+            ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+            data = np.fromiter((t.id for x in tokens for t in x), self.dtype, int(ends[-1])).tobytes()
+            ends = (ends * self.dtype.itemsize).tolist()
+            self.words.update((w, data[s:e]) for w, s, e in zip(units, [0, *ends[:-1]], ends, strict=True))
+        other = []
+        for w, s, p in zip(keys, texts, plain, strict=True):
+            if p:
+                continue
             core = s.strip(_MARKS)
-            if not core:
-                words[w] = self._unit(s)
-            elif core.isalpha() and (core.isascii() or (max(core) < "\u0500" and is_normalized("NFC", core) and core.lower() == core)):
-                # letters that the normaliser leaves as they are, between marks: each run is a unit
-                if len(core) == len(s):
-                    words[w] = self._unit(s)
-                else:
-                    at = s.index(core)
-                    words[w] = b"".join(self._unit(x) for x in (s[:at], core, s[at + len(core):]) if x)
-            else:
-                other.append(w)
+            if core and not (core.isalpha() and _steady(core)):
+                other.append((w, s))
+                continue
+            # marks, or letters between marks: each run is a unit
+            at = s.index(core) if core else len(s)
+            self.words[w] = b"".join(self._unit(x) for x in (s[:at], core, s[at + len(core):]) if x)
         if other:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-            words.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(other, found, strict=True))
+            found = self.tokenizer.encode_batch_fast([s for _, s in other], add_special_tokens=False)
+            self.words.update((w, np.array(e.ids, self.dtype).tobytes()) for (w, _), e in zip(other, found, strict=True))
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> list[bytes]:
         """The ids of each text raw[offs[i]:offs[i + 1]], as little-endian integers of ``dtype``."""
         data = raw[offs[0]: offs[-1]].tobytes()
-        low, at = _separated(data.lower(), offs - offs[0])
+        low, at = _separated(_lowered(data, offs - offs[0]), offs - offs[0])
         split = [low[s:e].split() for s, e in zip(at[:-1], at[1:], strict=True)]
-        get = self.words.get
-        found = [list(map(get, words)) for words in split]
-        missing = [[i for i, x in enumerate(ids) if x is None] if None in ids else [] for ids in found]
-        new = {words[i] for words, gaps in zip(split, missing, strict=True) for i in gaps}
+        found = [list(map(self.words.get, words)) for words in split]
+        gaps = [_gaps(ids) for ids in found]
+        new = {words[i] for words, at in zip(split, gaps, strict=True) for i in at}
         if len(self.words) + len(new) > REMEMBERED:
             self.words.clear()
         self._learn(new)
-        for words, ids, gaps in zip(split, found, missing, strict=True):
-            for i in gaps:
-                ids[i] = get(words[i])
+        for words, ids, at in zip(split, found, gaps, strict=True):
+            for i in at:
+                ids[i] = self.words[words[i]]
         out = [b"".join(ids) for ids in found]
         if b"<|" in data:
             # a special token's name counts as that token only in its own case
@@ -120,22 +153,52 @@ class WordTokenizer:
         return out
 
 
+def _lowered(data: bytes, offs: np.ndarray) -> bytes:
+    """Lower case where it is sure to keep a text's length and to agree with the normaliser, else A-Z only.
+
+    That is in texts without a character from U+0180 on, or U+0130.
+    """
+    x = np.frombuffer(data, np.uint8)
+    full = np.flatnonzero(np.diff(offs) > 0)
+    largest = np.maximum.reduceat(x, offs[full]) if len(full) else x
+    out, at = [], 0
+    for i in full[(largest > 127) & (largest < 0xC6)].tolist():
+        s, e = int(offs[i]), int(offs[i + 1])
+        if b"\xc4\xb0" not in data[s:e]:
+            out += [data[at:s].lower(), data[s:e].decode().lower().encode()]
+            at = e
+    return b"".join([*out, data[at:].lower()])
+
+
 def _separated(low: bytes, offs: np.ndarray) -> tuple[bytes, list[int]]:
-    """A space between an ASCII letter and a single mark that ends a word, and the new offsets.
+    """A space between a letter and up to four marks that end a word, and the new offsets.
 
-    The mark is a unit of its own there, and the words before it need
+    The marks are a unit of their own there, and the word before them needs
     remembering only once.
     """
     x = np.frombuffer(low, np.uint8)
     if len(x) < 2:
         return low, offs.tolist()
-    last = np.zeros(len(x), bool)
-    last[:-1] = _SPACE[x[1:]]
-    last[offs[1:][np.diff(offs) > 0] - 1] = True
-    last &= _MARK[x]
-    last[1:] &= _LETTER[x[:-1]]
-    last[0] = False
-    cuts = np.flatnonzero(last)
+    mark = _MARK[x]
+    stop = np.zeros(len(x), bool)
+    stop[:-1] = _SPACE[x[1:]]
+    stop[offs[1:][np.diff(offs) > 0] - 1] = True
+    ends = run = mark & stop
+    for _ in range(3):
+        before = np.zeros(len(x), bool)
+        before[:-1] = run[1:]
+        run = before & mark & ~stop
+        ends = ends | run
+    letter = _LETTER[x]
+    # the letters from U+00C0 to U+017F, by their two bytes; U+0130 ends in a mark when lower-cased
+    second = np.zeros(len(x), bool)
+    first, then = x[:-1], x[1:]
+    no_letter = ((first == 0xC3) & ((then == 0x97) | (then == 0xB7))) | ((first == 0xC4) & (then == 0xB0))
+    second[1:] = (first >= 0xC3) & (first < 0xC6) & ~no_letter
+    letter |= second
+    ends[1:] &= letter[:-1]
+    ends[0] = False
+    cuts = np.flatnonzero(ends)
     return np.insert(x, cuts, 32).tobytes(), (offs + np.searchsorted(cuts, offs)).tolist()
 
 

@@ -31,6 +31,7 @@ def test_word_tokenizer_equals_library(library):
     texts += ["<|endoftext|>", "a<|startoftext|>B, c.", "<|EndOfText|>", "it's, l'été. end?! (x).", "a.", ".", "b,", ",c d! e?? f;"]
     # every character of the first blocks between letters and marks, and words of letters only
     texts += [f"ab{chr(c)}c {chr(c)} ({chr(c)}x, x{chr(c)}) x{chr(c)}\u0301" for c in range(1, 0x600)]
+    texts += [f"ÀB{chr(c)}&&&  {chr(c)}.!! x{chr(c)}%%%%% {chr(c)}×, É{chr(c)}÷. ŒUF{chr(c)}" for c in range(1, 0x600)]
     texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüßñçèœ") for _ in range(rng.randrange(1, 15))) for _ in range(3000)]
     tok = packing.WordTokenizer(PATH)
     for at in range(0, len(texts), 500):
