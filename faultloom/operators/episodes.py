@@ -204,9 +204,11 @@ def episode_counts(episodes: DataFrame) -> DataFrame:
 
 def resolved_episodes(events: DataFrame, cycles: DataFrame, params: Params) -> DataFrame:
     """Episodes with resolution, distance to the previous one and recurrence count."""
-    episodes = gap_from_previous_episode(episode_agg(event_seconds(events), cycles, params))
-    counted = episodes.groupBy("uniqueid", "dtc_code").agg(F.count("*").alias("ep_count"))
-    return resolution(episodes.join(counted, ["uniqueid", "dtc_code"]), cycles, params)
+    # as many as stand before and after: both numbers run along the sorted rows, and no group is held as a whole
+    by = Window.partitionBy("uniqueid", "dtc_code")
+    numbered = F.row_number().over(by.orderBy("first_ts")) + F.row_number().over(by.orderBy(F.desc("first_ts"))) - 1
+    episodes = gap_from_previous_episode(episode_agg(event_seconds(events), cycles, params)).withColumn("ep_count", numbered.cast("long"))
+    return resolution(episodes, cycles, params)
 
 
 def engine_cycles_during(episodes: DataFrame, cycles: DataFrame, params: Params) -> DataFrame:
