@@ -51,17 +51,38 @@ _HINTS = (b"passw", b"secret", b"token", b"api")
 _CONTEXT_HINTS = (b"passphrase", b"key", b"bearer", b"credential", b"signature", b"authorization")
 
 
+def _copies(string: bytes) -> re.Pattern[bytes]:
+    """The string, or what it gives a value: a part between equal signs that could be a candidate itself."""
+    parts = {string, *(p for p in string.split(b"=") if CANDIDATE.fullmatch(p))}
+    return re.compile(b"|".join(re.escape(p) for p in sorted(parts, key=lambda p: (-len(p), p))))
+
+
+def _without(text: bytes, lo: int, hi: int, low: int, high: int, copies: re.Pattern[bytes]) -> bytes:
+    """text[lo:hi] less the copies in text[low:high], also of those that reach over its ends."""
+    out, at = [], lo
+    for m in copies.finditer(text, low, high):
+        out.append(text[at: min(hi, max(at, m.start()))])
+        at = max(at, m.end())
+    return b"".join([*out, text[at:hi]])
+
+
 class Scanner:
     def __init__(self, novel: float = NOVEL):
         dictionary = zstandard.ZstdCompressionDict(" ".join(IDENTIFIERS).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor, self.novel = zstandard.ZstdCompressor(level=9, dict_data=dictionary), novel
 
     def novelty(self, text: bytes, start: int, end: int) -> float:
-        """Compressed bytes that text[start:end] adds to its surroundings, for each of its bytes."""
-        before, after = text[max(0, start - AROUND): start], text[end: end + AROUND]
+        """Compressed bytes that text[start:end] adds to its surroundings, for each of its bytes.
+
+        Other copies of the string there do not count, else a repeated secret would be known at each of its places.
+        """
+        string = text[start:end]
+        copies, n = _copies(string), end - start
+        before = _without(text, max(0, start - AROUND), start, max(0, start - AROUND - n + 1), start, copies)
+        after = _without(text, end, min(len(text), end + AROUND), end, end + AROUND + n - 1, copies)
         size = lambda x: len(self.compressor.compress(x))
         # in place, and last, where it can refer to all of the surroundings; the smaller one, as tables shift by some bytes
-        string, rest = text[start:end], before + after
+        rest = before + after
         return (min(size(before + string + after), size(rest + string)) - size(rest)) / (end - start)
 
     def spans(self, text: bytes) -> list[tuple[int, int, int, float]]:

@@ -60,3 +60,27 @@ def test_novelty_finds_random_strings_only():
         plain = " ".join(text) + " authorization in settings_module_2_settings_module_2  and zzzzzzzz00000000zzzzzzzz " + " ".join(text[::-1])
         assert not scanner.spans(plain.encode())
     assert found >= 190
+
+
+def test_repeated_strings_are_found_at_each_place():
+    rng = random.Random(5)
+    scanner = ss.Scanner()
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "the value of a connection is stored in the settings of this page and read again by many people".split()
+    places = once = 0
+    for i in range(300):
+        key = "".join(rng.choice(alphabet) for _ in range(16 + i % 49)) + "7a"
+        prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+        start, end = prose(30), prose(30)
+        text = f"{start} authorization bearer {key} {prose(10)} authorization bearer {key} {prose(10)} name={key} {end}"
+        spans = scanner.spans(text.encode())
+        places += sum(k == 3 and text[s:e] == key for s, k, e, _ in spans)
+        once += len(scanner.spans(f"{start} authorization bearer {key} {end}".encode()))
+    assert once >= 290 and places >= 2 * once - 10
+    # a copy that the edge of the surroundings cuts counts as little as a whole one
+    key = "".join(rng.choice(alphabet) for _ in range(60)) + "7a"
+    values = {scanner.novelty(text.encode(), len(text) - 62, len(text)) > ss.NOVEL for gap in range(430, 530) for text in [f"{key}{('so on ' * 90)[:gap]}{key}"]}
+    assert values == {True}
+    # the value alone repeats what a longer candidate holds
+    text = f"authorization bearer session={key} for all requests, or as the bearer {key} of one"
+    assert [text[s:e] for s, _, e, _ in scanner.spans(text.encode())] == [f"session={key}", key]
