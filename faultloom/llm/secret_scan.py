@@ -110,10 +110,7 @@ class Scanner:
                 done = e
                 while k < len(known) and known[k][0] < e:
                     taken, k = max(taken, known[k][2]), k + 1
-                string = c.group()
-                if s < taken or not (re.search(rb"[0-9]", string) and re.search(rb"[A-Za-z]", string)):
-                    continue
-                if (value := self.novelty(text, s, e)) >= self.novel:
+                if s >= taken and (value := self.novelty(text, s, e)) >= self.novel:
                     yield s, 3, e, value
 
 

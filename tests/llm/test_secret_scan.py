@@ -84,3 +84,21 @@ def test_repeated_strings_are_found_at_each_place():
     # the value alone repeats what a longer candidate holds
     text = f"authorization bearer session={key} for all requests, or as the bearer {key} of one"
     assert [text[s:e] for s, _, e, _ in scanner.spans(text.encode())] == [f"session={key}", key]
+
+
+def test_strings_of_one_kind_of_character_are_measured():
+    rng = random.Random(6)
+    scanner = ss.Scanner()
+    words = "the value of a connection is stored in the settings of this page and read again by many people".split()
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    for alphabet in (lower + lower.upper(), lower.upper(), lower, "0123456789"):
+        found = 0
+        for i in range(100):
+            key = "".join(rng.choice(alphabet) for _ in range(16 + i % 33))
+            text = " ".join(rng.choice(words) for _ in range(40)) + f" authorization bearer {key} " + " ".join(rng.choice(words) for _ in range(40))
+            # digits alone are a known form from 24 on
+            found += any(k in (2, 3) and text[s:e] == key for s, k, e, _ in scanner.spans(text.encode()))
+            # long runs without news stay out, letters or marks
+            plain = text.replace(key, "theconnectionisstoredinthesettings ---------------------------------------- connection_connection_connection")
+            assert not scanner.spans(plain.encode())
+        assert found >= (90 if alphabet == lower else 95), alphabet
