@@ -3,8 +3,8 @@
 Documents become token ids once. Corpus-wide token statistics (document
 frequencies over the tokenizer's vocabulary) feed BM25. Range partitioning on a
 MinHash of the tokens deals documents into shards, alike ones together and
-equal ones spread by their key. In a shard, an inverted index returns unused
-neighbours of a seed document; they fill its window in order of score, and
+equal ones spread by their key. In a shard, BM25 over all terms of a seed
+document ranks the unused others; they fill its window in order of score, and
 what the window cuts off is the next seed. The rest of a shard that fills no
 window is cut into powers of two, so no sequence needs padding.
 """
@@ -28,8 +28,6 @@ from faultloom.llm.common import SPACES, bytes_of, filled, stored, text_or_empty
 WINDOW, END_ID = 4096, 2
 #: Tokens indexed together; a single longer document is a shard of its own.
 SHARD_TOKENS = 1 << 20
-#: Terms of the seed that ask the index, those of the largest weight.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Bytes of text tokenized at a time, and words a worker remembers.
 BYTES_AT_ONCE, REMEMBERED = 2 << 20, 900_000
@@ -267,7 +265,7 @@ def _frequencies(dtype: np.dtype, size: int):
 
 
 class Shard:
-    """BM25 index over some documents, and the windows they fill."""
+    """BM25 weights of some documents, and the windows they fill."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.docs = docs
@@ -277,22 +275,33 @@ class Shard:
         self.doc, self.term = pairs // len(idf), pairs % len(idf)
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / mean))
         self.bounds = np.searchsorted(self.doc, np.arange(len(docs) + 1))
-        order = np.argsort(self.term, kind="stable")
-        self.posted_doc, self.posted_weight, terms = self.doc[order], self.weight[order], self.term[order]
-        self.posting = np.searchsorted(terms, np.arange(len(idf) + 1))
+        self.asked = np.zeros(len(idf), bool)
+        # postings of documents that are still unused: used ones are dropped whenever they are half of the rest
+        self.left, self.open = np.arange(len(docs)), (self.term, self.weight, self.bounds[:-1])
+
+    def _unused(self, used: np.ndarray) -> None:
+        stay = ~used[self.left]
+        if 2 * np.count_nonzero(stay) > len(stay):
+            return
+        self.left = self.left[stay]
+        sizes = self.bounds[self.left + 1] - self.bounds[self.left]
+        starts = np.cumsum(sizes) - sizes
+        rows = np.arange(int(sizes.sum())) + np.repeat(self.bounds[self.left] - starts, sizes)
+        self.open = self.term[rows], self.weight[rows], starts
 
     def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
-        """Unused documents, best BM25 score first; those that share no query term come last, in order."""
-        lo, hi = self.bounds[seed], self.bounds[seed + 1]
-        terms = self.term[lo:hi]
-        if hi - lo > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.weight[lo:hi], QUERY_TERMS)[:QUERY_TERMS]]
-        score = np.zeros(len(self.docs))
-        for t in terms.tolist():
-            s, e = self.posting[t], self.posting[t + 1]
-            score[self.posted_doc[s:e]] += self.posted_weight[s:e]
-        left = np.flatnonzero(~used)
-        yield from left[np.argsort(-score[left], kind="stable")].tolist()
+        """Unused documents, best BM25 score over all terms of the seed first; those that share none come last, in order."""
+        self._unused(used)
+        if not len(self.left):
+            return
+        terms = self.term[self.bounds[seed]: self.bounds[seed + 1]]
+        self.asked[terms] = True
+        term, weight, starts = self.open
+        # every document has its end id, so no part is empty
+        score = np.add.reduceat(np.where(self.asked[term], weight, 0.0), starts)
+        self.asked[terms] = False
+        free = ~used[self.left]
+        yield from self.left[free][np.argsort(-score[free], kind="stable")].tolist()
 
     def windows(self) -> Iterator[list[tuple[int, int, int]]]:
         """Sequences as lists of (document, start, length)."""

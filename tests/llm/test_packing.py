@@ -96,3 +96,27 @@ def test_neighbours_are_ranked_by_bm25():
 
     want = sorted((i for i in range(40) if not used[i]), key=lambda i: -score(docs[i]))
     assert list(shard.neighbours(0, used)) == want
+
+
+def test_all_terms_of_a_long_seed_count():
+    rng = np.random.default_rng(2)
+    # the rarest 30 tokens of the seed are in no other document
+    seed = np.concatenate([np.arange(30), rng.permutation(np.arange(40, 400))])
+    docs = [seed, *(rng.choice(np.arange(40, 800), rng.integers(20, 300)) for _ in range(60))]
+    idf = np.concatenate([np.full(30, 9.0), rng.random(770) + 0.1])
+    mean = float(np.mean([len(d) for d in docs]))
+    shard, used = packing.Shard(docs, idf, mean), np.zeros(61, bool)
+    used[0] = True
+
+    def score(d):
+        has, tf = np.unique(d, return_counts=True)
+        weight = idf[has] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+        return weight[np.isin(has, seed)].sum()
+
+    # also when used documents have left the table
+    for _ in range(6):
+        want = sorted((i for i in range(61) if not used[i]), key=lambda i: -score(docs[i]))
+        assert list(shard.neighbours(0, used)) == want
+        used[want[: len(want) // 2]] = True
+    used[:] = True
+    assert list(shard.neighbours(0, used)) == []
