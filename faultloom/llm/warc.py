@@ -34,8 +34,8 @@ SPLIT_BYTES, BLOCK, CHUNK = 16 << 20, 1 << 20, 1 << 14
 #: Reading tasks at most, as a multiple of the shuffle partitions; beyond that a task reads several ranges.
 READ_WAVES = 16
 MAGIC = b"\x1f\x8b\x08"
-#: Decoded bytes within which a candidate must show a whole WARC header.
-HEADER_BYTES = 1 << 16
+#: What a candidate must decode to, and where its header ends, however long that is.
+VERSION, BLANK = b"WARC/1.", b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile(rb"[\x00-\x20\x7f-\xff]")
@@ -164,22 +164,26 @@ class _Bytes:
 
 def _member(data: _Bytes, at: int) -> tuple[bytes, int] | None:
     """The decoded record that starts at ``at`` and where it ends; None if no record does."""
-    unpack, parts, got, checked = zlib.decompressobj(31), [], 0, False
+    unpack, record, begun, whole = zlib.decompressobj(31), bytearray(), False, False
     try:
         while not unpack.eof:
             part = data.get(at)
             if not part:
                 return None
-            parts.append(unpack.decompress(part))
+            seen = max(0, len(record) - len(BLANK) + 1)
+            record += unpack.decompress(part)
             at += len(part)
-            got += len(parts[-1])
-            if not checked and (got >= HEADER_BYTES or unpack.eof):
-                parts, checked = [b"".join(parts)], True
-                if not parts[0].startswith(b"WARC/1.") or b"\r\nContent-Length: " not in parts[0]:
+            if not begun and (len(record) >= len(VERSION) or unpack.eof):
+                begun = True
+                if not record.startswith(VERSION):
+                    return None
+            if not whole and (end := record.find(BLANK, seen)) >= 0:
+                whole = True
+                if record.find(b"\r\nContent-Length: ", 0, end) < 0:
                     return None
     except zlib.error:
         return None
-    return b"".join(parts), at - len(unpack.unused_data)
+    return (bytes(record), at - len(unpack.unused_data)) if whole else None
 
 
 def _members(file, at: int, end: int, size: int) -> Iterator[bytes]:

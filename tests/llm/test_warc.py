@@ -56,6 +56,17 @@ def test_defined_cases(spark, tmp_path, monkeypatch, split):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("split", [1 << 24, 5000])
+def test_long_urls(spark, monkeypatch, split):
+    monkeypatch.setattr(warc, "SPLIT_BYTES", split)
+    rng = random.Random(3)
+    urls = {1: "data:" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000)),
+            2: "http://x/" + "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(30_000)), 3: "http://x/", 4: "u" * 300_000}
+    df = spark.createDataFrame([(u, k, f"html {k} " * 30) for k, u in urls.items()], "url string, page_id long, html string").coalesce(1)
+    got = {r.page_id: r for r in warc.round_trip(df).collect()}
+    assert {k: r.url for k, r in got.items()} == {k: warc._UNSAFE.sub(lambda m: b"%%%02X" % m[0][0], u.encode()).decode() for k, u in urls.items()}
+
+
 class Plain:
     def __init__(self, data):
         self.data = data
