@@ -24,7 +24,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash one stays."""
+    """Of documents linked by op4's rule (3-word shingles, 3 bits) one stays; similarity is not looked at, see the README for its recall."""
     return simhash.one_per_group(docs)
 
 
