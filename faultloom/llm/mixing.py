@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultloom.functions.numbering import number_globally
+from faultloom.functions.numbering import number_globally, number_within
 from faultloom.llm.common import SPACES, bytes_of, filled, stored
 
 WEIGHTS = (5, 2, 1)
@@ -137,7 +137,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _round(seed: int, level: int, final: bool, fields: list[str]):
     """Settles all documents of each (node, source) but one; in the final round that one too.
 
-    The number of rows of a node is bounded: a bucket, or FAN_IN rows a source.
+    The number of rows of a node is bounded: a bucket, into which repeats come in pieces too, or FAN_IN rows a source.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _nodes(batches):
@@ -162,6 +162,24 @@ def _round(seed: int, level: int, final: bool, fields: list[str]):
     return run
 
 
+def _bucketed(sized: DataFrame, buckets: int, bucket_rows: int) -> DataFrame:
+    """``sized`` with the bucket ``node`` instead of the place ``at``.
+
+    A row's hash names its bucket; of rows that repeat more than ``bucket_rows``
+    times each further ``bucket_rows`` go one bucket on. Which of them go where
+    does not matter, as they are equal.
+    """
+    often = sized.groupBy("h").count().filter(F.col("count") > bucket_rows).select("h")
+    piece = F.lit(0).cast("long")
+    if not often.isEmpty():
+        rows = sized.select("h", "at").join(often, "h", "left_semi")
+        # numbers by the task that wrote the rows, so none sorts all repeats
+        numbers = number_within(rows, ["h"], F.shiftright("at", 33), ["at"]).select(F.col("at").alias("place"), "rn")
+        sized = sized.join(numbers, F.col("at") == F.col("place"), "left").drop("place")
+        piece = F.coalesce(F.floor((F.col("rn") - 1) / bucket_rows), piece)
+    return sized.withColumn("node", F.pmod(F.pmod("h", F.lit(buckets)) + piece, F.lit(buckets))).drop("at", "rn")
+
+
 def mixed(
     df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS,
     most: int = MOST, seed: int = 17, row: bool = False, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN,
@@ -178,9 +196,10 @@ def mixed(
     kind = df.schema[key].dataType
     body = F.col(f"`{text}`").cast("string")
     cols = [body.alias("t"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{key}`").alias("k"),
-            F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{source}`"), body).alias("h")]
+            F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{source}`"), body).alias("h"),
+            F.monotonically_increasing_id().alias("at")]
     shape = T.StructType([
-        T.StructField("size", T.LongType()), T.StructField("source", T.StringType()), T.StructField("k", kind), T.StructField("h", T.LongType())])
+        T.StructField("size", T.LongType()), T.StructField("source", T.StringType()), T.StructField("k", kind), T.StructField("h", T.LongType()), T.StructField("at", T.LongType())])
     if row:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
         shape.add("row", df.schema)
@@ -189,10 +208,11 @@ def mixed(
     targets = source_targets(sized.select("source", "size"), weights, most)
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.least(F.floor(copies + WHOLE), F.lit(most))
+    sized = _bucketed(sized, buckets, bucket_rows)
     sized = sized.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
-        *sized.columns, "source_size", "target", whole.alias("whole"),
+        *[c for c in sized.columns if c != "node"], "source_size", "target", whole.alias("whole"),
         F.greatest(F.lit(0.0), F.when(whole < most, copies - whole).otherwise(0.0)).alias("part"),
-        F.pmod("h", F.lit(buckets)).alias("node"))
+        "node")
     shape = T.StructType([*sized.schema.fields, T.StructField("up", T.IntegerType())])
     order = ["node", "h", "k", "source", "size"]
     first = sized.repartition("node").sortWithinPartitions(*order).mapInArrow(_round(seed, 0, buckets == 1, shape.names), shape)

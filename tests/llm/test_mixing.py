@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from faultloom.llm import mixing
 from tests.conftest import SF
@@ -98,3 +100,14 @@ def test_defined_cases(spark):
     assert mixing.take_copies(df).columns == df.columns
     assert mixing.take_copies(df).count() == sum(r.copies for r in got)
     assert mixing.take_copies(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_cut_into_buckets(spark):
+    rows = [("twice and more", 1, "a")] * 1000 + [("other", 2, "b")] * 300 + [(f"w {i}", i, "a") for i in range(3, 703)]
+    df = spark.createDataFrame(rows, "text string, doc_id long, source string")
+    sized = df.repartition(3).select(F.xxhash64("doc_id").alias("h"), F.monotonically_increasing_id().alias("at"), "doc_id").localCheckpoint()
+    got = mixing._bucketed(sized, 40, 50).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[1] for r in rows)
+    assert max(Counter(r.node for r in got).values()) <= 150 and max(Counter((r.node, r.doc_id) for r in got).values()) <= 50
+    run = lambda d: sorted(map(tuple, mixing.mixed(d, bucket_rows=50, fan_in=3).collect()))
+    assert run(df) == run(df.repartition(7)) and len(run(df)) == 2000
