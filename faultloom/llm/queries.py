@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm import ann, chat, exact, langid, mixing, packing, resample, secret_scan, simhash, warc
+from faultloom.llm import ann, chat, exact, interactions, langid, mixing, packing, resample, secret_scan, simhash, warc
 from faultloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +59,10 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _hidden(x: str) -> str:
     """Characters of ``x`` with one backslash more for each backslash and control string."""
     controls = [("<s>", 3), ("</s>", 4), ("[INST]", 6), ("[/INST]", 7), ("\\", 1)]
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_novelty": op9_secret_novelty,
     "op10_retrieval_packing": op10_retrieval_packing,
+    "op11_filter_interactions": op11_filter_interactions,
 }
 
 ORACLE: dict[str, str] = {
@@ -101,4 +106,33 @@ ORACLE: dict[str, str] = {
                CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM f""",
+    "op11_filter_interactions": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+              FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {
+                  'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words),
+                  'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+                  'E': coalesce(first < w.doc_id, false)} AS fails
+              FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+        n AS (SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], x -> fails[x]) AS fails, count(*) AS n
+              FROM f GROUP BY ALL),
+        e AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS names FROM e AS a, e AS b, e AS c, e AS d, e
+              WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT array_to_string(names, '') AS filter_order, CAST(step AS INTEGER) AS step, names[step] AS f, names[1:step - 1] AS before
+              FROM o, range(1, 6) AS r(step)),
+        g AS (SELECT part, filter_order, step, f,
+                     sum(CASE WHEN NOT list_has_any(fails, list_append(before, f)) THEN n ELSE 0 END) AS kept,
+                     sum(CASE WHEN list_contains(fails, f) AND NOT list_has_any(fails, before) THEN n ELSE 0 END) AS removed,
+                     sum(CASE WHEN list_contains(fails, f) AND list_has_any(fails, before) THEN n ELSE 0 END) AS redundant,
+                     sum(CASE WHEN fails = [f] THEN n ELSE 0 END) AS unique_fails,
+                     sum(CASE WHEN list_contains(fails, f) AND NOT list_has_any(fails, before) AND good = 1 THEN n ELSE 0 END) AS good_lost,
+                     sum(CASE WHEN list_contains(fails, f) AND NOT list_has_any(fails, before) AND toxic = 1 THEN n ELSE 0 END) AS toxic_lost
+              FROM n, s GROUP BY ALL)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+        FROM g""",
 }
