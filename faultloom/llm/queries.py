@@ -111,13 +111,12 @@ ORACLE: dict[str, str] = {
         w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
         l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
               FROM labels GROUP BY doc_id),
-        f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {
-                  'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words),
-                  'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
-                  'E': coalesce(first < w.doc_id, false)} AS fails
+        f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, list_distinct([
+                  CASE WHEN len(words) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' END,
+                  CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' END,
+                  CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN first < w.doc_id THEN 'E' END]) AS fails
               FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
-        n AS (SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], x -> fails[x]) AS fails, count(*) AS n
-              FROM f GROUP BY ALL),
+        n AS (SELECT part, good, toxic, list_sort(fails) AS fails, count(*) AS n FROM f GROUP BY ALL),
         e AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
         o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS names FROM e AS a, e AS b, e AS c, e AS d, e
               WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
