@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm import ann, chat, exact, interactions, langid, mixing, packing, resample, secret_scan, simhash, warc
+from faultloom.llm import ann, chat, exact, gains, interactions, langid, mixing, packing, resample, secret_scan, simhash, warc
 from faultloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -63,6 +63,10 @@ def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gains.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _hidden(x: str) -> str:
     """Characters of ``x`` with one backslash more for each backslash and control string."""
     controls = [("<s>", 3), ("</s>", 4), ("[INST]", 6), ("[/INST]", 7), ("\\", 1)]
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_novelty": op9_secret_novelty,
     "op10_retrieval_packing": op10_retrieval_packing,
     "op11_filter_interactions": op11_filter_interactions,
+    "op13_target_resampling": op13_target_resampling,
 }
 
 ORACLE: dict[str, str] = {
