@@ -38,12 +38,14 @@ def earlier_copies(rows: DataFrame, marked: DataFrame) -> DataFrame:
     ``rows``: k, part, h, t; ``marked`` has the same k and h without texts. Only
     texts whose hash occurs twice go on from the first join. A row asks for the
     smallest key of its text, one row a text, so a group of copies costs its
-    size; both sides are stored, so that a hot text is split between tasks.
+    size; both sides are stored, so that a hot text is split between tasks. The
+    shared hashes grow with the table, so they are merged with it at any size
+    and never broadcast.
     """
     shared = stored(marked.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    again = stored(rows.join(shared, "h", "left_semi"))
+    again = stored(rows.join(shared.hint("merge"), "h", "left_semi"))
     first = stored(again.groupBy("h", "t").agg(F.min("k").alias("first")))
-    a, b = again.alias("a"), first.alias("b")
+    a, b = again.alias("a"), first.alias("b").hint("merge")
     return a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.t") == F.col("b.t")) & (F.col("b.first") < F.col("a.k")), "left_semi").select("k", "part", "h")
 
 
