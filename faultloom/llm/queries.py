@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm import ann, chat, exact, gains, interactions, langid, mixing, packing, resample, secret_scan, simhash, warc
+from faultloom.llm import ann, chat, exact, gains, interactions, jaccard, langid, mixing, packing, resample, secret_scan, simhash, warc
 from faultloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -63,6 +63,10 @@ def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gains.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_novelty": op9_secret_novelty,
     "op10_retrieval_packing": op10_retrieval_packing,
     "op11_filter_interactions": op11_filter_interactions,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_target_resampling": op13_target_resampling,
 }
 
@@ -139,4 +144,15 @@ ORACLE: dict[str, str] = {
                CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
                CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
         FROM g""",
+    "op12_jaccard_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                  ELSE list_transform(range(1, len(words) - 1), i -> array_to_string(words[i:i + 2], ' ')) END) AS gram FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s AS a JOIN s AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+                  JOIN n AS na ON na.doc_id = a.doc_id JOIN n AS nb ON nb.doc_id = b.doc_id
+              GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 90 * (na.n + nb.n - count(*))),
+        r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.reached)
+        SELECT r.doc_id, coalesce(n, 0) AS n_shingles, min(reached) AS component_id
+        FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id, n""",
 }
