@@ -147,7 +147,7 @@ ORACLE: dict[str, str] = {
     "op12_jaccard_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
-                  ELSE list_transform(range(1, len(words) - 1), i -> array_to_string(words[i:i + 2], ' ')) END) AS gram FROM w),
+                  ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS gram FROM w),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s AS a JOIN s AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id
                   JOIN n AS na ON na.doc_id = a.doc_id JOIN n AS nb ON nb.doc_id = b.doc_id
