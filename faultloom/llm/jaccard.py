@@ -247,9 +247,10 @@ def similar_groups(
     # one set per sequence of words
     classes = stored(rows.filter("some").groupBy("sha").agg(F.min("rid").alias("id"), F.min("k").alias("k")))
     texts = stored(rows.join(classes.select(F.col("id").alias("rid")).hint("merge"), "rid", "left_semi").select(F.col("rid").alias("id"), "norm"))
-    found = texts.select("norm").mapInArrow(_count(width, counters), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.select("norm").mapInArrow(_count(width, counters), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    # as Arrow: the counters are many for rows of the driver
     often = np.zeros(counters, np.int64)
-    often[found["counter"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    often[found["counter"].to_numpy()] = found["n"].to_numpy()
     shared = df.sparkSession.sparkContext.broadcast(often)
     shape = T.StructType([
         T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("head", T.ArrayType(T.LongType())), T.StructField("rest", T.BinaryType())])
