@@ -8,9 +8,10 @@ behind the prefixes can share at most) before its texts are compared in full,
 once.
 
 Copies are one set. Of a group of near copies not all pairs are made: in a
-first round every member of an n-gram's list meets one member that is drawn
-for that list; then only members of different components meet, so a list that
-has grown together is done. No pair of different components is left out.
+first round every member of an n-gram's list meets one member, the one with
+the fewest rarer n-grams and so the fewest changes of its own; then only
+members of different components meet, so a list that has grown together is
+done. No pair of different components is left out.
 """
 
 from __future__ import annotations
@@ -193,9 +194,9 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def _first_round(entries: DataFrame, percent: int) -> DataFrame:
-    """Every member of a list with the one that is drawn for it; each pair once."""
-    drawn = F.min_by(F.struct("id", "n", "at"), F.xxhash64("id", "gram"))
-    heads = stored(entries.groupBy("gram").agg(drawn.alias("h"), F.count("*").alias("size")).filter("size > 1").select("gram", "h.*"))
+    """Every member of a list with the one that has the list's n-gram earliest; each pair once."""
+    earliest = F.min_by(F.struct("id", "n", "at"), F.struct("at", F.xxhash64("id", "gram")))
+    heads = stored(entries.groupBy("gram").agg(earliest.alias("h"), F.count("*").alias("size")).filter("size > 1").select("gram", "h.*"))
     a, h = entries.alias("a"), heads.hint("merge").alias("h")
     return a.join(h, F.col("a.gram") == F.col("h.gram")).filter(F.col("a.id") != F.col("h.id")).filter(_close("a", "h", percent)).select(*_pair("a", "h")).distinct()
 
