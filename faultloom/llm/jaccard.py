@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,16 +114,19 @@ def _prefixes(shared, width: int, percent: int, parts: int, fields: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for b in batches:
-            sizes, heads, rests = [], [], []
+            sizes, heads, ends, rests = [], [], [], []
             for t in b.column(1).to_pylist():
                 h = gram_hashes(t, width)
                 # rare ones first, equally rare ones by their hash
-                h = h[np.argsort(often[(h % np.uint64(len(often))).astype(np.int64)], kind="stable")]
-                p = prefix_length(len(h), percent)
+                n = often[(h % np.uint64(len(often))).astype(np.int64)]
+                order = np.argsort(n, kind="stable")
+                h, p = h[order], prefix_length(len(h), percent)
                 sizes.append(len(h))
                 heads.append(h[:p].view(np.int64))
+                # how far the prefix reaches in the global order, cut to a whole number
+                ends.append(int(n[order[p - 1]]) << 32 | int(h[p - 1]) >> 32)
                 rests.append(np.bincount((h[p:] >> np.uint64(32)).astype(np.int64) % parts, minlength=parts).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(rests, pa.binary())], fields)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(ends, pa.int64()), pa.array(rests, pa.binary())], fields)
 
     return run
 
@@ -182,20 +185,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, p
 
 
 def _close(a: str, b: str, percent: int) -> Column:
-    """Length filter, and positional filter of one shared n-gram at places ``at`` of both."""
+    """Length filter, and positional filter of one shared n-gram at places ``at`` of both, with ``before`` n-grams in front that they may share."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     short, long_ = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
-    most = F.least(x("at"), y("at")) + 1 + F.least(x("n") - x("at"), y("n") - y("at")) - 1
+    most = F.least(x("before"), y("before")) + F.least(x("n") - x("at"), y("n") - y("at"))
     return (100 * short >= percent * long_) & (most >= least_overlap(x("n") + y("n"), percent))
 
 
+def _reach(a: str, b: str, percent: int) -> Column:
+    """Of the set whose prefix ends first, the prefix shares what is in lists, the rest anything."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    least = least_overlap(x("n") + y("n"), percent)
+    most = lambda s: s("listed") + F.ceil(percent * s("n") / 100).cast("long") - 1
+    return F.when(x("end") < y("end"), most(x) >= least).when(y("end") < x("end"), most(y) >= least).otherwise(True)
+
+
 def _pair(a: str, b: str) -> list[Column]:
     return [F.least(f"{a}.id", f"{b}.id").alias("u"), F.greatest(f"{a}.id", f"{b}.id").alias("v")]
 
 
 def _first_round(entries: DataFrame, percent: int) -> DataFrame:
     """Every member of a list with the one that has the list's n-gram earliest; each pair once."""
-    earliest = F.min_by(F.struct("id", "n", "at"), F.struct("at", F.xxhash64("id", "gram")))
+    entries = entries.withColumn("before", F.col("at"))
+    earliest = F.min_by(F.struct("id", "n", "at", "before"), F.struct("at", F.xxhash64("id", "gram")))
     heads = stored(entries.groupBy("gram").agg(earliest.alias("h"), F.count("*").alias("size")).filter("size > 1").select("gram", "h.*"))
     a, h = entries.alias("a"), heads.hint("merge").alias("h")
     return a.join(h, F.col("a.gram") == F.col("h.gram")).filter(F.col("a.id") != F.col("h.id")).filter(_close("a", "h", percent)).select(*_pair("a", "h")).distinct()
@@ -207,13 +219,16 @@ def _other_components(entries: DataFrame, roots: DataFrame, percent: int) -> Dat
     Members outside a list's largest component meet all others, which leaves
     out no such pair and makes none inside the largest one.
     """
-    placed = stored(entries.join(roots.hint("merge"), entries.id == roots.u, "left").select("gram", "id", "n", "at", F.coalesce("root", "id").alias("root")))
+    placed = stored(entries.join(roots.hint("merge"), entries.id == roots.u, "left").select("gram", "id", "n", "end", "at", F.coalesce("root", "id").alias("root")))
     sizes = placed.groupBy("gram", "root").agg(F.count("*").alias("size"))
     mixed = stored(sizes.groupBy("gram").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("gram", "main"))
-    open_ = stored(placed.join(mixed.hint("merge"), "gram"))
+    # what two members of different components share before an n-gram of both prefixes is in mixed lists too
+    of_set = Window.partitionBy("id")
+    open_ = stored(placed.join(mixed.hint("merge"), "gram").withColumns({
+        "before": F.row_number().over(of_set.orderBy("at")) - 1, "listed": F.count("*").over(of_set)}))
     a, b = open_.filter("root <> main").alias("a"), open_.hint("merge").alias("b")
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))
-    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") != F.col("b.root")) & once & _close("a", "b", percent))
+    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") != F.col("b.root")) & once & _close("a", "b", percent) & _reach("a", "b", percent))
     # the shared n-grams of both prefixes are all there: behind the last of them no more than the shorter rest can follow
     first = F.col("a.id") < F.col("b.id")
     side = lambda c, x: F.when(first if x == "u" else ~first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(f"{c}_{x}")
@@ -251,12 +266,12 @@ def similar_groups(
     found = texts.select("norm").mapInArrow(_count(width, counters), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     # as Arrow: the counters are many for rows of the driver
     often = np.zeros(counters, np.int64)
-    often[found["counter"].to_numpy()] = found["n"].to_numpy()
+    often[found["counter"].to_numpy()] = np.minimum(found["n"].to_numpy(), (1 << 31) - 1)
     shared = df.sparkSession.sparkContext.broadcast(often)
     shape = T.StructType([
-        T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("head", T.ArrayType(T.LongType())), T.StructField("rest", T.BinaryType())])
+        T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("head", T.ArrayType(T.LongType())), T.StructField("end", T.LongType()), T.StructField("rest", T.BinaryType())])
     sets = stored(texts.mapInArrow(_prefixes(shared, width, percent, parts, shape.names), shape))
-    entries = sets.select("id", "n", F.posexplode("head").alias("at", "gram"))
+    entries = sets.select("id", "n", "end", F.posexplode("head").alias("at", "gram"))
     links = _verified(_first_round(entries, percent), sets, texts, width, percent, parts)
     roots = star_components(links)
     more = _verified(_other_components(entries, roots, percent), sets, texts, width, percent, parts)
