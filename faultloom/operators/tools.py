@@ -1,5 +1,6 @@
 """Assistant tool queries. ``customer`` switches to the customer-scoped form,
-which is computed from the fault table; without it the stored tables are read."""
+which is computed from the fault table; without it the stored tables answer for
+the whole fleet, one row per code, date or system."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from faultloom.functions.scoring import (
     by_driver, count_where, has_lasted, is_open, is_severe, mean_positive, settle, severity_multiplier,
 )
+from faultloom.operators import rollups
 from faultloom.operators.dashboard import _other_codes, fleet_health_snap, of_customer, recent
 from faultloom.params import MAX_RESULT_ROWS, checked_limit
 
@@ -18,6 +20,10 @@ def capped(df: DataFrame, limit: int | None = None) -> DataFrame:
     return df.limit(checked_limit(limit, MAX_RESULT_ROWS, 1))
 
 
+def _as_one_fleet(stats: DataFrame) -> DataFrame:
+    """All tenants as one; a vehicle belongs to one of them, so its rows stay apart."""
+    return stats.withColumn("clientLoginId", F.lit(""))
+
 
 def fleet_health_totals(w, customer: str | None = None) -> DataFrame:
     zero = F.lit(0)
@@ -72,7 +78,8 @@ def fleet_dtc_distribution(w, customer: str | None = None, days: int = 30, limit
             "total_occurrences", "total_episodes", settle("avg_resolution_time", 1).alias("avg_resolution_time"),
             "driver_related_count"]
     if not customer:
-        return w.distribution.orderBy(F.desc("total_occurrences"), "dtc_code", "clientLoginId").limit(limit).select(*cols)
+        fleet = rollups.fleet_dtc_distribution(_as_one_fleet(w.stats))
+        return fleet.orderBy(F.desc("total_occurrences"), "dtc_code").limit(limit).select(*cols)
     per_vehicle = of_customer(recent(w, days), customer).groupBy("dtc_code", "uniqueid").agg(
         F.min("description").alias("description"), F.min("system").alias("system"),
         F.min("subsystem").alias("subsystem"), F.min("severity_level").alias("severity_level"),
@@ -96,9 +103,11 @@ def fleet_trends(w, customer: str | None = None, days: int = 30) -> DataFrame:
             F.count("*").alias("active_faults"), F.count("*").alias("new_faults"),
             count_where(F.col("is_resolved") == 1).alias("resolved_faults"),
             count_where(by_driver()).alias("driver_related_faults")).orderBy("date")
-    return w.trends.select(
-        "date", "fleet_health_score", "active_faults", "new_faults", "resolved_faults", "driver_related_faults",
-    ).orderBy("date")
+    # a tenant's score counts as often as it has episodes that day
+    score = F.sum(F.col("fleet_health_score") * F.col("new_faults")) / F.sum("new_faults")
+    return w.trends.groupBy("date").agg(
+        settle(score, 2).alias("fleet_health_score"),
+        *[F.sum(c).alias(c) for c in ("active_faults", "new_faults", "resolved_faults", "driver_related_faults")]).orderBy("date")
 
 
 def _of_vehicle(df: DataFrame, vehicle_number: str | None, uniqueid: str | None) -> DataFrame:
@@ -189,15 +198,17 @@ def fleet_system_health(w, customer: str | None = None) -> DataFrame:
             F.count("open").alias("vehicles_affected"), F.sum("active").alias("active_faults"),
             F.sum("critical").alias("critical_faults"), settle(F.sum("sev"), 1).alias("risk_score"),
         ).orderBy(F.desc("risk_score"), "system")
-    return w.systems.select(
-        "system", "vehicles_affected", "active_faults", "critical_faults", settle("risk_score", 1).alias("risk_score"),
-        "trend").orderBy(F.desc("risk_score"), "system")
+    # a vehicle counts with one tenant, and risk is a sum over open episodes: all four add up
+    return w.systems.groupBy("system").agg(
+        F.sum("vehicles_affected").alias("vehicles_affected"), F.sum("active_faults").alias("active_faults"),
+        F.sum("critical_faults").alias("critical_faults"), settle(F.sum("risk_score"), 1).alias("risk_score"),
+        F.min("trend").alias("trend")).orderBy(F.desc("risk_score"), "system")
 
 
 def dtc_fleet_impact(w, customer: str | None = None, limit: int = 15) -> DataFrame:
     limit = checked_limit(limit, 15, 1)
     if not customer:
-        rows = w.impact
+        rows = rollups.dtc_fleet_impact(_as_one_fleet(w.stats))
     else:
         per_vehicle = of_customer(w.vfm, customer).groupBy("dtc_code", "uniqueid").agg(
             F.min("system").alias("system"), F.min("subsystem").alias("subsystem"), F.max(F.when(is_open(), 1)).alias("open"),
@@ -208,8 +219,8 @@ def dtc_fleet_impact(w, customer: str | None = None, limit: int = 15) -> DataFra
             F.count("*").alias("vehicles_affected"), F.count("open").alias("active_vehicles"),
             mean_positive(F.sum("sec"), F.sum("lasted")).alias("avg_resolution_time"),
             mean_positive(F.sum("driver"), F.sum("n")).alias("driver_related_ratio"),
-            F.sum("sev").alias("fleet_risk_score"), F.lit("").alias("clientLoginId"))
-    return rows.orderBy(F.desc("fleet_risk_score"), "dtc_code", "clientLoginId").limit(limit).select(
+            F.sum("sev").alias("fleet_risk_score"))
+    return rows.orderBy(F.desc("fleet_risk_score"), "dtc_code").limit(limit).select(
         "dtc_code", "system", "subsystem", "vehicles_affected", "active_vehicles",
         settle("avg_resolution_time", 0).alias("avg_resolution_time"),
         settle("driver_related_ratio", 3).alias("driver_related_ratio"),

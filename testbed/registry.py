@@ -23,7 +23,7 @@ from faultloom.params import Params
 from faultloom.plans import incremental
 from faultloom.session import run_folder
 from faultloom.sources import readers, writers
-from faultloom.streaming import streams
+from faultloom.streaming import backfill, engine_episodes, streams
 from testbed import traces as tb
 from testbed.inputs import (
     CODE, CUSTOMER, DAYS, PARAMS, dtc_history, engine_cycles, history_from_events, table, warehouse,
@@ -354,6 +354,59 @@ reg("b11_stream_daily_trend", _streamed(lambda e: streams.stream_daily_trend(e,
 reg("b12_stream_latest_state", _streamed(streams.stream_latest_state, update=True),
     "SELECT uniqueid, dtc_code, max(ts) AS last_dtc_ts, count(*) AS events FROM exploded GROUP BY ALL")
 
+
+
+def _cycles_until(s: SparkSession, d: str, folder: str) -> DataFrame:
+    """The cycles as a stream of files, and one much later row of no vehicle, behind which the watermark passes all others."""
+    shape = "uniqueid string, cycle_ts long"
+    warehouse(s, d).cycles.select("uniqueid", "cycle_ts").unionByName(s.createDataFrame([("", AS_OF + 60 * 86400)], shape)).write.parquet(f"{folder}/cycles")
+    return s.readStream.schema(shape).parquet(f"{folder}/cycles")
+
+
+def _engine_episodes(s: SparkSession, d: str) -> DataFrame:
+    w, folder = warehouse(s, d), run_folder(s)
+    live = engine_episodes.stream_engine_episodes(
+        streams.stream_events_exploded(_event_stream(s, d), w.vm, PARAMS), _cycles_until(s, d, folder), PARAMS, "2 hours")
+    engine_episodes.append_keyed(live, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{folder}/out")
+
+
+WITHIN = 7 * 86400
+
+
+def _stream_resolution(s: SparkSession, d: str) -> DataFrame:
+    w, folder = warehouse(s, d), run_folder(s)
+    found = w.table("fault_episodes").select("uniqueid", "dtc_code", "first_ts", "last_ts", "occurrence_count", "engine_cycles_during")
+    late = AS_OF + 60 * 86400
+    found.unionByName(s.createDataFrame([("", "", late, late, 0, 0)], engine_episodes.EPISODE)).write.parquet(f"{folder}/episodes")
+    closed = s.readStream.schema(engine_episodes.EPISODE).parquet(f"{folder}/episodes")
+    live = engine_episodes.stream_resolution(closed, _cycles_until(s, d, folder), "2 hours", WITHIN)
+    streams.append_to(live, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{folder}/out").filter("uniqueid <> ''").select(
+        "uniqueid", "dtc_code", "first_ts", "last_ts", "resolution_time_sec", "is_resolved")
+
+
+def _backfilled(s: SparkSession, d: str) -> DataFrame:
+    """A part of the messages as history, the others as files that come later, old and new ones mixed."""
+    w, folder = warehouse(s, d), run_folder(s)
+    history = dtc_history(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    later = F.pmod(F.xxhash64("uniqueid", "ts"), F.lit(3)) == 0
+    history.filter(~later).write.parquet(f"{folder}/in/history")
+    backfill.backfill_events(s, f"{folder}/in", history.schema, w.vm, f"{folder}/out", PARAMS)
+    history.filter(later).write.parquet(f"{folder}/in/later")
+    backfill.continue_events(s, f"{folder}/in", history.schema, w.vm, f"{folder}/out", PARAMS).awaitTermination()
+    return backfill.continuous_events(s, f"{folder}/out")
+
+
+reg("b9_backfill_and_stream", _backfilled, f"SELECT {_EXPLODED} FROM exploded")
+reg("b10_stream_engine_episodes", _engine_episodes,
+    """SELECT e.uniqueid, e.dtc_code, e.first_ts, e.last_ts, e.occurrence_count, coalesce(d.n, 0) AS engine_cycles_during FROM epi e
+    LEFT JOIN during d ON d.uniqueid = e.uniqueid AND d.dtc_code = e.dtc_code AND d.episode_no = e.episode_no""")
+reg("c7_stream_resolution", _stream_resolution,
+    f"""SELECT uniqueid, dtc_code, first_ts, last_ts, last_ts - first_ts AS resolution_time_sec,
+    CASE WHEN EXISTS (SELECT 1 FROM cyc c WHERE c.uniqueid = e.uniqueid AND c.cycle_ts > e.last_ts AND c.cycle_ts <= e.last_ts + {WITHIN})
+    THEN 1 ELSE 0 END AS is_resolved FROM epi e""")
+
 # ---------------------------------------------------------------- C. episodes
 
 
@@ -654,16 +707,20 @@ _DAILY = """SELECT CAST(event_date AS VARCHAR) AS date, count(*) AS active_fault
     count(*) FILTER (driver_related = 1) AS driver_related_faults FROM vfm WHERE {} GROUP BY event_date"""
 reg("f1_fleet_health_recent_trend_customer", w_(tools.fleet_health_recent_trend, CUSTOMER, DAYS),
     _DAILY.format("", f"{CUST} AND {RECENT}") + " ORDER BY event_date DESC LIMIT 7")
-reg("f2_fleet_dtc_distribution", w_(tools.fleet_dtc_distribution), """SELECT * EXCLUDE (clientLoginId) REPLACE (round(avg_resolution_time, 1)::DOUBLE AS avg_resolution_time)
-    FROM distribution ORDER BY total_occurrences DESC, dtc_code, clientLoginId LIMIT 10""")
+reg("f2_fleet_dtc_distribution", w_(tools.fleet_dtc_distribution), """SELECT dtc_code, min(description) AS description, min(system) AS system, min(subsystem) AS subsystem,
+    min(severity_level) AS severity_level, count(DISTINCT uniqueid) AS vehicles_affected, count(DISTINCT uniqueid) FILTER (is_resolved = 0) AS active_vehicles,
+    sum(occurrence_count)::BIGINT AS total_occurrences, count(*) AS total_episodes,
+    round(coalesce(avg(resolution_time_sec) FILTER (resolution_time_sec > 0), 0), 1) AS avg_resolution_time,
+    count(*) FILTER (driver_related = 1) AS driver_related_count FROM vfm GROUP BY dtc_code ORDER BY total_occurrences DESC, dtc_code LIMIT 10""")
 reg("f2_fleet_dtc_distribution_customer", w_(tools.fleet_dtc_distribution, CUSTOMER, DAYS), f"""SELECT dtc_code, min(description) AS description, min(system) AS system,
     min(subsystem) AS subsystem, min(severity_level) AS severity_level, count(DISTINCT uniqueid) AS vehicles_affected,
     count(DISTINCT uniqueid) FILTER (is_resolved = 0) AS active_vehicles, sum(occurrence_count)::BIGINT AS total_occurrences, count(*) AS total_episodes,
     round(coalesce(avg(resolution_time_sec) FILTER (resolution_time_sec > 0), 0), 1) AS avg_resolution_time,
     count(*) FILTER (driver_related = 1) AS driver_related_count FROM vfm WHERE {CUST} AND {RECENT} GROUP BY dtc_code
     ORDER BY total_occurrences DESC, dtc_code LIMIT 10""")
-reg("f3_fleet_trends", w_(tools.fleet_trends), f"""SELECT {day('date')}, round(fleet_health_score, 4)::DOUBLE AS fleet_health_score, active_faults, new_faults,
-    resolved_faults, driver_related_faults FROM trends""")
+reg("f3_fleet_trends", w_(tools.fleet_trends), f"""SELECT {day('date')}, round(sum(fleet_health_score * new_faults) / sum(new_faults), 2)::DOUBLE AS fleet_health_score,
+    sum(active_faults)::BIGINT AS active_faults, sum(new_faults)::BIGINT AS new_faults, sum(resolved_faults)::BIGINT AS resolved_faults,
+    sum(driver_related_faults)::BIGINT AS driver_related_faults FROM trends GROUP BY trends.date""")
 reg("f3_fleet_trends_customer", w_(tools.fleet_trends, CUSTOMER, DAYS), _DAILY.format("count(*) AS new_faults, ", f"{CUST} AND {RECENT}"))
 NUM8 = "Customer#000000008"
 reg("f4_vehicle_health_status", w_(tools.vehicle_health_status, NUM8), f"{_VHS} WHERE vehicle_number = '{NUM8}'")
@@ -690,20 +747,23 @@ both("f8_maintenance_priority", tools.maintenance_priority, lambda c: f"""SELECT
     mp.severity_level, round(mp.maintenance_priority_score, 4)::DOUBLE AS maintenance_priority_score, mp.fault_duration_sec, mp.episodes_last_30_days,
     mp.recommended_action, round(v.vehicle_health_score, 4)::DOUBLE AS vehicle_health_score, v.active_fault_count, v.critical_fault_count
     FROM maintenance mp LEFT JOIN vhs v ON v.uniqueid = mp.uniqueid WHERE {c} {_MP} 10""")
-reg("f9_fleet_system_health", w_(tools.fleet_system_health), """SELECT system, vehicles_affected, active_faults, critical_faults,
-    round(risk_score, 1)::DOUBLE AS risk_score, trend FROM systems""")
+reg("f9_fleet_system_health", w_(tools.fleet_system_health), f"""SELECT CASE WHEN system IN ('', 'nan') THEN 'other' ELSE system END AS system,
+    count(DISTINCT uniqueid) FILTER (is_resolved = 0) AS vehicles_affected, count(*) FILTER (is_resolved = 0) AS active_faults,
+    count(*) FILTER (is_resolved = 0 AND severity_level >= 3) AS critical_faults,
+    round(sum(CASE WHEN is_resolved = 0 THEN {sev('severity_level')} ELSE 0 END), 1)::DOUBLE AS risk_score, 'stable' AS trend FROM vfm GROUP BY 1""")
 reg("f9_fleet_system_health_customer", w_(tools.fleet_system_health, CUSTOMER), f"""SELECT system, count(DISTINCT uniqueid) FILTER (is_resolved = 0) AS vehicles_affected,
     count(*) FILTER (is_resolved = 0) AS active_faults, count(*) FILTER (is_resolved = 0 AND severity_level >= 3) AS critical_faults,
     round(sum(CASE WHEN is_resolved = 0 THEN {sev('severity_level')} ELSE 0 END), 1)::DOUBLE AS risk_score FROM vfm WHERE system <> '' AND {CUST} GROUP BY system""")
 _IMPACT = """dtc_code, system, subsystem, vehicles_affected, active_vehicles, round(avg_resolution_time, 0)::DOUBLE AS avg_resolution_time,
     round(driver_related_ratio, 3)::DOUBLE AS driver_related_ratio, round(fleet_risk_score, 1)::DOUBLE AS fleet_risk_score"""
-reg("f10_dtc_fleet_impact", w_(tools.dtc_fleet_impact), f"""SELECT {_IMPACT} FROM impact ORDER BY impact.fleet_risk_score DESC, dtc_code, clientLoginId LIMIT 15""")
-reg("f10_dtc_fleet_impact_customer", w_(tools.dtc_fleet_impact, CUSTOMER), f"""SELECT {_IMPACT} FROM (SELECT dtc_code, min(system) AS system, min(subsystem) AS subsystem,
+_FLEET_IMPACT = f"""SELECT {_IMPACT} FROM (SELECT dtc_code, min(system) AS system, min(subsystem) AS subsystem,
     count(DISTINCT uniqueid) AS vehicles_affected, count(DISTINCT uniqueid) FILTER (is_resolved = 0) AS active_vehicles,
     coalesce(avg(resolution_time_sec) FILTER (resolution_time_sec > 0), 0) AS avg_resolution_time,
     (count(*) FILTER (driver_related = 1))::DOUBLE / count(*) AS driver_related_ratio,
-    sum(CASE WHEN is_resolved = 0 THEN {sev('severity_level')} ELSE 0 END) AS fleet_risk_score FROM vfm WHERE {CUST} GROUP BY dtc_code) i
-    ORDER BY i.fleet_risk_score DESC, dtc_code LIMIT 15""")
+    sum(CASE WHEN is_resolved = 0 THEN {sev('severity_level')} ELSE 0 END) AS fleet_risk_score FROM vfm WHERE {{}} GROUP BY dtc_code) i
+    ORDER BY i.fleet_risk_score DESC, dtc_code LIMIT 15"""
+reg("f10_dtc_fleet_impact", w_(tools.dtc_fleet_impact), _FLEET_IMPACT.format("true"))
+reg("f10_dtc_fleet_impact_customer", w_(tools.dtc_fleet_impact, CUSTOMER), _FLEET_IMPACT.format(CUST))
 reg("f11_clamp_limit", lambda s, d: tools.capped(warehouse(s, d).vfm.select("episode_id").orderBy("episode_id"), "9999"),
     "SELECT episode_id FROM vfm ORDER BY episode_id LIMIT 9999")
 
