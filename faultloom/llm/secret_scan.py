@@ -32,7 +32,8 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words of a sensitive context, and the bytes after one in which a candidate may begin.
 CONTEXT = re.compile(rb"passw|passphrase|secret|token|api_?key|apikey|private_?key|access_?key|bearer|credential|signature|authorization", re.IGNORECASE)
 REACH = 48
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 #: Surrounding bytes on each side that the candidate is measured against.
 AROUND = 512
 #: Added bytes for each byte of the candidate from which it counts as new.
@@ -51,18 +52,35 @@ _HINTS = (b"passw", b"secret", b"token", b"api")
 _CONTEXT_HINTS = (b"passphrase", b"key", b"bearer", b"credential", b"signature", b"authorization")
 
 
-def _copies(string: bytes) -> re.Pattern[bytes]:
-    """The string, or what it gives a value: a part between equal signs that could be a candidate itself."""
-    parts = {string, *(p for p in string.split(b"=") if CANDIDATE.fullmatch(p))}
-    return re.compile(b"|".join(re.escape(p) for p in sorted(parts, key=lambda p: (-len(p), p))))
+def _places(string: bytes, text: bytes) -> Iterator[tuple[int, int]]:
+    """Where ``text`` holds the string, or what it gives a value: a part between equal signs that could be a candidate itself.
 
-
-def _without(text: bytes, lo: int, hi: int, low: int, high: int, copies: re.Pattern[bytes]) -> bytes:
+    From the left, the longest of those that begin at a place, without overlap. All parts are looked for together, by their first bytes.
+    """
+    parts = {p for p in string.split(b"=") if p != string and CANDIDATE.fullmatch(p)}
+    if not parts:
+        at = text.find(string)
+        while at >= 0:
+            yield at, at + len(string)
+            at = text.find(string, at + len(string))
+        return
+    heads: dict[bytes, list[bytes]] = {}
+    for p in sorted({string, *parts}, key=len, reverse=True):
+        heads.setdefault(p[:LEAST], []).append(p)
+    at = 0
+    while at + LEAST <= len(text):
+        found = next((p for p in heads.get(text[at: at + LEAST], ()) if text.startswith(p, at)), None)
+        if found:
+            yield at, at + len(found)
+        at += len(found) if found else 1
+
+
+def _without(text: bytes, lo: int, hi: int, low: int, high: int, string: bytes) -> bytes:
     """text[lo:hi] less the copies in text[low:high], also of those that reach over its ends."""
     out, at = [], lo
-    for m in copies.finditer(text, low, high):
-        out.append(text[at: min(hi, max(at, m.start()))])
-        at = max(at, m.end())
+    for s, e in _places(string, text[low:high]):
+        out.append(text[at: min(hi, max(at, low + s))])
+        at = max(at, low + e)
     return b"".join([*out, text[at:hi]])
 
 
@@ -77,9 +95,9 @@ class Scanner:
         Other copies of the string there do not count, else a repeated secret would be known at each of its places.
         """
         string = text[start:end]
-        copies, n = _copies(string), end - start
-        before = _without(text, max(0, start - AROUND), start, max(0, start - AROUND - n + 1), start, copies)
-        after = _without(text, end, min(len(text), end + AROUND), end, end + AROUND + n - 1, copies)
+        n = end - start
+        before = _without(text, max(0, start - AROUND), start, max(0, start - AROUND - n + 1), start, string)
+        after = _without(text, end, min(len(text), end + AROUND), end, end + AROUND + n - 1, string)
         size = lambda x: len(self.compressor.compress(x))
         # in place, and last, where it can refer to all of the surroundings; the smaller one, as tables shift by some bytes
         rest = before + after
@@ -100,18 +118,24 @@ class Scanner:
         return sorted(out)
 
     def _new(self, text: bytes, known: list[tuple[int, int, int, float]]) -> Iterator[tuple[int, int, int, float]]:
+        """Context words and token-like runs, both from left to right and each once.
+
+        What follows a context word inside its own run is a candidate too.
+        """
         taken, done, k = 0, 0, 0
+        runs = CANDIDATE.finditer(text)
+        run = next(runs, None)
         for m in CONTEXT.finditer(text):
             at = max(m.end(), done)
-            for c in CANDIDATE.finditer(text, at):
-                s, e = c.span()
-                if s > m.end() + REACH:
-                    break
-                done = e
+            while run and run.end() - at < LEAST:
+                run = next(runs, None)
+            while run and (s := max(run.start(), at)) <= m.end() + REACH:
+                e = done = run.end()
                 while k < len(known) and known[k][0] < e:
                     taken, k = max(taken, known[k][2]), k + 1
                 if s >= taken and (value := self.novelty(text, s, e)) >= self.novel:
                     yield s, 3, e, value
+                run = next(runs, None)
 
 
 def _points(text: bytes, cuts: list[int]) -> dict[int, int]:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from faultloom.llm import secret_scan as ss
 from tests.conftest import SF
@@ -102,3 +103,54 @@ def test_strings_of_one_kind_of_character_are_measured():
             plain = text.replace(key, "theconnectionisstoredinthesettings ---------------------------------------- connection_connection_connection")
             assert not scanner.spans(plain.encode())
         assert found >= (90 if alphabet == lower else 95), alphabet
+
+
+def slow_new(scanner, text, known):
+    """The candidates of each context word in turn, looked for anew."""
+    taken, done, k = 0, 0, 0
+    for m in ss.CONTEXT.finditer(text):
+        for c in ss.CANDIDATE.finditer(text, max(m.end(), done)):
+            s, e = c.span()
+            if s > m.end() + ss.REACH:
+                break
+            done = e
+            while k < len(known) and known[k][0] < e:
+                taken, k = max(taken, known[k][2]), k + 1
+            if s >= taken and (value := scanner.novelty(text, s, e)) >= scanner.novel:
+                yield s, 3, e, value
+
+
+def test_candidates_are_those_of_each_context_word():
+    rng = random.Random(7)
+    scanner = ss.Scanner(novel=-9.0)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for _ in range(300):
+        parts = [rng.choice(["token", "bearer ", " key ", "private_key", " ", ", ", "=", "word", "secret: ", "AKIA" + "A" * 17, "".join(rng.choice(alphabet) for _ in range(rng.choice([3, 15, 16, 17, 40])))]) for _ in range(rng.randrange(40))]
+        text = "".join(parts).encode()
+        known = sorted(s for s in scanner.spans(text) if s[1] < 3)
+        assert list(scanner._new(text, known)) == list(slow_new(scanner, text, known))
+
+
+def test_copies_are_the_longest_from_the_left():
+    rng = random.Random(8)
+    for _ in range(300):
+        parts = ["".join(rng.choice("ab") for _ in range(rng.choice([3, 16, 16, 17]))) for _ in range(rng.randrange(1, 4))]
+        string = "=".join(parts).encode()
+        text = b"".join(rng.choice([string, *(p.encode() for p in parts), b"a", b"b=", b" "]) for _ in range(20))
+        wanted = {string, *(p for p in string.split(b"=") if ss.CANDIDATE.fullmatch(p))}
+        rx = re.compile(b"|".join(re.escape(p) for p in sorted(wanted, key=lambda p: (-len(p), p))))
+        assert list(ss._places(string, text)) == [m.span() for m in rx.finditer(text)]
+
+
+def test_long_texts_take_linear_time():
+    scanner = ss.Scanner()
+    rng = random.Random(9)
+    values = ["%016x" % rng.getrandbits(64) + "g" for _ in range(300_000)]
+    texts = [
+        b"the token is here and " * 240_000, ("bearer " + "=".join(values)).encode(), b"token" * 1_000_000,
+        (" ".join(f"word{i % 977}" for i in range(700_000)) + " key").encode()]
+    for text in texts:
+        assert len(text) >= 4_900_000
+        t0 = time.process_time()
+        scanner.spans(text)
+        assert time.process_time() - t0 < 10
