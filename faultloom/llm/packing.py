@@ -3,8 +3,8 @@
 Documents become token ids once. Corpus-wide token statistics (document
 frequencies over the tokenizer's vocabulary) feed BM25. Range partitioning on a
 MinHash of the tokens deals documents into shards, alike ones together and
-equal ones spread by their key. In a shard, BM25 over all terms of a seed
-document ranks the unused others; they fill its window in order of score, and
+equal ones spread by their key. Each shard has an inverted index. BM25 over
+all terms of a seed document, added up from their lists, ranks the unused others; they fill its window in order of score, and
 what the window cuts off is the next seed. The rest of a shard that fills no
 window is cut into powers of two, so no sequence needs padding.
 """
@@ -29,6 +29,8 @@ WINDOW, END_ID = 4096, 2
 #: Tokens indexed together; a single longer document is a shard of its own.
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
+#: Neighbours put in order at once.
+FEW = 256
 #: Bytes of text tokenized at a time, and words a worker remembers.
 BYTES_AT_ONCE, REMEMBERED = 2 << 20, 900_000
 
@@ -265,43 +267,72 @@ def _frequencies(dtype: np.dtype, size: int):
 
 
 class Shard:
-    """BM25 weights of some documents, and the windows they fill."""
+    """A BM25 inverted index of some documents, and the windows they fill."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.docs = docs
+        self.docs, self.terms = docs, len(idf)
         sizes = np.array([len(d) for d in docs], np.int64)
         owner = np.repeat(np.arange(len(docs)), sizes)
         pairs, tf = np.unique(owner * len(idf) + np.concatenate(docs), return_counts=True)
-        self.doc, self.term = pairs // len(idf), pairs % len(idf)
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / mean))
-        self.bounds = np.searchsorted(self.doc, np.arange(len(docs) + 1))
-        self.asked = np.zeros(len(idf), bool)
-        # postings of documents that are still unused: used ones are dropped whenever they are half of the rest
-        self.left, self.open = np.arange(len(docs)), (self.term, self.weight, self.bounds[:-1])
+        doc, self.term = pairs // len(idf), pairs % len(idf)
+        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
+        self.bounds = np.searchsorted(doc, np.arange(len(docs) + 1))
+        self._index(np.arange(len(docs)), slice(None))
+
+    def _index(self, left: np.ndarray, rows: slice | np.ndarray) -> None:
+        """Postings by term of the documents ``left``, whose pairs are ``rows``; documents go by their place in ``left``.
+
+        A term that a quarter of them have has its list as an array over all of them.
+        """
+        self.left = left
+        doc = np.repeat(np.arange(len(left)), self.bounds[left + 1] - self.bounds[left])
+        term, weight = self.term[rows], self.weight[rows]
+        size = np.bincount(term, minlength=self.terms)
+        often = 4 * size >= max(len(left), 1)
+        self.place = np.cumsum(often) - 1
+        self.place[~often] = -1
+        common = often[term]
+        self.lists = np.zeros((int(np.count_nonzero(often)), len(left)))
+        self.lists[self.place[term[common]], doc[common]] = weight[common]
+        term, doc, weight = term[~common], doc[~common], weight[~common]
+        order = np.argsort(term.astype(np.uint16 if self.terms <= 1 << 16 else np.int64), kind="stable")
+        self.posted, self.posted_weight = doc[order], weight[order]
+        self.ends = np.cumsum(np.where(often, 0, size))
 
     def _unused(self, used: np.ndarray) -> None:
+        """Drops the postings of used documents whenever they are half of the rest."""
         stay = ~used[self.left]
         if 2 * np.count_nonzero(stay) > len(stay):
             return
-        self.left = self.left[stay]
-        sizes = self.bounds[self.left + 1] - self.bounds[self.left]
+        left = self.left[stay]
+        sizes = self.bounds[left + 1] - self.bounds[left]
         starts = np.cumsum(sizes) - sizes
-        rows = np.arange(int(sizes.sum())) + np.repeat(self.bounds[self.left] - starts, sizes)
-        self.open = self.term[rows], self.weight[rows], starts
+        self._index(left, np.arange(int(sizes.sum())) + np.repeat(self.bounds[left] - starts, sizes))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of the documents ``left`` for all terms of the seed: the lists of its terms are added up, no others are looked at."""
+        terms = self.term[self.bounds[seed]: self.bounds[seed + 1]]
+        at = self.place[terms]
+        asked = np.zeros(len(self.lists))
+        asked[at[at >= 0]] = 1.0
+        score = asked @ self.lists
+        rare = terms[at < 0]
+        ends = self.ends[rare]
+        sizes = ends - np.where(rare > 0, self.ends[rare - 1], 0)
+        rows = np.arange(int(sizes.sum())) + np.repeat(ends - np.cumsum(sizes), sizes)
+        return score + np.bincount(self.posted[rows], self.posted_weight[rows], len(self.left))
 
     def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
         """Unused documents, best BM25 score over all terms of the seed first; those that share none come last, in order."""
         self._unused(used)
-        if not len(self.left):
+        free = np.flatnonzero(~used[self.left])
+        if not len(free):
             return
-        terms = self.term[self.bounds[seed]: self.bounds[seed + 1]]
-        self.asked[terms] = True
-        term, weight, starts = self.open
-        # every document has its end id, so no part is empty
-        score = np.add.reduceat(np.where(self.asked[term], weight, 0.0), starts)
-        self.asked[terms] = False
-        free = ~used[self.left]
-        yield from self.left[free][np.argsort(-score[free], kind="stable")].tolist()
+        score = self.scores(seed)[free]
+        # a window seldom takes more; all others follow in order if it does
+        least = np.partition(score, len(score) - FEW)[len(score) - FEW] if len(score) > FEW else -np.inf
+        for some in (np.flatnonzero(score >= least), np.flatnonzero(score < least)):
+            yield from self.left[free[some]][np.argsort(-score[some], kind="stable")].tolist()
 
     def windows(self) -> Iterator[list[tuple[int, int, int]]]:
         """Sequences as lists of (document, start, length)."""

@@ -120,3 +120,49 @@ def test_all_terms_of_a_long_seed_count():
         used[want[: len(want) // 2]] = True
     used[:] = True
     assert list(shard.neighbours(0, used)) == []
+
+
+def slow_windows(docs, idf, mean):
+    """The greedy packer by its definition: the best unused neighbour of the seed next, what is cut off is the next seed."""
+    def score(a, b):
+        total = 0.0
+        for t in sorted(set(a.tolist()) & set(b.tolist())):
+            tf = int((b == t).sum())
+            total += idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(b) / mean))
+        return round(total, 9)
+
+    unused, out, window, room, seed = set(range(len(docs))), [], [], packing.WINDOW, None
+    while unused or seed:
+        if seed is None:
+            seed = min(unused), 0
+        doc, start = seed
+        unused.discard(doc)
+        queue = [seed, *((d, 0) for d in sorted(unused, key=lambda d: (-score(docs[doc], docs[d]), d)))]
+        seed = None
+        for d, s in queue:
+            unused.discard(d)
+            n = min(room, len(docs[d]) - s)
+            window.append((d, s, n))
+            room -= n
+            if not room:
+                out.append(window)
+                window, room = [], packing.WINDOW
+                seed = (d, s + n) if s + n < len(docs[d]) else None
+                break
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_windows_equal_a_slow_greedy_packer(monkeypatch, seed):
+    monkeypatch.setattr(packing, "WINDOW", 64)
+    monkeypatch.setattr(packing, "FEW", 5)
+    rng = np.random.default_rng(seed)
+    # a term of all documents, frequent and rare ones; short documents, some longer than a window
+    docs = [np.append(np.minimum(rng.geometric(0.02 * seed, rng.choice([0, 3, 20, 30, 200])), 398), 399) for _ in range(90)]
+    idf = rng.random(400) + 0.05
+    mean = float(np.mean([len(d) for d in docs]))
+    want = slow_windows(docs, idf, mean)
+    got = list(packing.Shard(docs, idf, mean).windows())
+    assert len(want) > 20 and got[: len(want)] == want
+    # the rest fills no window
+    assert sum(n for w in got[len(want):] for _, _, n in w) < 64
