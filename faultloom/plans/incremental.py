@@ -198,18 +198,21 @@ def sync_runs(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Runs to insert, the counts, and the state row of one sync.
 
-    ``store`` writes the runs. If it raises, the sync counts them as failed and
-    leaves no state row, so the next one takes them again. A repeated sync
-    inserts nothing twice, as runs already stored are left out.
+    ``store`` writes the runs. If it raises, the sync counts them as failed,
+    says why in a column ``error`` of the report and leaves no state row, so the next one
+    takes them again. A repeated sync inserts nothing twice, as runs already
+    stored are left out.
     """
     cutoff = sync_cutoff(state, pipeline_key, now, lookback_days, safety_minutes)
-    new, failed = runs_to_insert(runs, existing, cutoff, batch), 0
+    new, failed, error = runs_to_insert(runs, existing, cutoff, batch), 0, None
     if store is not None:
         how_many = new.count()
         try:
             store(new)
-        except Exception:
-            failed = how_many
+        except Exception as e:
+            failed, error = how_many, f"{type(e).__name__}: {e}"
     report = sync_report(runs, existing, cutoff, batch, failed)
+    if error:
+        report = report.withColumn("error", F.lit(error))
     fresh = sync_state(report, pipeline_key, now)
-    return new, report, fresh.limit(0) if failed else fresh
+    return new, report, fresh.limit(0) if error else fresh

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from faultloom.operators.events import events_exploded
@@ -89,22 +90,28 @@ def keep_latest_in(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_state(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
-    """The last compacted version (before batch ``upto``, if given) and the batches after it."""
+STATE_KEYS = "uniqueid string, dtc_code string, last_dtc_ts long, events long, batch_id int"
+
+
+def read_state(spark: SparkSession, path: str, upto: int | None = None, schema: str | T.StructType = STATE_KEYS) -> DataFrame:
+    """The last compacted version (before batch ``upto``, if given) and the batches after it.
+
+    Before the first batch this is an empty table of ``schema``.
+    """
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in files.listStatus(folder)]
-    done = {n.partition("=")[0]: [] for n in names} | {"batch_id": [], "compacted": []}
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    done: dict[str, list[int]] = {"batch_id": [], "compacted": []}
     for n in names:
         kind, _, number = n.partition("=")
         # a version without its marker is still being written
-        if number.isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")):
+        if kind in done and number.isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")):
             done[kind].append(int(number))
     base = max((n for n in done["compacted"] if upto is None or n < upto), default=-1)
     parts = [spark.read.parquet(f"{path}/batch_id={n}").withColumn("batch_id", F.lit(n)) for n in sorted(done["batch_id"]) if n > base]
     if base >= 0:
         parts.append(spark.read.parquet(f"{path}/compacted={base}"))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def latest_state(stored: DataFrame, keys: tuple[str, ...] = ("uniqueid", "dtc_code")) -> DataFrame:

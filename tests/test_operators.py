@@ -329,6 +329,67 @@ def test_trace_store(spark, tmp_path):
     assert (seen[0].new, seen[1].old) == (0, 0) and seen[0].old > 0 and seen[1].new > 0
 
 
+def test_trace_store_keeps_a_request_once(spark, tmp_path, monkeypatch):
+    """Requests twice in a batch, a batch that failed half-way and comes again under another name, many small appends."""
+    from faultloom.plans import trace_store
+    from testbed import traces as tb
+    from tests.conftest import SF
+
+    flat = tb.payloads(spark, SF).limit(40).persist()
+    total = flat.count()
+    store = trace_store.TraceStore(spark, str(tmp_path / "a"), fan=3)
+    one = flat.orderBy("request_id").limit(1)
+    newer = one.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR")).withColumn("query", F.lit("newer"))
+
+    def fails(*_args):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(trace_store.TraceStore, "_commit", fails)
+        with pytest.raises(OSError):
+            store.append(flat, "lost")
+    assert not store.has("trace_requests")
+    with pytest.raises(ValueError):
+        store.table("trace_requests")
+    store.append(one.union(newer).union(one), "first")
+    assert [r["query"] for r in store.payloads().collect()] == ["newer"]
+    assert store.table("trace_requests").count() == 1
+    for i in range(2):
+        store.append(flat.filter(F.pmod(F.xxhash64("request_id"), F.lit(2)) == i).union(one), f"b{i}")
+    requests = store.table("trace_requests")
+    assert requests.count() == total == requests.select("request_id").distinct().count()
+    assert {r[0] for r in requests.select("batch").distinct().collect()} == {"first", "b0", "b1"}
+    # three appends are one merged part
+    assert store._state().live[0][1] == len(store._state().live) == 1
+    assert len(requests.inputFiles()) <= 4
+    whole = trace_store.TraceStore(spark, str(tmp_path / "b"))
+    whole.append(flat.filter("request_id <> '{}'".format(one.first()["request_id"])).union(newer), "all")
+    for name in trace_store.TABLES:
+        assert store.table(name).count() == whole.table(name).count(), name
+        assert store.table(name).columns == whole.table(name).columns, name
+
+
+def test_readers_of_the_trace_store_see_one_commit(spark, tmp_path):
+    """A reader that began before a merge goes on with what it has; one that comes after sees each request once."""
+    from faultloom.plans.trace_store import TraceStore
+    from testbed import traces as tb
+    from tests.conftest import SF
+
+    flat = tb.payloads(spark, SF).limit(30).persist()
+    store = TraceStore(spark, str(tmp_path / "t"), fan=100)
+    for i in range(2):
+        store.append(flat.filter(F.pmod(F.xxhash64("request_id"), F.lit(2)) == i), f"b{i}")
+    before = store.table("trace_nodes")
+    n = before.count()
+    store.fan = 2
+    assert store.compact() == 1 and len(store._state().live) == 1
+    assert before.count() == n == store.table("trace_nodes").count()
+    assert len(store.table("trace_requests").inputFiles()) <= 4
+    day = store.table("trace_requests").filter("event_date = DATE '2024-01-01'")
+    assert "PushedFilters: [IsNotNull(event_date), EqualTo(event_date,2024-01-01)]" in day._jdf.queryExecution().toString()
+    assert store.compact() == 0
+
+
 def test_incremental_run_leaves_other_months_alone(spark, tmp_path):
     import os
 

@@ -103,3 +103,10 @@ def test_late_rows(spark, tmp_path, late, kept):
     stream = spark.readStream.schema(schemas.DTC_HISTORY).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     out = run(streams.append_to, streams.stream_episodes(streams.stream_events_exploded(stream, vm), 600, "2 hours"), tmp_path)
     assert out.filter(f"first_ts = {int(T0.timestamp()) + 60 * (60 * 48 - late)}").count() == int(kept)
+
+
+def test_state_before_the_first_batch_is_empty(spark, tmp_path):
+    assert streams.read_state(spark, str(tmp_path / "never")).count() == 0
+    (tmp_path / "begun" / "batch_id=0").mkdir(parents=True)
+    state = streams.read_state(spark, str(tmp_path / "begun"))
+    assert streams.latest_state(state).columns == ["uniqueid", "dtc_code", "last_dtc_ts", "events"] and state.count() == 0
