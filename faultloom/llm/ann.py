@@ -31,6 +31,8 @@ SAMPLE_ROWS, CALIBRATION_ROWS = 20_000, 200
 BRANCHES, LEAF_ROWS, ROUNDS = 12, 48, 8
 #: Share of true neighbours that must lie in the leaves visited.
 RECALL = 0.97
+#: Queries of a task that walks the tree.
+TASK_QUERIES = 128
 #: Rows and queries of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 2048
 SEED = 7
@@ -272,6 +274,9 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     rows_of = np.bincount(bins, index.sizes)
     shape = T.StructType([
         T.StructField("q_id", T.LongType()), T.StructField("q", queries.schema["v"].dataType), T.StructField("bin", T.LongType()), T.StructField("leaves", T.ArrayType(T.LongType()))])
+    # the traversal is heavy for its bytes, so queries are dealt by their number
+    queries = stored(queries)
+    queries = queries.repartition(max(1, math.ceil(queries.count() / TASK_QUERIES)))
     asked = stored(queries.mapInArrow(_visit(shared, index.visits, index.sizes, bins, k + 1), shape))
     # a row per bin says into how many parts its rows and its queries are cut
     asks = {r["bin"]: r["count"] for r in asked.groupBy("bin").count().collect()}

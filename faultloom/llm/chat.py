@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Turns of an output row; also the longest prefix rendered for a template of bounded context.
 SEGMENT = 16
 PROBES = ("a", "b")
+#: Segments that the check of a declared context looks back at most.
+REACH = 64
 
 Turn = tuple[str, str]
 
@@ -61,6 +64,8 @@ class Formatter:
     def __init__(self, template: Template, segment: int = SEGMENT):
         self.template, self.segment = template, segment
         self.window: list[Turn] = []
+        self.past: deque[Turn] = deque(maxlen=segment * REACH)
+        self.cuts = 0
         self.before, self.spans, self.text, self.size, self.rewrites = "", [], [], 0, 0
 
     def add(self, role: str, text: str) -> Iterator[tuple[str, list[Span], int]]:
@@ -82,11 +87,30 @@ class Formatter:
         self.size += len(added)
         self.window.append((role, text))
         self.before = after
+        if t.context is not None:
+            self.past.append((role, text))
         if t.context is not None and len(self.spans) >= self.segment:
+            self.check()
             yield self.cut()
             self.window = self.window[len(self.window) - t.context:]
             self.before = render(self.window) if self.window else ""
 
+    def check(self) -> None:
+        """Raises if the segment reads otherwise behind earlier turns, or changes them.
+
+        The first cut looks one segment back, every second one two, every
+        fourth one four, up to REACH: linear in the turns but for that factor's
+        logarithm, and only the last turns are held.
+        """
+        self.cuts += 1
+        n = min(self.segment * (1 + (self.cuts & -self.cuts)), len(self.past))
+        if n <= self.segment:
+            return
+        turns = list(self.past)[len(self.past) - n:]
+        before = self.template.render(turns[: n - self.segment])
+        if self.template.render(turns) != before + "".join(self.text):
+            raise ValueError("the template looks further back than its declared context")
+
     def cut(self) -> tuple[str, list[Span], int]:
         out = ("".join(self.text), self.spans, 0) if not self.rewrites else (self.before, [], self.rewrites)
         self.spans, self.text, self.size = [], [], 0
@@ -133,7 +157,8 @@ def formatted(
     repeated turns. Null role and text are empty; rows without a conversation
     are one conversation. Segments of a conversation follow one another by
     (part, seg). A template of bounded context is rendered over at most
-    ``segment`` turns and its context; if it needs no context, a conversation
+    ``segment`` turns and its context, and checked against renderings that reach
+    up to REACH segments further back; what differs raises. If it needs no context, a conversation
     may be cut anywhere and the turns of a long one are spread over tasks.
     With context=None a conversation is one segment, held whole; where the
     template rewrites history the text is that of the whole conversation,

@@ -90,3 +90,27 @@ def test_black_box_templates():
     assert rewrites == sum(r == "assistant" and t != "..." for r, t in turns[:-1])
     with pytest.raises(ValueError):
         spans_of(chat.Template(forgetful, context=0), turns, 16)
+
+
+@pytest.mark.parametrize("older", [16, 18, 40, 90])
+def test_rewriting_beyond_the_window_is_found(older):
+    def render(turns):
+        return "".join(f"<{r}>{'...' if i < len(turns) - older else t}</{r}>" for i, (r, t) in enumerate(turns))
+
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(200)]
+    with pytest.raises(ValueError):
+        spans_of(chat.Template(render, context=0), turns, 16)
+    # with any context the history is taken as it comes out
+    assert spans_of(chat.Template(render), turns, 16)
+
+
+def test_long_conversations_are_rendered_a_bounded_number_of_times():
+    seen = []
+
+    def render(turns):
+        seen.append(len(turns))
+        return chat.render_instructions(turns)
+
+    turns = [("user", f"text {i}") for i in range(4096)]
+    spans_of(chat.Template(render, context=0), turns, 16)
+    assert max(seen) <= 16 * chat.REACH and sum(seen) < 40 * len(turns)
