@@ -4,8 +4,9 @@ Rows are range-partitioned on (leading bytes, digest, id) at splitters that
 Spark samples, then sorted externally on the normalised bytes themselves, so
 equal texts lie next to each other. Neighbours are compared in full. The id is
 part of the range key: a text that a third of all rows share is spread over
-many tasks, and the sort follows the same order. Only the first and last run of a partition can go on in another
-one; these, two rows a partition, meet in a grouping on the full text.
+many tasks, and the sort follows the same order. Only the first and last run
+of a batch or partition can go on in another one; these, a row or two a batch,
+meet in a grouping on the full text.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from faultloom.llm.common import bytes_of, filled, stored, text_or_empty
 
 #: Bytes of a text that take part in a splitter; the digest and the id follow them.
 LEAD = 64
-#: Rows of a long run of equal texts that leave a task in one batch.
-OUT_ROWS = 65536
 
 
 def lowered(arr: pa.Array) -> pa.Array:
@@ -45,52 +44,37 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Runs:
-    """Numbers the runs of equal texts in a sorted stream of rows.
+    """Numbers the runs of equal texts in a sorted stream of rows, and holds none of them.
 
-    The rows of the open run wait, without their text, until it ends. They are
-    part of one partition, whose size the range partitioning bounds.
+    A run that may lie in more than one batch, or in more than one partition,
+    goes out in fragments marked ``edge``; the first row of each has the text.
     """
 
     def __init__(self, pid: int, schema: pa.Schema):
-        self.pid, self.schema, self.run, self.norm, self.first, self.open = pid, schema, -1, None, None, []
+        self.pid, self.schema, self.run, self.norm, self.head = pid, schema, -1, None, None
 
     def feed(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        norm = b.column(0)
-        inner = pc.not_equal(norm[1:], norm[:-1]).to_numpy(zero_copy_only=False) if len(norm) > 1 else np.zeros(0, bool)
-        runs = self.run + np.cumsum(np.concatenate([[self.norm is None or norm[0].as_py() != self.norm], inner]))
-        if self.first is None:
-            self.first = norm[0].as_py()
-        rest = pa.Table.from_batches([b.select(list(range(1, b.num_columns)))]).append_column("run", pa.array(runs))
-        if runs[-1] > self.run:
-            cut = int(np.searchsorted(runs, runs[-1]))
-            yield from self.emit(pa.concat_tables([*self.open, rest.slice(0, cut)]), False)
-            self.open, rest = [], rest.slice(cut)
-        self.open.append(rest)
-        self.run, self.norm = int(runs[-1]), norm[len(norm) - 1].as_py()
-
-    def end(self) -> Iterator[pa.RecordBatch]:
-        if self.open:
-            yield from self.emit(pa.concat_tables(self.open), True)
-
-    def emit(self, t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-        if not t.num_rows:
-            return
-        t = t.combine_chunks()
-        runs = t.column("run").to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
-        sizes = np.diff(np.append(starts, len(runs)))
-        head = np.zeros(len(runs), bool)
-        head[starts] = True
-        edge = (runs == 0) | last
-        texts = np.full(len(runs), None, object)
-        for i in np.flatnonzero(head & edge):
-            texts[i] = self.first if runs[i] == 0 else self.norm
-        ids = t.column(1)
+        norm, ids = b.column(0), b.column(2)
+        new = np.ones(b.num_rows, bool)
+        new[0] = self.norm is None or norm[0].as_py() != self.norm
+        if b.num_rows > 1:
+            new[1:] = pc.not_equal(norm[1:], norm[:-1]).to_numpy(zero_copy_only=False)
+        runs = self.run + np.cumsum(new)
+        first = new.copy()
+        first[0] = True
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.append(starts, b.num_rows))
+        # the first run of a partition, one that goes on from the last batch, and the last one so far
+        edge = (runs == runs[-1]) | (runs == 0) | (runs == self.run)
+        texts = [norm[i].as_py() if f and e else None for i, (f, e) in enumerate(zip(first.tolist(), edge.tolist(), strict=True))]
+        heads = ids.take(pa.array(np.repeat(starts, sizes)))
+        if not new[0]:
+            heads = pa.concat_arrays([pa.array([self.head] * int(sizes[0]), heads.type), heads.slice(int(sizes[0]))])
         out = [
-            ids, pa.array(np.full(len(runs), self.pid, np.int32)), pa.array(runs), pa.array(np.repeat(sizes, sizes)),
-            ids.take(pa.array(np.repeat(starts, sizes))), pa.array(head), pa.array([x.hex() for x in t.column(0).to_pylist()], pa.string()),
-            pa.array(edge), pa.array(texts, pa.binary()), *t.columns[2:-1]]
-        yield from pa.table(out, schema=self.schema).to_batches(OUT_ROWS)
+            ids, pa.array(np.full(b.num_rows, self.pid, np.int32)), pa.array(runs), pa.array(np.repeat(sizes, sizes)), heads, pa.array(new),
+            pa.array([x.hex() for x in b.column(1).to_pylist()], pa.string()), pa.array(edge), pa.array(texts, pa.binary()), *b.columns[3:]]
+        self.run, self.norm, self.head = int(runs[-1]), norm[b.num_rows - 1].as_py(), heads[b.num_rows - 1].as_py()
+        yield pa.RecordBatch.from_arrays(out, schema=self.schema)
 
 
 def _run_numbers(schema: pa.Schema):
@@ -101,7 +85,6 @@ def _run_numbers(schema: pa.Schema):
         for b in batches:
             if b.num_rows:
                 yield from runs.feed(b)
-        yield from runs.end()
 
     return run
 
@@ -140,10 +123,10 @@ def exact_groups(
         T.StructField("edge_text", T.BinaryType()), *extra])
     numbered = stored(ranged.mapInArrow(_run_numbers(to_arrow_schema(shape)), shape))
     heads = numbered.filter(F.col("edge_text").isNotNull())
-    # the runs at partition edges, in full: two a partition at most
+    # fragments of runs at the edges of partitions and batches, in full: a few a batch at most
     whole = heads.groupBy("edge_text").agg(
         F.sum("n").alias("all_n"), F.min_by("head", "pid").alias("all_head"), F.min("pid").alias("first_pid"),
-        F.collect_list(F.struct("pid", "run")).alias("runs"))
+        F.collect_set(F.struct("pid", "run")).alias("runs"))
     whole = whole.select("all_n", "all_head", "first_pid", F.explode("runs").alias("r")).select(
         F.col("r.pid").alias("pid"), F.col("r.run").alias("run"), "all_n", "all_head", "first_pid", F.lit(True).alias("edge"))
     joined = numbered.drop("edge_text").join(whole, ["pid", "run", "edge"], "left")

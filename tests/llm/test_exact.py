@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import string
 from collections import defaultdict
 
@@ -51,3 +52,24 @@ def test_empty_and_row(spark):
     df = spark.createDataFrame([("a", 1, 5), ("A", 2, 6)], "text string, doc_id long, kept int")
     got = exact_groups(df, row=True).filter("kept").select("row.*").collect()
     assert [tuple(r) for r in got] == [("a", 1, 5)]
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_runs_over_many_batches_and_partitions(spark, keep):
+    """A run goes on over batches and partitions; no row waits for its end."""
+    rng = random.Random(2)
+    rows = [("Same text", i) for i in range(700)] + [(f"t{rng.randrange(60)}", 1000 + i) for i in range(400)] + [(None, 5000), ("", 5001), ("same TEXT", 300)]
+    rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = exact_groups(spark.createDataFrame([(t, k, 1) for t, k in rows], "text string, doc_id long, run int").repartition(6), keep=keep, row=True).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    groups = {}
+    for t, k in rows:
+        groups.setdefault((t or "").lower(), []).append(k)
+    pick = min if keep == "smallest" else max
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == sorted((k, pick(ks), len(ks)) for ks in groups.values() for k in ks)
+    assert sorted(r.doc_id for r in got if r.kept) == sorted(pick(ks) for ks in groups.values())
+    assert all(r.row.doc_id == r.doc_id and (r.row.text or "").lower() in groups for r in got)
