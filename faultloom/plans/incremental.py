@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,15 +49,42 @@ def record_run(spark, folder: str, pipeline: str, window: Window, rows: int, sta
                        f"{folder}/cdc_checkpoint")
 
 
-def impacted_vehicles(vfm: DataFrame, changed_events: DataFrame, changed_cycles: DataFrame, params: Params) -> DataFrame:
+def master_digests(vehicles: DataFrame, codes: DataFrame) -> DataFrame:
+    """(kind, key, digest) of every vehicle and code of the master tables."""
+    of = lambda df, kind, key: df.select(
+        F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.xxhash64(F.to_json(F.struct(*[f"`{c}`" for c in sorted(df.columns)]))).alias("digest"))
+    return of(vehicles, "vehicle", "uniqueid").unionByName(of(codes, "code", "dtc_code"))
+
+
+def changed_masters(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(kind, key) that came, went or read otherwise between two snapshots."""
+    a, b = old.alias("a"), new.alias("b")
+    same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.key") == F.col("b.key"))
+    return a.join(b, same, "full_outer").filter(~F.col("a.digest").eqNullSafe(F.col("b.digest"))).select(
+        F.coalesce("a.kind", "b.kind").alias("kind"), F.coalesce("a.key", "b.key").alias("key"))
+
+
+def impacted_vehicles(
+    vfm: DataFrame, changed_events: DataFrame, changed_cycles: DataFrame, params: Params, previous_as_of: int | None = None, masters: DataFrame | None = None,
+) -> DataFrame:
     """Vehicles whose fault rows may differ at the new ``as_of``.
 
     Besides new messages and new engine cycles: an open episode may cross the
-    cutoff without any new row, and an episode may leave the analysed window.
+    cutoff without any new row, an episode may leave the analysed window, and
+    ``masters`` (kind, key) names vehicles and codes whose master data changed.
+    With ``previous_as_of`` only open episodes between the old and the new
+    cutoff count as crossing.
     """
-    stale = vfm.filter((F.col("is_resolved") == 0) | (F.col("first_ts") <= params.since_ts))
-    ids = [df.select(F.col("uniqueid").cast("string").alias("uniqueid")) for df in (changed_events, changed_cycles, stale)]
-    return ids[0].unionByName(ids[1]).unionByName(ids[2]).distinct()
+    crossing = F.col("is_resolved") == 0
+    if previous_as_of is not None:
+        crossing &= (F.col("last_ts") > previous_as_of - params.cutoff) & (F.col("last_ts") <= params.cutoff_ts)
+    stale = vfm.filter(crossing | (F.col("first_ts") <= params.since_ts))
+    found = [df.select(F.col("uniqueid").cast("string").alias("uniqueid")) for df in (changed_events, changed_cycles, stale)]
+    if masters is not None:
+        found.append(masters.filter("kind = 'vehicle'").select(F.col("key").alias("uniqueid")))
+        codes = masters.filter("kind = 'code'").select(F.col("key").alias("dtc_code"))
+        found.append(vfm.join(codes, "dtc_code", "left_semi").select("uniqueid"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def rebuild_impacted(
@@ -79,13 +107,14 @@ def run_incremental(
     """One run over the tables in ``folder``: the fault master brought to ``params.as_of``.
 
     The first run builds it whole. Later ones take the change window from the
-    checkpoint, recompute the vehicles it touches, and overwrite only the
-    months in which those have or had rows; a month that is left without rows
-    goes. What is written is staged first, so a run that fails leaves the table
+    checkpoint, recompute the vehicles that it or a change of the master data
+    touches, and overwrite only the months in which those have or had rows; a
+    month that is left without rows goes. Digests of the master rows are kept
+    beside the table for this; without them every vehicle is recomputed. What is written is staged first, so a run that fails leaves the table
     as it was, up to whole months, and the checkpoint where it was.
     """
     path, layout = f"{folder}/vehicle_fault_master", writers.layouts()["vehicle_fault_master"]
-    log = f"{folder}/cdc_checkpoint"
+    log, masters = f"{folder}/cdc_checkpoint", f"{folder}/master_digests"
     checkpoints = spark.read.parquet(log) if writers.exists(spark, log) else None
     window = cdc_window(checkpoints, pipeline, params.as_of, replay_hours, params.window_days)
     if checkpoints is None:
@@ -97,7 +126,9 @@ def run_incremental(
         changed = within(history, "ts", window.since_ts, window.until_ts)
         moved = cycles.filter((F.col("cycle_ts") > window.since_ts) & (F.col("cycle_ts") <= window.until_ts))
         staged = run_folder(spark)
-        impacted_vehicles(old, changed, moved, params).write.parquet(f"{staged}/ids")
+        before = spark.read.parquet(masters) if writers.exists(spark, masters) else spark.createDataFrame([], "kind string, key string, digest long")
+        touched_by = changed_masters(before, master_digests(vehicles, codes))
+        impacted_vehicles(old, changed, moved, params, window.since_ts + replay_hours * 3600, touched_by).write.parquet(f"{staged}/ids")
         ids = spark.read.parquet(f"{staged}/ids")
         of = lambda df: df.join(ids, "uniqueid", "left_semi")
         vm = of(vehicles)
@@ -113,6 +144,8 @@ def run_incremental(
         writers.rebuild(whole.drop(month), path, layout, only_touched_partitions=True)
         for gone in touched - months(whole):
             writers.drop_partition(spark, path, month, gone)
+    # after the rows: a run that fails before this sees the change again
+    master_digests(vehicles, codes).write.mode("overwrite").parquet(masters)
     table = spark.read.parquet(path)
     record_run(spark, folder, pipeline, window, table.count())
     return table

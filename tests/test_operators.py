@@ -418,3 +418,40 @@ def test_incremental_run_leaves_other_months_alone(spark, tmp_path):
     want = vehicle_fault_master(events_exploded(of(every), vm, p(63)), cycles, vm, codes, p(63))
     assert rows(got, *FAULT_COLUMNS) == rows(want, *FAULT_COLUMNS)
     assert spark.read.parquet(f"{folder}/cdc_checkpoint").count() == 2
+
+
+def test_incremental_run_takes_changed_masters(spark, tmp_path):
+    """A renamed customer, a changed severity, a vehicle that comes and one that goes: equal to a full build, other months untouched."""
+    import os
+
+    from faultloom import schemas
+    from faultloom.operators.events import events_exploded
+    from faultloom.operators.fault_master import FAULT_COLUMNS, vehicle_fault_master
+    from faultloom.params import Params
+
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    sec = lambda n: int(day(n).timestamp())
+    master = lambda **names: spark.createDataFrame(
+        [("T", v, v, c, "m", 2000, "t", "obd_solution", 0.0) for v, c in names.items()],
+        "clientLoginId string, uniqueid string, vehicle_number string, customer_name string, model string, manufacturing_year int, vehicle_type string, solutionType string, tank_capacity double")
+    codes = lambda severity: readers.build_dtc_master(spark.createDataFrame([("P1", 3), ("P2", severity)], "dtc_code string, severity_level int"))
+    # quiet vehicles: Q in January (resolved), R renamed in February, S has the changed code in March, O is open since January
+    said = [("Q", 5, "P1"), ("R", 40, "P1"), ("S", 62, "P2"), ("N", 41, "P1"), ("G", 42, "P1"), ("O", 6, "P1")]
+    history = spark.createDataFrame([(v, day(n), [c], 0.0, 0.0, None) for v, n, c in said], schemas.DTC_HISTORY)
+    cycles = spark.createDataFrame([(v, sec(n)) for v, n in (("Q", 9), ("R", 44), ("S", 65))], "uniqueid string, cycle_ts long")
+    p = lambda n: Params(as_of=sec(n))
+    folder = str(tmp_path / "w")
+    incremental.run_incremental(spark, folder, history, cycles, master(Q="C", R="C", S="C", G="C", O="C"), codes(1), p(70))
+    files = lambda m: sorted((f, os.stat(f"{folder}/vehicle_fault_master/event_month={m}/{f}").st_mtime_ns) for f in os.listdir(f"{folder}/vehicle_fault_master/event_month={m}"))
+    january = files(202401)
+    vm, dm = master(Q="C", R="renamed", S="C", N="C", O="C"), codes(4)
+    got = incremental.run_incremental(spark, folder, history, cycles, vm, dm, p(71))
+    want = vehicle_fault_master(events_exploded(history, vm, p(71)), cycles, vm, dm, p(71))
+    assert rows(got, *FAULT_COLUMNS) == rows(want, *FAULT_COLUMNS)
+    assert {r.uniqueid for r in got.collect()} == {"Q", "R", "S", "N", "O"}
+    # neither the resolved nor the long open vehicle of January was recomputed
+    assert files(202401) == january
+    # and once nothing changes, nothing is
+    before = {m: files(m) for m in (202401, 202402, 202403)}
+    incremental.run_incremental(spark, folder, history, cycles, vm, dm, p(72))
+    assert {m: files(m) for m in before} == before
