@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from faultloom.operators.events import events_exploded
 from faultloom.operators.fault_master import FAULT_COLUMNS, vehicle_fault_master
 from faultloom.params import DAY, Params
+from faultloom.plans.upkeep import keep_rollups, note_changes
 from faultloom.session import run_folder
 from faultloom.sources import writers
 from faultloom.sources.readers import _filled, latest_by_key, within
@@ -117,11 +118,13 @@ def run_incremental(
     log, masters = f"{folder}/cdc_checkpoint", f"{folder}/master_digests"
     checkpoints = spark.read.parquet(log) if writers.exists(spark, log) else None
     window = cdc_window(checkpoints, pipeline, params.as_of, replay_hours, params.window_days)
+    built = vehicle_fault_master(events_exploded(history, vehicles, params), cycles, vehicles, codes, params)
+    # a table that lost all its rows has no file to take the schema from
+    schema = built.withColumn(layout.partition, layout.partition_expr).schema
     if checkpoints is None:
-        built = vehicle_fault_master(events_exploded(history, vehicles, params), cycles, vehicles, codes, params)
         writers.write_partitioned(built, path, layout)
     else:
-        old = spark.read.parquet(path)
+        old = spark.read.schema(schema).parquet(path)
         month = layout.partition
         changed = within(history, "ts", window.since_ts, window.until_ts)
         moved = cycles.filter((F.col("cycle_ts") > window.since_ts) & (F.col("cycle_ts") <= window.until_ts))
@@ -141,16 +144,26 @@ def run_incremental(
         whole = kept.select(*FAULT_COLUMNS).unionByName(fresh.select(*FAULT_COLUMNS))
         writers.write_partitioned(whole, f"{staged}/months", layout)
         whole = spark.read.schema(old.schema).parquet(f"{staged}/months")
+        note_changes(spark, folder, old, ids)
         writers.rebuild(whole.drop(month), path, layout, only_touched_partitions=True)
         for gone in touched - months(whole):
             writers.drop_partition(spark, path, month, gone)
     # after the rows: a run that fails before this sees the change again
     master_digests(vehicles, codes).write.mode("overwrite").parquet(masters)
-    table = spark.read.parquet(path)
+    table = spark.read.schema(schema).parquet(path)
     record_run(spark, folder, pipeline, window, table.count())
     return table
 
 
+def run_rollups(
+    spark, folder: str, history: DataFrame, cycles: DataFrame, vehicles: DataFrame, codes: DataFrame, params: Params,
+    buckets: int = 64, **options,
+) -> dict[str, DataFrame]:
+    """One incremental run of the fault master and of the roll-ups above it, by name."""
+    vfm = run_incremental(spark, folder, history, cycles, vehicles, codes, params, **options)
+    return keep_rollups(spark, folder, vfm, vehicles, codes, params, buckets)
+
+
 def sync_cutoff(state: DataFrame | None, pipeline_key: str, now, lookback_days: int = 14, safety_minutes: int = 5):
     """Start of the sync: last synced time minus the safety overlap, else the lookback."""
     from datetime import timedelta
