@@ -140,6 +140,30 @@ def trace_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("len") % 50 / 10.0).alias("latency_sec"), "c", "t", "role", "x")
 
 
+def run_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run records as lines of JSON: some with a score that is no number, some with
+    a field more, some cut off, some that are no objects."""
+    c, t = _ids()
+    runs = trace_runs(spark, sf_dir)
+    whole = F.to_json(F.struct("id", "start_time", "inputs", "outputs", "extra"))
+    drifted = F.when(t % 5 == 1, F.regexp_replace(whole, r'"final_score":[0-9.E-]+', '"final_score":"high"')).otherwise(whole)
+    wider = F.when(t % 3 == 0, F.concat(F.lit('{"cost":7,'), F.substr(drifted, F.lit(2)))).otherwise(drifted)
+    return runs.select(
+        F.when(c % 13 == 0, F.substr(wider, F.lit(1), F.length(wider) - 5)).when(c % 13 == 1, F.concat(F.lit("["), wider, F.lit("]")))
+        .otherwise(wider).alias("value"))
+
+
+def question_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of question files, each a JSON array of the questions of 50 conversations in order."""
+    folder = f"{run_folder(spark)}/questions"
+    asked = eval_questions(spark, sf_dir).withColumn("file", F.floor(F.col("position") / 5000))
+    item = F.to_json(F.struct("id", "question", "expected_intent", "expected_tools", "expected_output_contains"))
+    inside = F.array_sort(F.collect_list(F.struct("position", item.alias("item"))))["item"]
+    files = asked.groupBy("file").agg(F.concat(F.lit("["), F.array_join(inside, ","), F.lit("]")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flattened run payloads with the service's side columns, as stored."""
     return store(spark, sf_dir).payloads().drop("batch", "event_date")
