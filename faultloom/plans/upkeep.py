@@ -20,11 +20,14 @@ fails is repeated by the next one with the same differences in sight.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from faultloom.operators import rollups
 from faultloom.params import Params
@@ -143,6 +146,14 @@ def _build(name: str, vfm: DataFrame, stats: DataFrame, vehicles: DataFrame, cod
     }[name]()
 
 
+def _together(spark: SparkSession, jobs: Iterable[Callable[[], None]]) -> None:
+    """Run independent small jobs side by side; all end before the first error is raised."""
+    with ThreadPoolExecutor(4) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    for job in started:
+        job.result()
+
+
 def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     path = run_folder(spark)
     df.write.parquet(path)
@@ -177,8 +188,9 @@ def keep_rollups(
     if last is None or last["signature"] != signature:
         writers.write_partitioned(stats, path("vehicle_code_stats"), layouts["vehicle_code_stats"])
         stats = read("vehicle_code_stats")
-        for name in ROLLUPS[:-1]:
-            writers.write_partitioned(_build(name, vfm, stats, vehicles, codes, params), path(name), layouts[name])
+        _together(
+            spark, (lambda name=name: writers.write_partitioned(_build(name, vfm, stats, vehicles, codes, params), path(name), layouts[name])
+                    for name in ROLLUPS[:-1]))
     else:
         touched = _stored(spark, ids.select("uniqueid").unionByName(drifted(vfm, replace(params, as_of=last["as_of"]), params)).distinct())
         before = read("vehicle_code_stats")
@@ -209,9 +221,13 @@ def keep_rollups(
             "maintenance_priority": (touched, among(vfm, touched), fresh, vehicles),
             "vehicle_health_summary": (touched, vfm, fresh, among(vehicles, touched)),
         }
-        for name, (unit, rows, of_units, vm) in units.items():
-            df = _build(name, rows, of_units, vm, codes, params)
-            replace_units(path(name), table(name), layouts[name], unit, among(df, unit))
+
+        def bring_forward(name: str) -> None:
+            unit, rows, of_units, vm = units[name]
+            fresh_units = among(_build(name, rows, of_units, vm, codes, params), unit)
+            replace_units(path(name), table(name), layouts[name], unit, fresh_units)
+
+        _together(spark, (lambda name=name: bring_forward(name) for name in units))
         replace_units(path("vehicle_code_stats"), table("vehicle_code_stats"), layouts["vehicle_code_stats"], touched, fresh)
     n = 0 if last is None else last["n"] + 1
     entry = spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(params.as_of).cast("long").alias("as_of"), F.lit(signature).alias("signature"))
