@@ -11,6 +11,7 @@ from faultloom.functions.scoring import (
 )
 from faultloom.operators.episodes import resolved_episodes
 from faultloom.params import Params
+from faultloom.session import stored
 
 FAULT_COLUMNS = [
     "episode_id", "clientLoginId", "uniqueid", "vehicle_number", "customer_name", "model", "manufacturing_year",
@@ -25,10 +26,21 @@ def episode_risk(severity: str = "dm_severity"):
     return severity_multiplier(severity) * duration_factor("resolution_time_sec") * recurrence_factor("ep_count")
 
 
+def occurring(codes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The codes that ``rows`` name.
+
+    Most rows name a few codes of a long list. The exchange of its own lets
+    adaptive execution measure what is left of the list, and broadcast it if it
+    is small instead of dealing all rows by code.
+    """
+    named = rows.select("dtc_code").distinct()
+    return codes.join(named, "dtc_code", "left_semi").repartition("dtc_code")
+
+
 def vehicle_risk(episodes: DataFrame, codes: DataFrame) -> DataFrame:
     """Risk of every vehicle with an open episode."""
     rated = episodes.filter("is_resolved = 0").join(
-        codes.select("dtc_code", F.col("severity_level").alias("dm_severity")), "dtc_code", "left")
+        occurring(codes.select("dtc_code", F.col("severity_level").alias("dm_severity")), episodes), "dtc_code", "left")
     return rated.groupBy("uniqueid").agg(F.sum(episode_risk()).alias("risk"))
 
 
@@ -46,7 +58,7 @@ def fault_master_from_episodes(
         F.col("driver_related").alias("dm_driver"))
     vm = vehicles.select(
         "clientLoginId", "uniqueid", "vehicle_number", "customer_name", "model", "manufacturing_year")
-    rated = episodes.join(dm, "dtc_code", "left")
+    rated = episodes.join(occurring(dm, episodes), "dtc_code", "left")
     vm = vm.join(vehicle_risk(episodes, codes), "uniqueid", "left")
     flags = [c.alias(n) for n, c in issue_flags("dm_system", "dm_subsystem").items()]
     return rated.join(vm, "uniqueid").select(
@@ -64,4 +76,6 @@ def fault_master_from_episodes(
 def vehicle_fault_master(
     events: DataFrame, cycles: DataFrame, vehicles: DataFrame, codes: DataFrame, params: Params,
 ) -> DataFrame:
-    return fault_master_from_episodes(resolved_episodes(events, cycles, params), vehicles, codes, params)
+    """The fault table of some events. The episodes are stored first, as risk and fault rows both read them."""
+    episodes = stored(resolved_episodes(events, cycles, params))
+    return fault_master_from_episodes(episodes, vehicles, codes, params)

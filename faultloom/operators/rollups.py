@@ -15,6 +15,7 @@ from faultloom.functions.scoring import (
     count_where, duration_factor, fault_trend, has_lasted, health_score, heaviest, is_open, is_severe,
     mean_positive, recurrence_factor, severity_multiplier,
 )
+from faultloom.operators.fault_master import occurring
 from faultloom.params import Params
 from faultloom.sources.readers import latest_by_key
 
@@ -155,7 +156,8 @@ def maintenance_candidates(vfm: DataFrame, stats: DataFrame, codes: DataFrame) -
     actions = codes.select("dtc_code", F.col("action_required").alias("recommended_action"))
     eps = F.coalesce("eps_30", F.lit(0))
     score = severity_multiplier("severity_level") * duration_factor("resolution_time_sec") * (1.0 + eps)
-    return vfm.filter(is_open()).join(recent, ["uniqueid", "dtc_code"], "left").join(actions, "dtc_code", "left").select(
+    open_ = vfm.filter(is_open())
+    return open_.join(recent, ["uniqueid", "dtc_code"], "left").join(occurring(actions, open_), "dtc_code", "left").select(
         "clientLoginId", "uniqueid", "vehicle_number", "dtc_code", "description", "severity_level",
         F.col("resolution_time_sec").alias("fault_duration_sec"), eps.alias("episodes_last_30_days"),
         score.alias("maintenance_priority_score"),

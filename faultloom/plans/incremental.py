@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultloom.operators.episodes import resolved_episodes
 from faultloom.operators.events import events_exploded
-from faultloom.operators.fault_master import FAULT_COLUMNS, vehicle_fault_master
+from faultloom.operators.fault_master import FAULT_COLUMNS, fault_master_from_episodes, vehicle_fault_master
 from faultloom.params import DAY, Params
 from faultloom.plans.upkeep import keep_rollups, note_changes
-from faultloom.session import run_folder
+from faultloom.session import run_folder, stored
 from faultloom.sources import writers
 from faultloom.sources.readers import _filled, latest_by_key, within
 
@@ -93,7 +94,7 @@ def rebuild_impacted(
     codes: DataFrame, params: Params,
 ) -> DataFrame:
     """The fault master with the impacted vehicles recomputed and the others kept."""
-    ids = impacted.select("uniqueid").distinct()
+    ids = stored(impacted.select("uniqueid").distinct())
     of = lambda df: df.join(ids, "uniqueid", "left_semi")
     vm = of(vehicles)
     fresh = vehicle_fault_master(events_exploded(of(history), vm, params), of(cycles), vm, codes, params)
@@ -118,11 +119,12 @@ def run_incremental(
     log, masters = f"{folder}/cdc_checkpoint", f"{folder}/master_digests"
     checkpoints = spark.read.parquet(log) if writers.exists(spark, log) else None
     window = cdc_window(checkpoints, pipeline, params.as_of, replay_hours, params.window_days)
-    built = vehicle_fault_master(events_exploded(history, vehicles, params), cycles, vehicles, codes, params)
+    events = events_exploded(history, vehicles, params)
     # a table that lost all its rows has no file to take the schema from
-    schema = built.withColumn(layout.partition, layout.partition_expr).schema
+    schema = fault_master_from_episodes(resolved_episodes(events, cycles, params), vehicles, codes, params).withColumn(
+        layout.partition, layout.partition_expr).schema
     if checkpoints is None:
-        writers.write_partitioned(built, path, layout)
+        writers.write_partitioned(vehicle_fault_master(events, cycles, vehicles, codes, params), path, layout)
     else:
         old = spark.read.schema(schema).parquet(path)
         month = layout.partition

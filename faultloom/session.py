@@ -7,6 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffled bytes that one task reads.
+TASK_BYTES = "8m"
+#: Measured bytes up to which a side of a join is broadcast; its hash table takes a multiple.
+BROADCAST_BYTES = "1m"
+
 
 def build_session(app: str = "faultloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
@@ -20,7 +25,27 @@ def build_session(app: str = "faultloom", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return measured(builder.getOrCreate())
+
+
+def measured(spark: SparkSession) -> SparkSession:
+    """Settings for tables of any size, on any session.
+
+    A side of a join is broadcast by the bytes it is measured to have after its
+    shuffle, not by file sizes: a compressed file holds many times its size,
+    and such guesses would pass through the driver.
+    A task after a shuffle reads a few MB, as its sorts and hash tables hold a
+    multiple of them each.
+    """
+    conf = spark.conf
+    conf.set("spark.sql.session.timeZone", "UTC")
+    if conf.get("spark.sql.adaptive.enabled") != "true":
+        return spark
+    if conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1":
+        conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", BROADCAST_BYTES)
+        conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,6 +72,13 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/faultloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = run_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages survive the loss of executors and
     see fixed rows in fixed partitions."""

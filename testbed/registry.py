@@ -21,7 +21,7 @@ from faultloom.operators import (
 )
 from faultloom.params import Params
 from faultloom.plans import incremental
-from faultloom.session import run_folder
+from faultloom.session import measured, run_folder, stored
 from faultloom.sources import readers, run_lines, writers
 from faultloom.streaming import backfill, engine_episodes, streams
 from testbed import traces as tb
@@ -65,8 +65,7 @@ def plain(df: DataFrame, digits: int = 4) -> DataFrame:
 
 def reg(name: str, fn: Callable[[SparkSession, str], DataFrame], oracle: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return plain(fn(spark, sf_dir))
+        return plain(fn(measured(spark), sf_dir))
 
     QUERIES[name] = run
     if oracle:
@@ -215,7 +214,8 @@ reg("a14_duplicate_keys", lambda s, d: quality.duplicate_keys({n: warehouse(s, d
 
 
 def _report(s: SparkSession, d: str) -> DataFrame:
-    scored = evaluation.score_questions(tb.eval_questions(s, d), tb.eval_results(s, d))
+    # stored: the summary and the rows of the report both read the scores
+    scored = stored(evaluation.score_questions(tb.eval_questions(s, d), tb.eval_results(s, d)))
     folder = run_folder(s)
     writers.write_eval_report(evaluation.eval_summary(scored), scored, folder, {"model_name": "m1"})
     return writers.read_eval_report(s, folder, T.StructType([
@@ -528,7 +528,8 @@ reg("c20_vehicle_fault_master", _fault_master, f"SELECT {_VFM_COLS} FROM vfm")
 def _batch(s: SparkSession, d: str) -> DataFrame:
     """The batch variant's input: events with code texts and unusable rows."""
     w = warehouse(s, d)
-    rows = w.events.join(w.dm.select("dtc_code", "description", "severity_level", "subsystem", "system"), "dtc_code", "left")
+    codes = w.dm.select("dtc_code", "description", "severity_level", "subsystem", "system")
+    rows = w.events.join(fault_master.occurring(codes, w.events), "dtc_code", "left")
     good = rows.select(
         "uniqueid", F.col("ts").cast("string").alias("ts"), "dtc_code", F.col("dtc_code").alias("code"), "dtc_pgn",
         F.when(F.col("lat") != 0, F.col("lat")).alias("lat"), "lng", "description", "severity_level", "subsystem", "system")
