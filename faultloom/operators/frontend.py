@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultloom.functions.numbering import number_globally
 from faultloom.functions.scoring import count_where
 from faultloom.operators import dashboard
+from faultloom.session import stored
 
 
 def customer_totals(w, limit: int = 50) -> DataFrame:
@@ -88,28 +89,38 @@ WINDOW = 1024
 KEY_LENGTHS = (64, 32, 16, 8, 4, 2, 1)
 
 
+#: Most beginnings of names that are looked up without dealing the places of the texts; a few MB.
+FEW_KEYS = 200_000
+
+
 def _found(texts: DataFrame, names: DataFrame) -> DataFrame:
     """The names that occur in each text (id, low), as an array per id.
 
     Texts are cut into overlapping windows, so a long one is spread over rows.
-    Every position of a window gives one key for each key length that some name
-    has; keys meet the names in an equi-join without the text, and only the
-    windows that a candidate names are then tested for the whole name.
+    Every place of a window gives a hash of its next characters for each key
+    length that some name has. Where names begin so, the place is cut to the
+    lengths of these names, and what was cut meets the names in an equi-join:
+    how many names begin alike does not count. A hash that two beginnings or
+    two windows share costs a look, as whole names are compared in the end.
     """
     length = F.length("identity")
     size = F.coalesce(*[F.when(length >= n, F.lit(n)) for n in KEY_LENGTHS])
-    names = names.filter(length > 0).withColumn("key", F.substring("identity", F.lit(1), size))
-    sizes = names.select(F.collect_set(F.length("key"))).scalar()
-    longest = names.select(F.coalesce(F.max(length), F.lit(1))).scalar()
+    names = names.filter(length > 0).distinct()
+    begin = stored(names.groupBy(size.alias("size"), F.xxhash64(F.substring("identity", F.lit(1), size)).alias("key")).agg(
+        F.collect_set(length).alias("lengths")))
+    seen = begin.agg(F.count("*"), F.collect_set("size"), F.max(F.array_max("lengths"))).first()
+    begins, sizes, longest = seen[0], sorted(seen[1]), seen[2] or 1
     starts = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)), F.lit(WINDOW))
-    windows = texts.select("id", "low", longest.alias("longest")).select("id", F.posexplode(F.transform(
-        starts, lambda i: F.substring("low", i, F.col("longest") + (WINDOW - 1)))).alias("w", "part"))
-    places = F.sequence(F.lit(1), F.greatest(F.least(F.length("part"), F.lit(WINDOW)), F.lit(1)))
-    keys = F.flatten(F.transform("sizes", lambda n: F.transform(places, lambda i: F.substring("part", i, n))))
-    keyed = windows.withColumn("sizes", sizes).select("id", "w", F.explode(F.array_distinct(keys)).alias("key"))
-    wanted = keyed.join(names, "key").drop("key").distinct()
-    hits = wanted.join(windows, ["id", "w"]).filter(F.contains("part", "identity"))
-    return hits.select("id", F.struct("identity", "alias", "kind").alias("n")).distinct().groupBy("id").agg(F.collect_list("n").alias("found"))
+    windows = texts.select("id", F.posexplode(F.transform(
+        starts, lambda i: F.substring("low", i, F.lit(longest + WINDOW - 1)))).alias("w", "part")).select(
+            F.xxhash64("id", "w").alias("window"), "id", "part")
+    places = windows.select("window", "part", F.explode(
+        F.sequence(F.lit(1), F.greatest(F.least(F.length("part"), F.lit(WINDOW)), F.lit(1)))).alias("at"))
+    keys = [F.struct(F.lit(n).alias("size"), F.xxhash64(F.substring("part", F.col("at"), F.lit(n))).alias("key")) for n in sizes or [1]]
+    keyed = places.select("window", "at", F.explode(F.array(*keys)).alias("k")).select("window", "at", "k.*")
+    hits = keyed.join(F.broadcast(begin) if begins <= FEW_KEYS else begin, ["size", "key"]).select("window", "at", F.explode("lengths").alias("n"))
+    cut = hits.join(windows, "window").select("id", F.substring("part", F.col("at"), F.col("n")).alias("identity")).distinct()
+    return cut.join(names, "identity").groupBy("id").agg(F.collect_list(F.struct("identity", "alias", "kind")).alias("found"))
 
 
 def mask_text(df: DataFrame, text_col: str, customers: DataFrame, vehicles: DataFrame, out: str = "masked") -> DataFrame:
