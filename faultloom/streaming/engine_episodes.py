@@ -9,7 +9,9 @@ that no message can extend any more is given out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,15 @@ EPISODE = "uniqueid string, dtc_code string, first_ts long, last_ts long, occurr
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
+def _summed(rows: Iterable[tuple]) -> list[tuple[int, int, str, int]]:
+    """(ts, kind, dtc_code, n) in order, equal places as one."""
+    sums: dict[tuple[int, int, str], int] = {}
+    for ts, kind, code, n in rows:
+        place = int(ts), int(kind), code
+        sums[place] = sums.get(place, 0) + int(n)
+    return [(*place, sums[place]) for place in sorted(sums)]
+
+
 class EpisodeCloser(StatefulProcessor):
     """Per vehicle: rows the watermark has not passed, open episodes by code, the last cycle.
 
@@ -36,9 +47,10 @@ class EpisodeCloser(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        # lists go to and from the store whole: one call a vehicle, not one a row
         # kind 0 is a cycle, 1 a message: at equal seconds the cycle comes first
-        self.waiting = handle.getMapState("waiting", "ts long, kind int, dtc_code string", "n long")
-        self.open = handle.getMapState("open", "dtc_code string", "first_ts long, last_ts long, n long, cycles long")
+        self.waiting = handle.getListState("waiting", "ts long, kind int, dtc_code string, n long")
+        self.open = handle.getListState("open", "dtc_code string, first_ts long, last_ts long, n long, cycles long")
         self.cycle = handle.getValueState("cycle", "ts long, n long")
         # seconds up to which all rows were taken, and when the timer rings
         self.clock = handle.getValueState("clock", "done long, timer long")
@@ -58,33 +70,29 @@ class EpisodeCloser(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         done, timer = self._clock()
-        first = None
-        for part in rows:
-            sums = part[part["ts"] > done].groupby(["ts", "kind", "dtc_code"])["n"].sum()
-            for place, n in sums.items():
-                place = (int(place[0]), int(place[1]), str(place[2]))
-                held = self.waiting.getValue(place)[0] if self.waiting.containsKey(place) else 0
-                self.waiting.updateValue(place, (held + int(n),))
-                first = place[0] if first is None else min(first, place[0])
-        if first is not None and (timer < 0 or first < timer):
-            self._ring(first, done, timer)
+        came = _summed(
+            place for part in rows for place in zip(*(part[c].tolist() for c in ("ts", "kind", "dtc_code", "n")), strict=True)
+            if place[0] > done and isinstance(place[2], str))
+        if came:
+            self.waiting.appendList(came)
+            first = came[0][0]
+            if timer < 0 or first < timer:
+                self._ring(first, done, timer)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         _, timer = self._clock()
         # a row of a second before the watermark's cannot come any more
         done = (timerValues.getCurrentWatermarkInMs() - 1) // 1000
-        open_ = {k[0]: list(v) for k, v in self.open.iterator()}
-        before = set(open_)
+        open_ = {code: values for code, *values in self.open.get()}
+        held = len(open_)
         cycle = tuple(self.cycle.get()) if self.cycle.exists() else (-1, 0)
-        waiting = sorted((tuple(k), v[0]) for k, v in self.waiting.iterator())
+        waiting = _summed(self.waiting.get())
+        passed = bisect_right(waiting, done, key=itemgetter(0))
+        later = waiting[passed:]
         out = []
         close = lambda code: out.append((key[0], code, *open_.pop(code)))
-        for place, n in waiting:
-            ts, kind, code = place
-            if ts > done:
-                break
-            self.waiting.removeKey(place)
+        for ts, kind, code, n in waiting[:passed]:
             if kind == 0:
                 cycle = ts, n
                 for c in list(open_):
@@ -98,13 +106,17 @@ class EpisodeCloser(StatefulProcessor):
                 open_[code] = [ts, ts, n, cycle[1] if cycle[0] == ts else 0]
         for c in [c for c, e in open_.items() if e[1] + self.gap <= done]:
             close(c)
-        for c in before - set(open_):
-            self.open.removeKey((c,))
-        for c, e in open_.items():
-            self.open.updateValue((c,), tuple(e))
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        if open_:
+            self.open.put([(c, *e) for c, e in open_.items()])
+        elif held:
+            self.open.clear()
         if cycle[0] >= 0:
             self.cycle.update(cycle)
-        next_ = [place[0] for place, _ in waiting if place[0] > done][:1] + [e[1] + self.gap for e in open_.values()]
+        next_ = [place[0] for place in later[:1]] + [e[1] + self.gap for e in open_.values()]
         # the timer that rang is gone
         self._ring(min(next_) if next_ else None, done, -1)
         if out:
