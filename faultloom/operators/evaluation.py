@@ -81,9 +81,16 @@ def node_latency_stats(trace_log: str = "trace_log") -> dict[str, Column]:
     }
 
 
+def _of_events(col: str, *fields: str) -> Column:
+    return F.transform(col, lambda e: F.struct(*[e[f].alias(f) for f in fields]))
+
+
 def score_questions(questions: DataFrame, results: DataFrame) -> DataFrame:
     """Every question with its scores; recorded judge scores win over the heuristic."""
-    joined = questions.join(results, "id", "left")
+    # of the events, only what is scored passes the join
+    joined = questions.join(results.withColumns({
+        "sql_events": _of_events("sql_events", "tool", "query", "success"),
+        "trace_log": _of_events("trace_log", "type", "node", "duration")}), "id", "left")
     prf, hits = tool_prf(), keyword_hits()
     match = F.when(F.coalesce("intent", F.lit("")) == F.coalesce("expected_intent", F.lit("")), 1).otherwise(0)
     heuristic = heuristic_scores(match, hits, prf["tool_recall"])

@@ -102,7 +102,7 @@ class TraceStore:
             known = self._rows("trace_requests", state.schemas["trace_requests"], live).select("request_id")
             fresh = fresh.join(known, "request_id", "left_anti")
         part, schemas = f"p{uuid.uuid4().hex}", dict(state.schemas)
-        schemas["payloads"] = self._put("payloads", fresh, part, batch, schemas.get("payloads"))
+        schemas["payloads"] = self._put("payloads", fresh, part, batch, schemas.get("payloads"), dealt=True)
         mine = self._rows("payloads", schemas["payloads"], [part]).drop(BATCH, DAY)
         if live:
             inventory = self._rows("prompt_inventory", schemas["prompt_inventory"], live)
@@ -116,8 +116,8 @@ class TraceStore:
         self._commit(_State(state.seq + 1, (*state.live, (part, 0)), schemas))
         self.compact()
 
-    def _put(self, name: str, df: DataFrame, part: str, batch: str | None, target: T.StructType | None) -> T.StructType:
-        """Writes a part of a table; gives the table's columns, those that are new at the end."""
+    def _put(self, name: str, df: DataFrame, part: str, batch: str | None, target: T.StructType | None, dealt: bool = False) -> T.StructType:
+        """Writes a part of a table; gives the table's columns, those that are new at the end. Rows that are ``dealt`` evenly move no more."""
         if batch is not None:
             if name != "prompt_inventory":
                 df = df.withColumn(DAY, F.to_date("ts"))
@@ -126,7 +126,10 @@ class TraceStore:
             df = writers.evolve_schema(df, target)
         by = [*([DAY] if DAY in df.columns else []), "request_id" if "request_id" in df.columns else "prompt_key"]
         # a merged part goes by ranges of days, an append is mostly one file; statistics skip the days a query leaves out
-        df = df.repartitionByRange(*by) if batch is None else df.hint("rebalance")
+        if batch is None:
+            df = df.repartitionByRange(*by)
+        elif not dealt:
+            df = df.hint("rebalance")
         df.sortWithinPartitions(*by).write.parquet(self.path(name, part))
         return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
 

@@ -112,10 +112,10 @@ def exists(spark, path: str) -> bool:
 
 
 def write_eval_report(summary: DataFrame, per_question: DataFrame, folder: str, metadata: dict[str, str]) -> None:
-    """Report as two JSON datasets, the summary carrying the run metadata."""
+    """Report as two JSON datasets, the summary carrying the run metadata; the rows, which repeat every key and text, are packed."""
     meta = F.struct(*[F.lit(v).alias(k) for k, v in sorted(metadata.items())])
     summary.withColumn("version", meta).write.mode("overwrite").json(f"{folder}/summary")
-    per_question.write.mode("overwrite").json(f"{folder}/per_question")
+    per_question.write.mode("overwrite").option("compression", "gzip").json(f"{folder}/per_question")
 
 
 def read_eval_report(spark, folder: str, schema: T.StructType | None = None) -> DataFrame:
