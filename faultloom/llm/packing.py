@@ -11,6 +11,7 @@ window is cut into powers of two, so no sequence needs padding.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import compress
@@ -32,7 +33,7 @@ K1, B = 1.2, 0.75
 #: Neighbours put in order at once.
 FEW = 256
 #: Bytes of text tokenized at a time, and words a worker remembers.
-BYTES_AT_ONCE, REMEMBERED = 2 << 20, 900_000
+BYTES_AT_ONCE, REMEMBERED = 2 << 20, 600_000
 
 def _of(chars: bytes) -> np.ndarray:
     table = np.zeros(256, bool)
@@ -81,6 +82,8 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        # Spark runs a worker for each core: threads within one would only hold memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

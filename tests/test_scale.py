@@ -60,6 +60,18 @@ def test_broadcasts_go_by_measured_size(spark):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
+def test_a_worker_tokenizes_in_one_thread(monkeypatch):
+    """op10: threads of every worker process hold memory of their own."""
+    import os
+
+    import public_tokenizers
+    from faultloom.llm.packing import WordTokenizer
+
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    WordTokenizer(str(public_tokenizers.path("word_bpe_49k.json")))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 class _Store:
     """A state store that counts its calls."""
 
