@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 TASK_BYTES = "8m"
 #: Measured bytes up to which a side of a join is broadcast; its hash table takes a multiple.
 BROADCAST_BYTES = "1m"
+#: The same where only the size of its files is known.
+FILE_BYTES = "256k"
 
 
 def build_session(app: str = "faultloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,8 +34,8 @@ def measured(spark: SparkSession) -> SparkSession:
     """Settings for tables of any size, on any session.
 
     A side of a join is broadcast by the bytes it is measured to have after its
-    shuffle, not by file sizes: a compressed file holds many times its size,
-    and such guesses would pass through the driver.
+    shuffle; by file sizes only where these are far smaller, as a compressed
+    file holds many times its size, and such guesses would pass through the driver.
     A task after a shuffle reads a few MB, as its sorts and hash tables hold a
     multiple of them each.
     """
@@ -43,7 +45,7 @@ def measured(spark: SparkSession) -> SparkSession:
         return spark
     if conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1":
         conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", BROADCAST_BYTES)
-        conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        conf.set("spark.sql.autoBroadcastJoinThreshold", FILE_BYTES)
     conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES)
     return spark
 
