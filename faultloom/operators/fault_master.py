@@ -21,6 +21,8 @@ FAULT_COLUMNS = [
     "has_emission_issue", "has_electrical_issue", "vehicle_health_score",
 ]
 
+CODE_COLUMNS = ["dtc_code", "system", "subsystem", "description", "severity_level", "driver_related"]
+
 
 def episode_risk(severity: str = "dm_severity"):
     return severity_multiplier(severity) * duration_factor("resolution_time_sec") * recurrence_factor("ep_count")
@@ -37,29 +39,47 @@ def occurring(codes: DataFrame, rows: DataFrame) -> DataFrame:
     return codes.join(named, "dtc_code", "left_semi").repartition("dtc_code")
 
 
-def vehicle_risk(episodes: DataFrame, codes: DataFrame) -> DataFrame:
-    """Risk of every vehicle with an open episode."""
+def _risk(episodes: DataFrame, named: DataFrame) -> DataFrame:
     rated = episodes.filter("is_resolved = 0").join(
-        occurring(codes.select("dtc_code", F.col("severity_level").alias("dm_severity")), episodes), "dtc_code", "left")
+        named.select("dtc_code", F.col("severity_level").alias("dm_severity")), "dtc_code", "left")
     return rated.groupBy("uniqueid").agg(F.sum(episode_risk()).alias("risk"))
 
 
+def vehicle_risk(episodes: DataFrame, codes: DataFrame) -> DataFrame:
+    """Risk of every vehicle with an open episode."""
+    return _risk(episodes, occurring(codes.select("dtc_code", "severity_level"), episodes))
+
+
 def fault_master_from_episodes(
     episodes: DataFrame, vehicles: DataFrame, codes: DataFrame, params: Params,
 ) -> DataFrame:
-    """One row per episode with vehicle, code attributes, flags and score.
+    """One row per episode with vehicle, code attributes, flags and score."""
+    return _fault_rows(episodes, vehicles, occurring(codes.select(*CODE_COLUMNS), episodes), params)
 
-    The risk is aggregated per vehicle and attached to the vehicle master, so
-    that the episodes pass a single join on the vehicle.
+
+def fault_master_from_stored(
+    episodes: DataFrame, vehicles: DataFrame, codes: DataFrame, params: Params,
+) -> DataFrame:
+    """The same for episodes that are stored.
+
+    The codes they name are stored first: their size is known before the plan
+    is made, so episodes are not dealt by code where the few codes they show fit
+    a broadcast, and risk and fault rows search the list once.
     """
-    dm = codes.select(
+    return _fault_rows(episodes, vehicles, stored(occurring(codes.select(*CODE_COLUMNS), episodes)), params)
+
+
+def _fault_rows(episodes: DataFrame, vehicles: DataFrame, named: DataFrame, params: Params) -> DataFrame:
+    """The risk is aggregated per vehicle and attached to the vehicle master, so
+    that the episodes pass a single join on the vehicle."""
+    dm = named.select(
         "dtc_code", F.col("system").alias("dm_system"), F.col("subsystem").alias("dm_subsystem"),
         F.col("description").alias("dm_description"), F.col("severity_level").alias("dm_severity"),
         F.col("driver_related").alias("dm_driver"))
     vm = vehicles.select(
         "clientLoginId", "uniqueid", "vehicle_number", "customer_name", "model", "manufacturing_year")
-    rated = episodes.join(occurring(dm, episodes), "dtc_code", "left")
-    vm = vm.join(vehicle_risk(episodes, codes), "uniqueid", "left")
+    rated = episodes.join(dm, "dtc_code", "left")
+    vm = vm.join(_risk(episodes, named), "uniqueid", "left")
     flags = [c.alias(n) for n, c in issue_flags("dm_system", "dm_subsystem").items()]
     return rated.join(vm, "uniqueid").select(
         "*", *flags,
@@ -78,4 +98,4 @@ def vehicle_fault_master(
 ) -> DataFrame:
     """The fault table of some events. The episodes are stored first, as risk and fault rows both read them."""
     episodes = stored(resolved_episodes(events, cycles, params))
-    return fault_master_from_episodes(episodes, vehicles, codes, params)
+    return fault_master_from_stored(episodes, vehicles, codes, params)

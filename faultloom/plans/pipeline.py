@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from faultloom.operators import quality, rollups
 from faultloom.operators.episodes import resolved_episodes
 from faultloom.operators.events import events_exploded
-from faultloom.operators.fault_master import fault_master_from_episodes
+from faultloom.operators.fault_master import fault_master_from_stored
 from faultloom.params import Params
 from faultloom.session import run_folder
 from faultloom.sources.readers import build_dtc_master, build_vehicle_master, engine_cycle_seconds, resolve_vehicle_profile
@@ -38,17 +38,18 @@ class Warehouse:
         self.spark, self.params = spark, params
         self.folder = folder or run_folder(spark)
         self.history = history
-        self.cycles = engine_cycle_seconds(cycles)
         self.profile = resolve_vehicle_profile(profile)
         self.codes = codes
         self._tables: dict[str, DataFrame] = {}
         self._builders: dict[str, Callable[[], DataFrame]] = {
+            # stored: the episodes read them as rows, as carried rows and as the last one of a vehicle
+            "engine_cycles": lambda: engine_cycle_seconds(cycles),
             "vehicle_master": lambda: build_vehicle_master(self.profile),
             "dtc_master": lambda: build_dtc_master(self.codes),
             "dtc_events_exploded": lambda: events_exploded(self.history, self.vm, self.params),
             "fault_episodes": lambda: resolved_episodes(self.events, self.cycles, self.params),
             # stored episodes: risk and fault rows both read them, and a failure later on does not repeat their making
-            "vehicle_fault_master": lambda: fault_master_from_episodes(
+            "vehicle_fault_master": lambda: fault_master_from_stored(
                 self.table("fault_episodes"), self.vm, self.dm, self.params),
             "vehicle_code_stats": lambda: rollups.vehicle_code_stats(self.vfm, self.params),
             "fleet_health_summary": lambda: rollups.fleet_health_summary(self.stats, self.vm, self.params),
@@ -86,6 +87,7 @@ class Warehouse:
         names = {*quality.CHECKED, *quality.UNIQUE_KEYS}
         return quality.validate_outputs({n: self.table(n) for n in names}, self.vm)
 
+    cycles = property(lambda self: self.table("engine_cycles"))
     vm = property(lambda self: self.table("vehicle_master"))
     dm = property(lambda self: self.table("dtc_master"))
     events = property(lambda self: self.table("dtc_events_exploded"))
