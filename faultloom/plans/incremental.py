@@ -123,6 +123,8 @@ def run_incremental(
     # a table that lost all its rows has no file to take the schema from
     schema = fault_master_from_episodes(resolved_episodes(events, cycles, params), vehicles, codes, params).withColumn(
         layout.partition, layout.partition_expr).schema
+    # stored: each run compares them and keeps them for the next one
+    digests = stored(master_digests(vehicles, codes))
     if checkpoints is None:
         writers.write_partitioned(vehicle_fault_master(events, cycles, vehicles, codes, params), path, layout)
     else:
@@ -132,26 +134,27 @@ def run_incremental(
         moved = cycles.filter((F.col("cycle_ts") > window.since_ts) & (F.col("cycle_ts") <= window.until_ts))
         staged = run_folder(spark)
         before = spark.read.parquet(masters) if writers.exists(spark, masters) else spark.createDataFrame([], "kind string, key string, digest long")
-        touched_by = changed_masters(before, master_digests(vehicles, codes))
+        touched_by = changed_masters(before, digests)
         impacted_vehicles(old, changed, moved, params, window.since_ts + replay_hours * 3600, touched_by).write.parquet(f"{staged}/ids")
         ids = spark.read.parquet(f"{staged}/ids")
         of = lambda df: df.join(ids, "uniqueid", "left_semi")
         vm = of(vehicles)
         fresh = vehicle_fault_master(events_exploded(of(history), vm, params), of(cycles), vm, codes, params)
-        writers.write_partitioned(fresh, f"{staged}/fresh", layout)
-        fresh = spark.read.schema(old.schema).parquet(f"{staged}/fresh")
-        months = lambda df: {r[0] for r in df.select(month).distinct().collect()}  # noqa: E731  a few per window
-        touched = months(of(old)) | months(fresh)
+        fresh = stored(fresh)
+        months = lambda df: {r[0] for r in df.distinct().collect()}  # noqa: E731  a few per window
+        new = months(fresh.select(layout.partition_expr.alias(month)))
+        touched = months(of(old).select(month)) | new
         kept = old.filter(F.col(month).isin(*touched)).join(ids, "uniqueid", "left_anti")
-        whole = kept.select(*FAULT_COLUMNS).unionByName(fresh.select(*FAULT_COLUMNS))
-        writers.write_partitioned(whole, f"{staged}/months", layout)
-        whole = spark.read.schema(old.schema).parquet(f"{staged}/months")
+        gone = touched - new
+        gone -= months(kept.filter(F.col(month).isin(*gone)).select(month)) if gone else set()
         note_changes(spark, folder, old, ids)
-        writers.rebuild(whole.drop(month), path, layout, only_touched_partitions=True)
-        for gone in touched - months(whole):
-            writers.drop_partition(spark, path, month, gone)
+        if touched - gone:
+            # Spark puts the new files beside the table and swaps whole months after the last of them, so the old rows can be read meanwhile
+            writers.rebuild(kept.select(*FAULT_COLUMNS).unionByName(fresh), path, layout, only_touched_partitions=True)
+        for value in gone:
+            writers.drop_partition(spark, path, month, value)
     # after the rows: a run that fails before this sees the change again
-    master_digests(vehicles, codes).write.mode("overwrite").parquet(masters)
+    digests.write.mode("overwrite").parquet(masters)
     table = spark.read.schema(schema).parquet(path)
     record_run(spark, folder, pipeline, window, table.count())
     return table
