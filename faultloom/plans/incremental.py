@@ -112,8 +112,8 @@ def run_incremental(
     checkpoint, recompute the vehicles that it or a change of the master data
     touches, and overwrite only the months in which those have or had rows; a
     month that is left without rows goes. Digests of the master rows are kept
-    beside the table for this; without them every vehicle is recomputed. What is written is staged first, so a run that fails leaves the table
-    as it was, up to whole months, and the checkpoint where it was.
+    beside the table for this; without them every vehicle is recomputed. Spark swaps the rewritten months after the last file is written,
+    so a run that fails leaves the table as it was, up to whole months, and the checkpoint where it was.
     """
     path, layout = f"{folder}/vehicle_fault_master", writers.layouts()["vehicle_fault_master"]
     log, masters = f"{folder}/cdc_checkpoint", f"{folder}/master_digests"
